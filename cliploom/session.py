@@ -20,6 +20,7 @@ def build_session(app: str = "cliploom", cores: str = "*", shuffle_partitions: i
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("BENCH_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.parquet.datetimeRebaseModeInRead", "CORRECTED")
         .getOrCreate()
     )
