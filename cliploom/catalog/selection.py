@@ -87,7 +87,7 @@ def _(spark, sf):
 SELECT clip_id, arrival, ts_ns, CAST(row_number() OVER (PARTITION BY clip_id ORDER BY ts_ns, arrival) - 1 AS BIGINT) AS pos FROM packets""")
 def _(spark, sf):
     p = views.packets(spark, sf).select("clip_id", "arrival", "ts_ns")
-    return segments.position(p, ["clip_id"], ["ts_ns", "arrival"], "pos", bits=30, levels=1).orderBy("clip_id", "pos")
+    return segments.position(p, ["clip_id"], ["ts_ns", "arrival"], "pos", bits=30).orderBy("clip_id", "pos")
 
 
 @query("a18_capture_maxima", """

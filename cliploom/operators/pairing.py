@@ -84,49 +84,38 @@ def interleave_tracks(packets: DataFrame, **kw) -> DataFrame:
         **kw,
     ).na.fill(0, ["v_before", "a_before"])
 
-    waiting = F.coalesce(F.col("v_max") < F.col("a_max"), F.lit(True))
-    part = F.shiftright("arrival", segments.SEGMENT_BITS)
-    audio_rows = rows.filter(audio).withColumn("__part", part)
-    ready = audio_rows.filter(~waiting).withColumn("gate", F.col("v_next")).withColumn(
-        "__gate_rank", F.when(F.col("v_next").isNotNull(), F.col("v_before"))
+    # The two running maxima meet on one value axis, reduced to distinct values per arrival segment.
+    # An audio value asks for the first video value that reaches it; a video value asks how many
+    # audio packets it has reached.
+    marked = rows.select(
+        "*",
+        F.when(audio, 0).otherwise(1).alias("kind"),
+        F.when(audio, F.col("a_max")).otherwise(F.col("v_max")).alias("value"),
+        F.shiftright("arrival", segments.SEGMENT_BITS).alias("part"),
     )
-
-    # Waiting packets look up the first video whose running maximum reaches theirs.  Both sides are
-    # reduced to distinct values first; the look-up runs along the value axis.
-    asked = audio_rows.filter(waiting).select("clip_id", F.col("a_max").alias("value"), "__part").distinct()
-    reached = (
-        rows.filter(video)
-        .groupBy("clip_id", F.col("v_max").alias("value"))
-        .agg(F.min(F.struct(F.col("arrival"), F.col("v_before"))).alias("hit"))
-    )
-    axis = asked.withColumn("kind", F.lit(0)).unionByName(
-        reached.withColumn("kind", F.lit(1)).withColumn("__part", F.lit(0).cast("long")), allowMissingColumns=True
-    )
-    found = (
-        segments.scan(axis, keys, ["value", "kind", "__part"], {"__hit": Scan("next", F.col("hit"))},
-                      bits=VALUE_BITS, levels=1)
-        .filter("kind = 0")
-        .select("clip_id", F.col("value").alias("a_max"), "__part",
-                F.col("__hit.arrival").alias("gate"), F.col("__hit.v_before").alias("__gate_rank"))
+    axis_key = ["clip_id", "value", "kind", "part"]
+    axis = marked.groupBy(*axis_key).agg(
+        F.min(F.when(video, F.struct("arrival", "v_before"))).alias("hit"),
+        F.sum(audio.cast("long")).alias("released"),
     )
-    waited = audio_rows.filter(waiting).join(found, ["clip_id", "a_max", "__part"], "left")
-    gated = ready.unionByName(waited)
-
+    met = segments.scan(
+        axis, keys, ["value", "kind", "part"],
+        {"__hit": Scan("next", F.col("hit")), "__released": Scan("sum", F.col("released"))}, bits=VALUE_BITS,
+    ).select(*axis_key, "__hit", "__released")
     totals = packets.groupBy("clip_id").agg(F.sum(video.cast("long")).alias("__videos"))
-    audio_out = segments.attach(gated, totals, keys, F.col("arrival")).select(
-        "clip_id", "arrival", "is_audio", "gate",
-        (F.col("a_before") + F.coalesce("__gate_rank", "__videos")).alias("out_pos"),
-    )
-    released = gated.filter(F.col("gate").isNotNull()).groupBy("clip_id", F.col("gate").alias("arrival")).agg(
-        F.count(F.lit(1)).alias("__released"))
-    video_rows = rows.filter(video).join(released, ["clip_id", "arrival"], "left")
-    video_out = segments.scan(
-        video_rows, keys, ["arrival"], {"__ahead": Scan("sum", F.coalesce("__released", F.lit(0)))}, **kw
-    ).select(
-        "clip_id", "arrival", "is_audio", F.lit(None).cast("long").alias("gate"),
-        (F.col("v_before") + F.col("__ahead")).alias("out_pos"),
+    joined = segments.attach(marked.join(met, axis_key), totals, keys, F.col("arrival"))
+
+    caught_up = F.coalesce(F.col("v_max") >= F.col("a_max"), F.lit(False))
+    gate = F.when(caught_up, F.col("v_next")).otherwise(F.col("__hit.arrival"))
+    gate_rank = F.when(gate.isNull(), F.col("__videos")).when(caught_up, F.col("v_before")).otherwise(
+        F.col("__hit.v_before"))
+    # video: every audio packet so far when it has caught up (or none has come), else those it has reached
+    behind = F.coalesce(F.col("v_max") < F.col("a_max"), F.lit(False))
+    ahead = F.when(behind, F.col("__released")).otherwise(F.col("a_before"))
+    return joined.select(
+        "clip_id", "arrival", "is_audio", F.when(audio, gate).alias("gate"),
+        F.when(audio, F.col("a_before") + gate_rank).otherwise(F.col("v_before") + ahead).alias("out_pos"),
     )
-    return audio_out.unionByName(video_out)
 
 
 def band_dimension(spark, widths: list[int] = sound.BAND_WIDTHS) -> DataFrame:

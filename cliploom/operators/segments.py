@@ -19,7 +19,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SEGMENT_BITS = 12
-LEVELS = 2
+# One level leaves one row per 4096 for the final per-clip scan: fine up to a few hundred GB of
+# input even if a single clip holds a third of it.  Larger inputs get further levels.
+LEVEL_LIMITS = (2**38, 2**50)
+
+
+def levels_for(df: DataFrame) -> int:
+    """Scan depth from the size of the files behind ``df``, known at planning time without a job."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return 1 + sum(size > limit for limit in LEVEL_LIMITS)
 
 
 @dataclass(frozen=True)
@@ -93,7 +102,7 @@ def scan(
     order: Sequence[str],
     scans: dict[str, Scan],
     bits: int = SEGMENT_BITS,
-    levels: int = LEVELS,
+    levels: int | None = None,
 ) -> DataFrame:
     """Add the columns named in ``scans``, each a running value per ``keys`` in ``order``.
 
@@ -101,6 +110,8 @@ def scan(
     ``levels=0`` is a plain window, for inputs whose clips are known to be small.
     """
     order_cols = [F.col(c) for c in order]
+    if levels is None:
+        levels = levels_for(df)
     if levels == 0:
         return df.select("*", *[_windowed(s, keys, order_cols).alias(n) for n, s in scans.items()])
 
