@@ -204,13 +204,12 @@ def neutral(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-# document text with every space turned into a start code: four bytes after an even space, three after an odd one
+# Document text with every space turned into a start code, four bytes before an odd token and three
+# before an even one; the text before the first space is junk ahead of the first code.
 def nal_payloads(spark: SparkSession, folder: str) -> DataFrame:
-    token = F.split(F.col("text"), " ")
-    long_code, short_code = F.lit("\x00\x00\x00\x01"), F.lit("\x00\x00\x01")
-    framed = F.array_join(
-        F.transform(token, lambda t, i: F.concat(F.when(i % 2 == 0, short_code).otherwise(long_code), t)), ""
-    )
+    code = lambda i: F.when(i == 0, F.lit("")).when(i % 2 == 0, F.lit("\x00\x00\x01")).otherwise(
+        F.lit("\x00\x00\x00\x01"))
+    framed = F.array_join(F.transform(F.split(F.col("text"), " "), lambda t, i: F.concat(code(i), t)), "")
     return table(spark, folder, "documents").select(
         F.col("doc_id").alias("packet_id"), framed.cast("binary").alias("payload")
     )
@@ -219,7 +218,8 @@ def nal_payloads(spark: SparkSession, folder: str) -> DataFrame:
 NALS_SQL = """
 nals AS (
   SELECT packet_id, CAST(row_number() OVER (PARTITION BY packet_id ORDER BY pos) - 1 AS BIGINT) AS ord,
-         octet_length(encode(tok)) AS size, ord(tok) AS first_char, encode(tok) AS payload
+         CAST(octet_length(encode(tok)) AS BIGINT) AS size,
+         CAST((CAST('0x' || substr(hex(encode(tok)), 1, 2) AS INT) >> 1) & 63 AS INT) AS nal_type
   FROM (SELECT doc_id AS packet_id, unnest(string_split(text, ' ')) AS tok,
                generate_subscripts(string_split(text, ' '), 1) AS pos FROM documents) q
-  WHERE tok <> '')"""
+  WHERE tok <> '' AND pos > 1)"""
