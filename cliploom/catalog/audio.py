@@ -70,8 +70,7 @@ SELECT b.clip_id, b.n, {rounded_sql("(b.v * 100 - (pow(0.99::DOUBLE, b.n + 1) *
 FROM vals a JOIN vals b ON a.clip_id = b.clip_id AND a.n <= b.n GROUP BY b.clip_id, b.n, b.v""")
 def _(spark, sf):
     x = values(spark, sf).select("clip_id", "ch", "n", (F.col("v") * 100).alias("x"))
-    mean = audio.running_mean(x, ["clip_id", "ch"], "n", F.array("x"), [-60.0])
-    out = x.join(mean, ["clip_id", "ch", "n"])
+    out = audio.running_mean(x, ["clip_id", "ch"], "n", F.array("x"), [-60.0], carry=["x"])
     return out.select("clip_id", "n", rounded((F.col("x") - F.col("m")[0]) / 40, 4).alias("feature"))
 
 

@@ -44,7 +44,7 @@ AUDIO_ONLY = CLUSTERS_SQL.replace("FROM packets)", "FROM packets WHERE is_audio)
 SELECT clip_id, arrival, rel_ns, base_ns, cluster FROM clus""")
 def _(spark, sf):
     audio = scalars.relative_time(views.packets(spark, sf).filter("is_audio"))
-    return container.assign_clusters(audio, bits=8).select("clip_id", "arrival", "rel_ns", "base_ns", "cluster")
+    return container.assign_clusters(audio, bits=11).select("clip_id", "arrival", "rel_ns", "base_ns", "cluster")
 
 
 @query("a14_cluster_rollup", with_views("packets", more=CLUSTERS_SQL, recursive=True) + """

@@ -14,67 +14,75 @@ from pyspark.sql import functions as F
 
 from cliploom.operators import segments
 
-CHUNK_BITS = 8
+CHUNK_BITS = 7
 
 
 def _step(m: Column, a: Column, b: Column) -> Column:
     return F.zip_with(m, b, lambda p, q: a * p + q)
 
 
-def _ordered(index: str) -> Column:
-    return F.sort_array(F.collect_list(F.struct(F.col(index).alias("i"), "a", "b")))
+def _listed(steps: DataFrame, by: list[str], index: str, carry: Sequence[str] = ()) -> DataFrame:
+    """The steps of every group in order; folding and replaying share this one shuffle."""
+    step = F.struct(F.col(index).alias("i"), "a", "b", F.struct(*carry).alias("p") if carry else F.lit(0).alias("p"))
+    return steps.groupBy(*by).agg(F.sort_array(F.collect_list(step)).alias("steps"))
 
 
-def _fold(steps: DataFrame, keys: list[str], group: Column, index: str) -> DataFrame:
+def _folded(listed: DataFrame, by: list[str]) -> DataFrame:
     """One (a, b) per group of steps."""
-    listed = steps.groupBy(*keys, group.alias("g")).agg(_ordered(index).alias("steps"))
     zeros = F.transform(F.col("steps")[0]["b"], lambda _: F.lit(0.0))
     return listed.select(
-        *keys, "g",
+        *by,
         F.aggregate("steps", F.lit(1.0), lambda acc, s: acc * s["a"]).alias("a"),
         F.aggregate("steps", zeros, lambda acc, s: _step(acc, s["a"], s["b"])).alias("b"),
     )
 
 
-def _replay(steps: DataFrame, keys: list[str], by: list[str], index: str, start: str, before: bool) -> DataFrame:
-    """Value at every step of a group (``before``: the value going into the step)."""
-    listed = steps.groupBy(*by).agg(_ordered(index).alias("steps"), F.first(start).alias("m0"))
-    empty = F.array().cast("array<struct<i:bigint,m:array<double>>>")
+def _replayed(listed: DataFrame, keys: list[str], index: str, before: bool, carry: Sequence[str] = ()) -> DataFrame:
+    """Value at every step of a group entered with ``m0`` (``before``: the value going into the step)."""
+    kind = listed.schema["steps"].dataType.elementType["p"].dataType.simpleString()
+    empty = F.array().cast(f"array<struct<i:bigint,m:array<double>,p:{kind}>>")
 
     def go(acc, s):
         after = _step(acc["m"], s["a"], s["b"])
         kept = acc["m"] if before else after
-        return F.struct(after.alias("m"), F.concat(acc["out"], F.array(F.struct(s["i"].alias("i"), kept.alias("m")))).alias("out"))
+        row = F.struct(s["i"].alias("i"), kept.alias("m"), s["p"].alias("p"))
+        return F.struct(after.alias("m"), F.concat(acc["out"], F.array(row)).alias("out"))
 
-    walked = F.aggregate("steps", F.struct(F.col("m0").alias("m"), empty.alias("out")), go, lambda acc: acc["out"])
-    return listed.select(*keys, F.explode(walked).alias("o")).select(*keys, F.col("o.i").alias(index), "o.m")
+    start = F.struct(F.col("m0").alias("m"), empty.alias("out"))
+    walked = F.aggregate("steps", start, go, lambda acc: acc["out"])
+    return listed.select(*keys, F.explode(walked).alias("o")).select(
+        *keys, F.col("o.i").alias(index), "o.m", *[F.col(f"o.p.{c}") for c in carry])
 
 
-def _entries(folded: DataFrame, keys: list[str], starts: DataFrame, bits: int, levels: int) -> DataFrame:
+def _entries(folded: DataFrame, keys: list[str], starts: DataFrame | Column, bits: int, levels: int) -> DataFrame:
     """Value going into every group ``g``: keys, g, m."""
     if levels == 0:
-        first = folded.join(starts, keys)
-        return _replay(first, keys, keys, "g", "m0", before=True)
-    above = _fold(folded, keys, F.shiftright("g", bits), "g").withColumnRenamed("g", "up")
-    entries = _entries(above.withColumnRenamed("up", "g"), keys, starts, bits, levels - 1)
-    entered = folded.withColumn("up", F.shiftright("g", bits)).join(
-        entries.select(*keys, F.col("g").alias("up"), F.col("m").alias("m0")), [*keys, "up"])
-    return _replay(entered, keys, [*keys, "up"], "g", "m0", before=True)
+        top = _listed(folded, keys, "g")
+        entered = top.withColumn("m0", starts) if isinstance(starts, Column) else top.join(starts, keys)
+        return _replayed(entered, keys, "g", before=True)
+    listed = _listed(folded.withColumn("up", F.shiftright("g", bits)), [*keys, "up"], "g")
+    above = _folded(listed, [*keys, "up"]).withColumnRenamed("up", "g")
+    entries = _entries(above, keys, starts, bits, levels - 1)
+    entered = listed.join(entries.select(*keys, F.col("g").alias("up"), F.col("m").alias("m0")), [*keys, "up"])
+    return _replayed(entered, keys, "g", before=True)
 
 
 def affine_scan(
-    rows: DataFrame, keys: Sequence[str], index: str, a: Column, b: Column, starts: DataFrame,
-    bits: int = CHUNK_BITS, levels: int | None = None,
+    rows: DataFrame, keys: Sequence[str], index: str, a: Column, b: Column, starts: DataFrame | Column,
+    carry: Sequence[str] = (), bits: int = CHUNK_BITS, levels: int | None = None,
 ) -> DataFrame:
-    """``keys, index, m``: the recurrence after each row.
+    """``keys, index, m`` and the ``carry`` columns: the recurrence after each row.
 
-    ``index`` is a unique integer per key; ``starts`` gives ``m0`` (array) per key.
+    ``index`` is a unique integer per key; ``starts`` is the first value (an array) as a constant, or
+    a table with ``m0`` per key.
     """
     keys = list(keys)
     if levels is None:
         levels = segments.levels_for(rows) - 1
-    steps = rows.select(*keys, F.col(index).cast("long").alias(index), a.cast("double").alias("a"), b.alias("b"))
-    chunk = F.shiftright(index, bits)
-    entries = _entries(_fold(steps, keys, chunk, index), keys, starts, bits, levels)
-    entered = steps.withColumn("g", chunk).join(entries.withColumnRenamed("m", "m0"), [*keys, "g"])
-    return _replay(entered, keys, [*keys, "g"], index, "m0", before=False)
+    steps = rows.select(
+        *keys, F.col(index).cast("long").alias(index), a.cast("double").alias("a"), b.alias("b"), *carry,
+        F.shiftright(F.col(index).cast("long"), bits).alias("g"))
+    by = [*keys, "g"]
+    listed = _listed(steps, by, index, carry)
+    entries = _entries(_folded(listed, by), keys, starts, bits, levels)
+    return _replayed(listed.join(entries.withColumnRenamed("m", "m0"), by), keys, index, before=False, carry=carry)

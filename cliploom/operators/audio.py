@@ -108,28 +108,31 @@ def linspace(start: float, stop: float, count: int) -> list[float]:
 
 def running_mean(
     rows: DataFrame, keys: Sequence[str], index: str, x: Column, init: Sequence[float],
-    alpha: float = sound.SMOOTHING, **kw,
+    alpha: float = sound.SMOOTHING, carry: Sequence[str] = (), **kw,
 ) -> DataFrame:
-    """``m <- alpha*m + (1-alpha)*x`` per element of the array ``x``; ``keys, index, m``."""
-    starts = rows.select(*keys).distinct().withColumn("m0", F.array(*[F.lit(float(v)) for v in init]))
-    return affine.affine_scan(rows, keys, index, F.lit(alpha), F.transform(x, lambda v: (1.0 - alpha) * v), starts, **kw)
-
-
-def band_features(spec: DataFrame, widths: Sequence[int] = sound.BAND_WIDTHS, **kw) -> DataFrame:
-    """``(dB - running mean) / 40`` per band: ``clip_id, ch, t, erb ARRAY``."""
-    levels = spec.select(*KEYS, "t", band_decibels(F.col("re"), F.col("im"), widths).alias("db"))
-    mean = running_mean(levels, KEYS, "t", F.col("db"), linspace(BAND_START_DB, BAND_END_DB, len(widths)), **kw)
-    return levels.join(mean, [*KEYS, "t"]).select(
-        *KEYS, "t", F.zip_with("db", "m", lambda x, m: (x - m) / BAND_SCALE_DB).alias("erb"))
-
-
-def unit_features(spec: DataFrame, bins: int = sound.FILTER_BINS, **kw) -> DataFrame:
-    """Low bins over the root of the running mean of their magnitude: ``clip_id, ch, t, ure ARRAY, uim ARRAY``."""
-    low = spec.select(*KEYS, "t", F.slice("re", 1, bins).alias("re"), F.slice("im", 1, bins).alias("im"))
-    mean = running_mean(
-        low, KEYS, "t", magnitudes(F.col("re"), F.col("im"), bins), linspace(UNIT_START, UNIT_END, bins), **kw)
-    over = lambda c: F.zip_with(c, "m", lambda x, m: x / F.sqrt(m))
-    return low.join(mean, [*KEYS, "t"]).select(*KEYS, "t", over("re").alias("ure"), over("im").alias("uim"))
+    """``m <- alpha*m + (1-alpha)*x`` per element of the array ``x``; ``keys, index, m`` and ``carry``."""
+    starts = F.array(*[F.lit(float(v)) for v in init])
+    b = F.transform(x, lambda v: (1.0 - alpha) * v)
+    return affine.affine_scan(rows, keys, index, F.lit(alpha), b, starts, carry, **kw)
+
+
+def spectral_features(
+    spec: DataFrame, widths: Sequence[int] = sound.BAND_WIDTHS, bins: int = sound.FILTER_BINS, **kw
+) -> DataFrame:
+    """``erb``: (dB - running mean) / 40 per band; ``ure``/``uim``: low bins over the root of the running
+    mean of their magnitude.  Both means share their decay, so they run as one scan."""
+    bands = len(widths)
+    rows = spec.select(
+        *KEYS, "t", band_decibels(F.col("re"), F.col("im"), widths).alias("db"),
+        F.slice("re", 1, bins).alias("re"), F.slice("im", 1, bins).alias("im"))
+    x = F.concat("db", magnitudes(F.col("re"), F.col("im"), bins))
+    init = linspace(BAND_START_DB, BAND_END_DB, bands) + linspace(UNIT_START, UNIT_END, bins)
+    out = running_mean(rows, KEYS, "t", x, init, carry=["db", "re", "im"], **kw)
+    unit = F.slice("m", bands + 1, bins)
+    over = lambda c: F.zip_with(c, unit, lambda v, m: v / F.sqrt(m))
+    return out.select(
+        *KEYS, "t", F.zip_with("db", F.slice("m", 1, bands), lambda v, m: (v - m) / BAND_SCALE_DB).alias("erb"),
+        over("re").alias("ure"), over("im").alias("uim"))
 
 
 def look_ahead(frames: DataFrame, columns: Sequence[str], by: int = sound.LOOKAHEAD) -> DataFrame:

@@ -18,7 +18,7 @@ from cliploom.operators.segments import Scan
 # Fixed values.
 CLUSTER_SPAN_NS = 1_000_000_000
 
-CHUNK_BITS = 12
+CHUNK_BITS = 14
 START_CODE = re.compile(b"\x00?\x00\x00\x01")
 
 

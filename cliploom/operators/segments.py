@@ -24,13 +24,26 @@ SEGMENT_BITS = 12
 LEVEL_LIMITS = (2**38, 2**50)
 
 
-def levels_for(df: DataFrame) -> int:
-    """Scan depth from the size of the files behind ``df``, known at planning time without a job."""
+def input_bytes(df: DataFrame) -> int:
+    """Size of the files behind ``df``, known at planning time without a job."""
     leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
+def levels_for(df: DataFrame) -> int:
+    """Scan depth for the input size."""
+    size = input_bytes(df)
     return 1 + sum(size > limit for limit in LEVEL_LIMITS)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Redistribute an input too small to give every core a split; larger inputs stay as they are."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = 128 * 2**20
+    return df.repartition(cores, *keys) if input_bytes(df) < cores * split else df
+
+
 @dataclass(frozen=True)
 class Scan:
     """One running value.

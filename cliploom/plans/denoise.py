@@ -16,9 +16,7 @@ def features(
 ) -> DataFrame:
     """Look-ahead features per frame: ``clip_id, ch, t, erb, ure, uim``."""
     spec = audio.spectra(samples, size, hop)
-    erb = audio.look_ahead(audio.band_features(spec, widths), ["erb"])
-    unit = audio.look_ahead(audio.unit_features(spec, bins), ["ure", "uim"])
-    return erb.join(unit, ["clip_id", "ch", "t"])
+    return audio.look_ahead(audio.spectral_features(spec, widths, bins), ["erb", "ure", "uim"])
 
 
 def resynthesize(

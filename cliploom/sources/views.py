@@ -210,7 +210,8 @@ def nal_payloads(spark: SparkSession, folder: str) -> DataFrame:
     code = lambda i: F.when(i == 0, F.lit("")).when(i % 2 == 0, F.lit("\x00\x00\x01")).otherwise(
         F.lit("\x00\x00\x00\x01"))
     framed = F.array_join(F.transform(F.split(F.col("text"), " "), lambda t, i: F.concat(code(i), t)), "")
-    return table(spark, folder, "documents").select(
+    documents = segments.spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+    return documents.select(
         F.col("doc_id").alias("packet_id"), framed.cast("binary").alias("payload")
     )
 
