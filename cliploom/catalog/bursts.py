@@ -21,8 +21,12 @@ islands AS (SELECT session_id, arrival, base, expected, min(arrival) OVER r AS r
 
 
 def burst_frames(spark, sf):
+    return burst_frames_of(table(spark, sf, "events"))
+
+
+def burst_frames_of(events):
     part = F.floor(F.col("event_id") / 150)
-    return table(spark, sf, "events").select(
+    return events.select(
         (F.col("user_id") % 20).alias("session_id"), F.col("event_id").alias("arrival"),
         F.concat(F.lit("IMG_"), part).alias("base"), (1 + part % 4).cast("int").alias("expected"))
 

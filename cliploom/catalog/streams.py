@@ -1 +1,130 @@
+"""Streaming forms (R), each drained with everything available and checked like the batch form."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cliploom.catalog.bursts import RUNS_SQL, burst_frames_of
+from cliploom.catalog.common import query, views, with_views
+from cliploom.catalog.container import CLUSTERS_SQL
+from cliploom.catalog.pairing import INTERLEAVE_SQL
+from cliploom.operators import late, scalars
+from cliploom.streaming import ingest, stateful
+
+
+def events(spark, sf):
+    return ingest.read_stream(spark, sf, "events.parquet")
+
+
+@query("r1_live_ingest", with_views("packets") + "SELECT clip_id, arrival, is_audio, is_key, ts_ns, size FROM packets")
+def _(spark, sf):
+    packets = views.packets_of(events(spark, sf))
+    audio, video = packets.filter("is_audio"), packets.filter("NOT is_audio")
+    return ingest.drain(audio).unionByName(ingest.drain(video))
+
+
+def half_streams(spark, sf):
+    at = ingest.sensor_clock(F.col("ts_ns") * 1_000_000_000)
+    images = ingest.read_stream(spark, sf, "orders.parquet").select(
+        F.col("o_orderkey").alias("ts_ns"), F.col("o_custkey").alias("session_id")).withColumn("at", at)
+    results = ingest.read_stream(spark, sf, "lineitem.parquet").select(
+        F.col("l_orderkey").alias("ts_ns"), "l_suppkey", "l_linenumber").withColumn("at", at)
+    return images, results
+
+
+@query("r2_pair_streams", """
+SELECT o_orderkey AS ts_ns, o_custkey AS session_id, l_suppkey, l_linenumber FROM orders JOIN lineitem ON o_orderkey = l_orderkey""")
+def _(spark, sf):
+    paired = ingest.pair_streams(*half_streams(spark, sf))
+    return ingest.drain(paired.select("ts_ns", "session_id", "l_suppkey", "l_linenumber"))
+
+
+# an image is known to be a stray once the slower stream's watermark, ten seconds behind, has passed it
+@query("r3_stray_images", """
+SELECT o_orderkey AS ts_ns, o_custkey AS session_id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)
+  AND o_orderkey < least((SELECT max(o_orderkey) FROM orders), (SELECT max(l_orderkey) FROM lineitem)) - 10""")
+def _(spark, sf):
+    joined = ingest.pair_streams(*half_streams(spark, sf), strays=True)
+    return ingest.drain(joined.select("ts_ns", "session_id", "l_suppkey")).filter("l_suppkey IS NULL").drop("l_suppkey")
+
+
+def with_config(packets):
+    return packets.withColumn("is_config", F.col("is_key") & (F.col("arrival") % 3 == 0))
+
+
+OPEN_SQL = """
+opened AS (SELECT clip_id AS c, min(arrival) AS o FROM packets WHERE is_key AND arrival % 3 = 0 GROUP BY clip_id),
+kept AS (SELECT p.* FROM packets p JOIN opened ON c = clip_id AND arrival >= o)"""
+
+
+@query("r4_late_and_early_packets", with_views("packets", more=OPEN_SQL) + """
+SELECT clip_id, arrival, greatest(ts_ns - first_value(ts_ns) OVER (PARTITION BY clip_id ORDER BY arrival), 0) AS rel_ns FROM kept""")
+def _(spark, sf):
+    stream = with_config(views.packets_of(events(spark, sf)))
+    return ingest.drain(stateful.cluster(stream, needs_open=True)).select("clip_id", "arrival", "rel_ns")
+
+
+@query("r4_drop_before_open", with_views("packets", more=OPEN_SQL) + """
+SELECT clip_id, arrival, greatest(ts_ns - first_value(ts_ns) OVER (PARTITION BY clip_id ORDER BY arrival), 0) AS rel_ns FROM kept""")
+def _(spark, sf):
+    kept = late.drop_before_open(with_config(views.packets(spark, sf)))
+    return scalars.relative_time(kept).select("clip_id", "arrival", "rel_ns")
+
+
+@query("r5_interleave_stream", with_views("packets", more=INTERLEAVE_SQL) + "SELECT * FROM inter WHERE NOT is_audio OR gate IS NOT NULL")
+def _(spark, sf):
+    return ingest.drain(stateful.interleave(views.packets_of(events(spark, sf))))
+
+
+@query("r6_count_windows", with_views("telemetry", more="""
+g AS (SELECT *, row_number() OVER w - 1 AS idx, ts_ns - lag(ts_ns) OVER w AS gap FROM telemetry WINDOW w AS (PARTITION BY clip_id ORDER BY arrival))""") + """
+SELECT clip_id, CAST(idx // 60 AS BIGINT) AS "window", min(ts_ns) AS first_ts, max(ts_ns) AS last_ts, coalesce(max(gap), 0) AS max_gap_ns, max(gpu_ns) AS gpu_max_ns
+FROM g GROUP BY clip_id, idx // 60 HAVING count(*) = 60""")
+def _(spark, sf):
+    return ingest.drain(stateful.count_windows(views.telemetry_of(events(spark, sf)), 60))
+
+
+@query("r7_cluster_stream", with_views("packets", more=CLUSTERS_SQL, recursive=True) + "SELECT clip_id, arrival, rel_ns, base_ns, cluster FROM clus")
+def _(spark, sf):
+    return ingest.drain(stateful.cluster(views.packets_of(events(spark, sf))))
+
+
+@query("r8_complete_bursts_stream", f"""WITH {RUNS_SQL}
+SELECT session_id, min(base) AS base, min(arrival) AS first_arrival, max(arrival) AS last_arrival, count(*) AS n
+FROM islands GROUP BY session_id, run, burst HAVING count(*) = min(expected)""")
+def _(spark, sf):
+    return ingest.drain(stateful.complete_bursts(burst_frames_of(events(spark, sf))))
+
+
+@query("r9_drain_backlog", with_views("packets") + """
+SELECT clip_id, count(*) AS packets, CAST(sum(size) AS BIGINT) AS bytes FROM packets GROUP BY clip_id""")
+def _(spark, sf):
+    done = ingest.drain(views.packets_of(events(spark, sf)))
+    return done.groupBy("clip_id").agg(F.count(F.lit(1)).alias("packets"), F.sum("size").alias("bytes"))
+
+
+@query("r10_bounded_triggers", with_views("packets") + "SELECT clip_id, arrival, size FROM packets WHERE is_key")
+def _(spark, sf):
+    stream = views.packets_of(ingest.read_stream(spark, sf, "events.parquet", files_per_trigger=1))
+    return ingest.drain(stream.filter("is_key").select("clip_id", "arrival", "size"))
+
+
+@query("r11_running_telemetry", with_views("telemetry") + """
+SELECT clip_id, count(*) AS frames, count(*) FILTER (WHERE dropped) AS drops, max(gpu_ns) AS gpu_max_ns FROM telemetry GROUP BY clip_id""")
+def _(spark, sf):
+    def metrics(batch):
+        return batch.groupBy("clip_id").agg(
+            F.count(F.lit(1)).alias("frames"), F.count_if("dropped").alias("drops"), F.max("gpu_ns").alias("gpu_max_ns"))
+
+    table = ingest.drain_batches(views.telemetry_of(events(spark, sf)), metrics)
+    return table.groupBy("clip_id").agg(
+        F.sum("frames").alias("frames"), F.sum("drops").alias("drops"), F.max("gpu_max_ns").alias("gpu_max_ns"))
+
+
+@query("r12_hold_for_neutral", with_views("neutral", more="""
+n AS (SELECT * FROM neutral WHERE is_neutral), f AS (SELECT clip_id, arrival FROM neutral WHERE is_frame),
+h AS (SELECT clip_id, arg_min(n0, arrival) AS h0, arg_min(n1, arrival) AS h1, arg_min(n2, arrival) AS h2 FROM n GROUP BY clip_id)""") + """
+SELECT f.clip_id, f.arrival, coalesce(n.n0, h0) AS n0, coalesce(n.n1, h1) AS n1, coalesce(n.n2, h2) AS n2
+FROM f ASOF LEFT JOIN n ON f.clip_id = n.clip_id AND f.arrival >= n.arrival JOIN h ON f.clip_id = h.clip_id""")
+def _(spark, sf):
+    return ingest.drain(stateful.hold_for_neutral(views.neutral_of(events(spark, sf))))

@@ -1,0 +1,15 @@
+"""Packets that come before the container is open."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from cliploom.operators import segments
+
+
+def drop_before_open(packets: DataFrame) -> DataFrame:
+    """Only packets from the clip's first ``is_config`` row on; a clip without one keeps nothing."""
+    opened = packets.filter("is_config").groupBy("clip_id").agg(F.min("arrival").alias("__open"))
+    rows = segments.attach(packets, opened, ["clip_id"], F.col("arrival"))
+    return rows.filter(F.col("arrival") >= F.col("__open")).drop("__open")

@@ -22,8 +22,12 @@ packets AS (
 
 
 def packets(spark: SparkSession, folder: str) -> DataFrame:
-    e = table(spark, folder, "events")
-    return e.select(
+    return packets_of(table(spark, folder, "events"))
+
+
+def packets_of(events: DataFrame) -> DataFrame:
+    """Packets of an events table or stream."""
+    return events.select(
         (F.col("user_id") % 20).alias("clip_id"),
         F.col("event_id").alias("arrival"),
         F.col("event_type").isin("click", "view").alias("is_audio"),
@@ -42,9 +46,13 @@ telemetry AS (
 
 
 def telemetry(spark: SparkSession, folder: str) -> DataFrame:
-    e = table(spark, folder, "events")
+    return telemetry_of(table(spark, folder, "events"))
+
+
+def telemetry_of(events: DataFrame) -> DataFrame:
+    """Frame telemetry of an events table or stream."""
     i = F.col("event_id")
-    return e.select(
+    return events.select(
         (F.col("user_id") % 20).alias("clip_id"),
         i.alias("arrival"),
         (i * 33000000 + i % 7 * 1000000).alias("ts_ns"),
@@ -194,8 +202,13 @@ neutral AS (
 
 
 def neutral(spark: SparkSession, folder: str) -> DataFrame:
+    return neutral_of(table(spark, folder, "events"))
+
+
+def neutral_of(events: DataFrame) -> DataFrame:
+    """Neutral readings and frames of an events table or stream."""
     i = F.col("event_id")
-    return table(spark, folder, "events").select(
+    return events.select(
         (F.col("user_id") % 20).alias("clip_id"),
         i.alias("arrival"),
         (F.col("event_type") == "signup").alias("is_neutral"),
