@@ -24,7 +24,8 @@ def _(spark, sf):
 
 
 def half_streams(spark, sf):
-    at = ingest.sensor_clock(F.col("ts_ns") * 1_000_000_000)
+    # watermarks start at the epoch, so the keys are placed an hour after it
+    at = ingest.sensor_clock((F.col("ts_ns") + 3600) * 1_000_000_000)
     images = ingest.read_stream(spark, sf, "orders.parquet").select(
         F.col("o_orderkey").alias("ts_ns"), F.col("o_custkey").alias("session_id")).withColumn("at", at)
     results = ingest.read_stream(spark, sf, "lineitem.parquet").select(
