@@ -151,7 +151,8 @@ def assign_clusters(
     asking = info.filter("NOT starts AND NOT has_hard").select(
         "clip_id", "chunk", "prior_rel",
         F.explode(F.sequence(second(F.col("prior_rel")) - 1, second(F.col("prior_rel")) + 1)).alias("sec"))
-    times = rows.select("clip_id", "rel_ns").distinct().withColumn("sec", second(F.col("rel_ns")))
+    times = rows.select("clip_id", "rel_ns", second(F.col("rel_ns")).alias("sec")).join(
+        asking.select("clip_id", "sec").distinct(), ["clip_id", "sec"], "left_semi").distinct()
     candidates = asking.join(times, ["clip_id", "sec"]).filter(F.abs(F.col("rel_ns") - F.col("prior_rel")) <= span_ns)
 
     flags = info.select("clip_id", "chunk", "starts")

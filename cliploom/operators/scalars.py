@@ -167,7 +167,9 @@ def develop_colour(rgb: DataFrame, devices: DataFrame) -> DataFrame:
     ``rgb``: device, r, g, b (linear).  ``devices``: device, gains ARRAY(3), ccm ARRAY(9).
     """
     balanced = [F.col(n) * F.col("gains")[i] for i, n in enumerate("rgb")]
-    joined = rgb.join(devices.select("device", "gains", "ccm"), "device")
+    spread = F.struct(*[F.col(c) for c in rgb.columns])
+    joined = segments.attach(rgb, devices.select("device", "gains", "ccm"), ["device"], spread).filter(
+        F.col("ccm").isNotNull())
     mixed = joined.select(
         *[c for c in rgb.columns if c not in "rgb"],
         *[
