@@ -95,9 +95,10 @@ def interleave_tracks(packets: DataFrame, **kw) -> DataFrame:
     )
     axis_key = ["clip_id", "value", "kind", "part"]
     axis = marked.groupBy(*axis_key).agg(
-        F.min(F.when(video, F.struct("arrival", "v_before"))).alias("hit"),
+        F.min(F.when(video, F.col("arrival"))).alias("at"),
+        F.min(F.when(video, F.col("v_before"))).alias("rank"),  # grows with arrival, so it belongs to the same packet
         F.sum(audio.cast("long")).alias("released"),
-    )
+    ).withColumn("hit", F.when(F.col("at").isNotNull(), F.struct(F.col("at").alias("arrival"), F.col("rank").alias("v_before"))))
     met = segments.scan(
         axis, keys, ["value", "kind", "part"],
         {"__hit": Scan("next", F.col("hit")), "__released": Scan("sum", F.col("released"))}, bits=VALUE_BITS,

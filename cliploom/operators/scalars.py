@@ -27,8 +27,8 @@ def rebase_clock(frames: DataFrame) -> DataFrame:
 
     ``frames``: clip_id, arrival, ts_ns, mono_ns, boot_ns (clock readings at arrival).
     """
-    first = frames.groupBy("clip_id").agg(F.min_by(F.struct("ts_ns", "mono_ns", "boot_ns"), "arrival").alias("f"))
-    offset = rates.clock_offset(F.col("f.ts_ns"), F.col("f.mono_ns"), F.col("f.boot_ns"))
+    first = frames.groupBy("clip_id").agg(*[F.min_by(c, "arrival").alias(c) for c in ("ts_ns", "mono_ns", "boot_ns")])
+    offset = rates.clock_offset(F.col("ts_ns"), F.col("mono_ns"), F.col("boot_ns"))
     offsets = first.select("clip_id", offset.cast("long").alias("offset_ns"))
     return segments.attach(frames, offsets, ["clip_id"], F.col("arrival")).withColumn(
         "ts_ns", F.col("ts_ns") - F.col("offset_ns")
@@ -168,8 +168,8 @@ def develop_colour(rgb: DataFrame, devices: DataFrame) -> DataFrame:
     """
     balanced = [F.col(n) * F.col("gains")[i] for i, n in enumerate("rgb")]
     spread = F.struct(*[F.col(c) for c in rgb.columns])
-    joined = segments.attach(rgb, devices.select("device", "gains", "ccm"), ["device"], spread).filter(
-        F.col("ccm").isNotNull())
+    known = devices.select("device", "gains", "ccm", F.lit(True).alias("__known"))
+    joined = segments.attach(rgb, known, ["device"], spread).filter("__known")
     mixed = joined.select(
         *[c for c in rgb.columns if c not in "rgb"],
         *[

@@ -17,6 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 SEGMENT_BITS = 12
 # One level leaves one row per 4096 for the final per-clip scan: fine up to a few hundred GB of
@@ -58,7 +59,7 @@ class Scan:
     strict: bool = False
 
 
-def _summary(scan: Scan, at: Column) -> Column:
+def _summary(scan: Scan, at: Column, fields: list[str] | None) -> Column:
     v = scan.value
     if scan.kind == "position":
         return F.count(F.lit(1))
@@ -67,11 +68,18 @@ def _summary(scan: Scan, at: Column) -> Column:
     if scan.kind == "max":
         return F.max(v)
     present = F.when(v.isNotNull(), at)
-    if scan.kind == "last":
-        return F.max_by(v, present)
-    if scan.kind in ("first", "next"):
-        return F.min_by(v, present)
-    raise ValueError(scan.kind)
+    pick = F.max_by if scan.kind == "last" else F.min_by
+    if fields is None:
+        return pick(v, present)
+    # field by field: buffers of plain numbers keep this a hash aggregation, a struct would be sorted first
+    return F.when(F.count(v) > 0, F.struct(*[pick(v[f], present).alias(f) for f in fields]))
+
+
+def _fields(df: DataFrame, scan: Scan) -> list[str] | None:
+    if scan.kind not in ("last", "first", "next"):
+        return None
+    kind = df.select(scan.value.alias("v")).schema["v"].dataType
+    return kind.fieldNames() if isinstance(kind, StructType) else None
 
 
 def _carried(scan: Scan, value: Column) -> Scan:
@@ -132,7 +140,8 @@ def scan(
     at = order_cols[0] if len(order) == 1 else F.struct(*order_cols)
     rows = df.withColumn(seg, F.shiftright(order_cols[0].cast("long"), bits))
     temp = {n: f"__in_{levels}_{n}" for n in scans}
-    summaries = rows.groupBy(*keys, seg).agg(*[_summary(s, at).alias(temp[n]) for n, s in scans.items()])
+    summaries = rows.groupBy(*keys, seg).agg(
+        *[_summary(s, at, _fields(df, s)).alias(temp[n]) for n, s in scans.items()])
     carried = {f"__carry_{levels}_{n}": _carried(s, F.col(temp[n])) for n, s in scans.items()}
     carries = scan(summaries, keys, [seg], carried, bits, levels - 1).select(*keys, seg, *carried)
     joined = rows.join(carries, [*keys, seg], "left")
