@@ -21,9 +21,9 @@ def _step(m: Column, a: Column, b: Column) -> Column:
     return F.zip_with(m, b, lambda p, q: a * p + q)
 
 
-def _listed(steps: DataFrame, by: list[str], index: str, carry: Sequence[str] = ()) -> DataFrame:
+def _listed(steps: DataFrame, by: list[str], index: str, payload: Column | None = None) -> DataFrame:
     """The steps of every group in order; folding and replaying share this one shuffle."""
-    step = F.struct(F.col(index).alias("i"), "a", "b", F.struct(*carry).alias("p") if carry else F.lit(0).alias("p"))
+    step = F.struct(F.col(index).alias("i"), "a", "b", (F.lit(0) if payload is None else payload).alias("p"))
     return steps.groupBy(*by).agg(F.sort_array(F.collect_list(step)).alias("steps"))
 
 
@@ -80,9 +80,10 @@ def affine_scan(
     if levels is None:
         levels = segments.levels_for(rows) - 1
     steps = rows.select(
-        *keys, F.col(index).cast("long").alias(index), a.cast("double").alias("a"), b.alias("b"), *carry,
+        *keys, F.col(index).cast("long").alias(index), a.cast("double").alias("a"), b.alias("b"),
+        (F.struct(*carry) if carry else F.lit(0)).alias("p"),
         F.shiftright(F.col(index).cast("long"), bits).alias("g"))
     by = [*keys, "g"]
-    listed = _listed(steps, by, index, carry)
+    listed = _listed(steps, by, index, F.col("p"))
     entries = _entries(_folded(listed, by), keys, starts, bits, levels)
     return _replayed(listed.join(entries.withColumnRenamed("m", "m0"), by), keys, index, before=False, carry=carry)

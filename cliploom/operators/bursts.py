@@ -101,8 +101,8 @@ def merge_brackets(
     used where every frame is clipped) rides along as a ``max``.
 
     ``pixels``: frame_id, y, x, v; ``frames``: frame_id, white, black; ``shifts``: frame_id, dx, dy
-    in proxy pixels.  An aligned source lies at ``x + 2*dx``; ``as_written`` uses ``x - 2*dx``,
-    the opposite sign, which the reference behaviour shows.
+    in proxy pixels.  An aligned source lies at ``x + 2*dx``; ``as_written`` reads ``x - 2*dx`` instead,
+    for results that must equal a merge made with the opposite sign.
     """
     info = per_frame.join(per_burst.select("burst", "ref_white"), "burst").join(
         frames.select("frame_id", "white", "black"), "frame_id")
