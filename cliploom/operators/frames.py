@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from cliploom.operators import affine
 
-TILE_BITS = 6
+TILE_BITS = 8  # 256 x 256 pixels to a work item
 
 # Fixed values.
 NOISE_SLOPE, NOISE_FLOOR = 0.04, 0.004
@@ -47,9 +47,10 @@ def taps_for(pattern: str, y: int, x: int, channel: str) -> dict:
 
 def by_tile(
     pixels: DataFrame, keys: Sequence[str], halo: int, w: int, h: int,
-    fn: Callable[[pd.DataFrame, int, int, int, int], pd.DataFrame], schema: str, bits: int = TILE_BITS,
+    fn: Callable[[pd.DataFrame, int, int, int, int], pd.DataFrame], schema: str,
 ) -> DataFrame:
     """Run ``fn(rows, y0, x0, y1, x1)`` for every tile; rows reach ``halo`` past its [y0, y1) x [x0, x1)."""
+    bits = TILE_BITS
     span = lambda c, size: F.sequence(
         F.shiftright(F.greatest(F.col(c) - halo, F.lit(0)), bits),
         F.shiftright(F.least(F.col(c) + halo, F.lit(size - 1)), bits))

@@ -86,7 +86,9 @@ def nlm_brute(planes, target, history):
     return out
 
 
-def test_non_local_means_against_brute_force(spark):
+@pytest.mark.parametrize("bits", [3, 8])
+def test_non_local_means_against_brute_force(spark, monkeypatch, bits):
+    monkeypatch.setattr(frames, "TILE_BITS", bits)
     rng = np.random.default_rng(1)
     planes = {i: 0.5 + 0.05 * rng.standard_normal((12, 18)) for i in range(3)}
     history = spark.createDataFrame([(0, 0, 0), (1, 0, 0), (2, 1, 0)], "frame_id long, past0 long, past1 long")
@@ -97,7 +99,19 @@ def test_non_local_means_against_brute_force(spark):
         assert max(abs(values[target, y, x] - want[y, x]) for y in range(12) for x in range(18)) < 1e-12
 
 
-def test_constant_image_unchanged_across_tiles(spark):
+def test_tiles_do_not_change_a_demosaic(spark, monkeypatch):
+    plane = {0: np.random.default_rng(4).random((40, 50))}
+    out = []
+    for bits in (3, 4, 8):
+        monkeypatch.setattr(frames, "TILE_BITS", bits)
+        out.append(sorted(map(tuple, frames.demosaic(image_df(spark, plane, "image_id"), 50, 40).collect())))
+    assert len(out[0]) == 2000
+    for other in out[1:]:
+        assert np.allclose(np.array(out[0]), np.array(other), atol=1e-12)
+
+
+def test_constant_image_unchanged_across_tiles(spark, monkeypatch):
+    monkeypatch.setattr(frames, "TILE_BITS", 5)
     planes = {0: np.full((70, 80), 0.25)}
     history = spark.createDataFrame([(0, 0, 0)], "frame_id long, past0 long, past1 long")
     got = frames.non_local_means(image_df(spark, planes, "frame_id"), history, 80, 70)
