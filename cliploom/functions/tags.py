@@ -71,15 +71,9 @@ def _minor(m: list[Column], r: int, c: int) -> Column:
     return m[3 * rows[0] + cols[0]] * m[3 * rows[1] + cols[1]] - m[3 * rows[0] + cols[1]] * m[3 * rows[1] + cols[0]]
 
 
-def matrix_inverse(m: list[Column]) -> list[Column]:
-    """Adjugate over determinant; a singular matrix gives the identity."""
-    det = m[0] * _minor(m, 0, 0) - m[1] * _minor(m, 0, 1) + m[2] * _minor(m, 0, 2)
-    safe = F.when(F.abs(det) < 1e-12, None).otherwise(det)
-    return [
-        F.coalesce((1.0 if (r + c) % 2 == 0 else -1.0) * _minor(m, c, r) / safe, F.lit(1.0 if r == c else 0.0))
-        for r in range(3)
-        for c in range(3)
-    ]
+def cofactors(m: list[Column]) -> list[Column]:
+    """Signed minors of a row-major 3x3 matrix."""
+    return [(1.0 if (r + c) % 2 == 0 else -1.0) * _minor(m, r, c) for r in range(3) for c in range(3)]
 
 
 # Fixed values of the public PQ transfer standard (ST 2084).

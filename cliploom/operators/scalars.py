@@ -142,19 +142,23 @@ def derive_colour_matrix(devices: DataFrame) -> DataFrame:
     reported).  Each step is its own projection, so a step is computed once per device.
     """
     identity = F.array(*[F.lit(1.0 if i % 4 == 0 else 0.0) for i in range(9)])
-    inverse = F.array(*tags.matrix_inverse(_nine("colour1")))
+    # inverse = transposed cofactors over the determinant; a singular matrix reads as the identity
+    usable = F.abs("__det") >= 1e-12
+    inverse = F.when(usable, F.array(*[F.col("__cofactors")[3 * c + r] / F.col("__det") for r in range(3) for c in range(3)]))
     chosen = (
         F.when(F.col("forward2").isNotNull() & (F.col("illuminant2") == tags.ILLUMINANT_D65), F.col("forward2"))
         .when(F.col("forward1").isNotNull(), F.col("forward1"))
-        .when(F.col("colour1").isNotNull(), inverse)
-        .otherwise(identity)
+        .otherwise(F.coalesce(inverse, identity))
     )
     a, b = tags.XYZ_D65_TO_BT2020, tags.BRADFORD_D50_TO_D65
     adapt = [F.lit(sum(a[3 * r + k] * b[3 * k + c] for k in range(3))) for r in range(3) for c in range(3)]
     sums = [F.col("__full")[3 * r] + F.col("__full")[3 * r + 1] + F.col("__full")[3 * r + 2] for r in range(3)]
     scale = [F.when(F.abs(s) < 1e-9, 1.0).otherwise(s) for s in sums]
     return (
-        devices.select("device", chosen.alias("__chosen"))
+        devices.withColumn("__cofactors", F.array(*tags.cofactors(_nine("colour1"))))
+        .withColumn("__det", sum((F.col("colour1")[i] * F.col("__cofactors")[i] for i in (1, 2)),
+                                 F.col("colour1")[0] * F.col("__cofactors")[0]))
+        .select("device", chosen.alias("__chosen"))
         .withColumn("__full", F.array(*tags.matrix_product(adapt, _nine("__chosen"))))
         .withColumn("__scale", F.array(*scale))
         .select("device", F.array(*[F.col("__full")[i] / F.col("__scale")[i // 3] for i in range(9)]).alias("ccm"))
