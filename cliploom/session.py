@@ -28,14 +28,20 @@ def build_session(app: str = "cliploom", cores: str = "*", shuffle_partitions: i
 
 
 def durable_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a fresh local one only where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        current = spark.sparkContext.getCheckpointDir()
-        folder = current or tempfile.mkdtemp(prefix="run-")
-        if not current:
-            spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    Where it is unset, a session of one process gets a temporary folder; on a cluster that is an
+    error, because a folder of one machine is not seen by the others.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    folder = tempfile.mkdtemp(prefix="run-")
+    spark.sparkContext.setCheckpointDir(folder)
+    return spark.sparkContext.getCheckpointDir() or folder
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
