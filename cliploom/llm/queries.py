@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cliploom.llm import lines
+from cliploom.llm import contamination, lines
 from cliploom.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +46,37 @@ def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents").select("doc_id", "text")
     kept = lines.apply_bitmaps(docs, lines.keep_bitmaps(docs))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query("op2_decontamination", r"""
+WITH norm AS (
+  SELECT 0 AS side, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+worded AS (
+  SELECT side, id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM norm),
+sized AS (SELECT *, least(10, len(words)) AS size FROM worded WHERE side = 1 AND len(words) > 0),
+windows AS (
+  SELECT DISTINCT id AS item_id, size, array_to_string(list_slice(words, i, i + size - 1), ' ') AS win
+  FROM (SELECT *, unnest(range(1, len(words) - size + 2)) AS i FROM sized)),
+sizes AS (SELECT DISTINCT size FROM windows),
+grams AS (
+  SELECT id AS doc_id, size, i, array_to_string(list_slice(words, i, i + size - 1), ' ') AS win
+  FROM (SELECT w.id, w.words, s.size, unnest(range(1, len(w.words) - s.size + 2)) AS i
+        FROM worded w, sizes s WHERE w.side = 0 AND len(w.words) >= s.size)),
+found AS (SELECT g.doc_id, g.i, g.size, w.item_id FROM grams g JOIN windows w ON g.win = w.win AND g.size = w.size),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM found) GROUP BY 1),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY 1)
+SELECT w.id AS doc_id, len(w.words) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(i.n_items, 0) AS n_items,
+       sha256(coalesce(i.list, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM worded w LEFT JOIN hit h ON w.id = h.doc_id LEFT JOIN items i ON w.id = i.doc_id WHERE w.side = 0
+""")
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = contamination.contaminated_words(
+        read(spark, folder, "documents").select("doc_id", "text"), read(spark, folder, "benchmark").select("item_id", "text"))
+    n_hit = contamination.hit_words(F.col("hits"))
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"))
