@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cliploom.llm import contamination, lines, simhash
+from cliploom.llm import codes, contamination, lines, packing, simhash
 from cliploom.llm.common import read
+from cliploom.session import durable_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -86,3 +88,15 @@ def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 def op6_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, folder, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op1_token_codes")
+def op1_token_codes(spark: SparkSession, folder: str) -> DataFrame:
+    path = f"{durable_dir(spark).rstrip('/')}/codes-{uuid.uuid4().hex}"
+    codes.write_codes(read(spark, folder, "documents").select("doc_id", "text"), path)
+    return codes.read_documents(spark, path).select("doc_id", "start", "n_tokens", codes.crc32_of("ids").alias("ids_crc32"))
+
+
+@query("op3_best_fit_packing")
+def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(packing.token_pieces(read(spark, folder, "documents").select("doc_id", "text")))
