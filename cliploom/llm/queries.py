@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cliploom.llm import codes, contamination, lines, packing, simhash
+from cliploom.llm import codes, contamination, lines, packing, simhash, token_counts
 from cliploom.llm.common import read
 from cliploom.session import durable_dir
 
@@ -100,3 +100,8 @@ def op1_token_codes(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_best_fit_packing")
 def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(packing.token_pieces(read(spark, folder, "documents").select("doc_id", "text")))
+
+
+@query("op10_token_counts")
+def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.token_counts(read(spark, folder, "documents").select("doc_id", "text"))
