@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cliploom.llm import codes, contamination, lines, packing, simhash, token_counts
+from cliploom.llm import codes, contamination, lines, packing, retrieval, simhash, token_counts
 from cliploom.llm.common import read
 from cliploom.session import durable_dir
 
@@ -105,3 +105,19 @@ def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_token_counts")
 def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(read(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query("op8_exact_top_k", """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 20
+""")
+def op8_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = read(spark, folder, "embeddings").select(F.col("vec_id").alias("frame_id"), F.col("embedding").alias("bands"))
+    return retrieval.top_products(vectors, k=20, every=20).withColumnRenamed("frame_id", "vec_id")
