@@ -3,12 +3,12 @@
 The recorder that this library follows keeps no text, so the operator is general: it works on any
 table with an integer id column and a text column.
 
-Method: a fingerprint is cut into two halves of sixteen segments of two bits, and a half is mapped to
-its sixteen bit counts.  The Manhattan distance of two count vectors is never more than the number of
-differing bits.  Of two fingerprints that differ in at most four bits one half differs in at most two,
-so its vectors lie within distance two, and some grid cell lies within distance one of both.  Each
-distinct fingerprint is written to all cells within distance one of its own, cells are joined, and
-pairs that share a cell are verified bit by bit.  Nothing is lost: the grid only adds candidates.
+Method: a fingerprint is cut into 32 segments of two bits and mapped to its 32 bit counts.  The Manhattan
+distance of two count vectors is never more than the number of differing bits.  The counts form eight
+octets of four; vectors within Manhattan distance four differ in four octets at most, so they agree on
+some four of the eight.  Each distinct fingerprint is written to the 70 grid cells that fix the counts of
+four octets, cells are joined, and pairs that share a cell are verified bit by bit.  Nothing is lost: the
+grid only adds candidates.
 
 Cells may be crowded.  A cell of n fingerprints is cut into blocks, and each pair of blocks is a work
 item of bounded size; from a work item comes a spanning forest of its links, not every pair.
@@ -17,6 +17,7 @@ item of bounded size; from a work item comes a spanning forest of its links, not
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cliploom.llm.common import LOWER_BYTES, as_bytes, shared_table, text_key
+from cliploom.llm.common import LOWER_BYTES, as_bytes, mix, shared_table, text_key
 
 SEED = 42
 RADIUS = 4  # the grid is built for this many differing bits
@@ -63,23 +64,19 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         scan, "doc_id long, fingerprint long")
 
 
+OCTETS = [sum(0xFF << (8 * octet) for octet in four) for four in combinations(range(8), 4)]
+
+
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fingerprints to the grid cells within Manhattan distance one of their segments' bit counts."""
+    """Fingerprints to their grid cells: the bit counts of any four octets, named by a hash."""
     odd = np.uint64(0x5555555555555555)
     for batch in batches:
-        print_, node = batch.column("fingerprint").to_numpy().view(np.uint64), batch.column("node").to_numpy()
-        counts = print_ - ((print_ >> np.uint64(1)) & odd)  # two bits each: ones in every segment of two bits
-        for half in (0, 1):
-            own = ((counts >> np.uint64(32 * half)) & np.uint64(0xFFFFFFFF)).view(np.int64) | (half << 32)
-            cells, rows = [own], [np.arange(len(own))]
-            for i in range(16):
-                field = (own >> (2 * i)) & 3
-                for step, fits in ((1, field < 2), (-1, field > 0)):
-                    rows.append(np.flatnonzero(fits))
-                    cells.append(own[rows[-1]] + step * (1 << (2 * i)))
-            pick = np.concatenate(rows)
+        prints = batch.column("fingerprint").to_numpy().view(np.uint64)
+        counts = prints - ((prints >> np.uint64(1)) & odd)  # two bits each: ones in every segment of two bits
+        for mask in OCTETS:
+            cell = mix(mix(counts & np.uint64(mask)) ^ np.uint64(mask))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(cells)), pa.array(print_[pick].view(np.int64)), pa.array(node[pick])],
+                [pa.array(cell.view(np.int64)), batch.column("fingerprint"), batch.column("node")],
                 names=["cell", "fingerprint", "node"])
 
 
@@ -156,7 +153,9 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     if not 0 <= radius <= RADIUS:
         raise ValueError(f"the grid finds up to {RADIUS} differing bits")
-    cells = distinct.mapInArrow(_cells, "cell long, fingerprint long, node long")
+    # fingerprints are few bytes each but make 70 rows: spread them over all tasks
+    spread = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fingerprint")
+    cells = spread.mapInArrow(_cells, "cell long, fingerprint long, node long")
     crowd = cells.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     shared = cells.join(crowd, "cell").withColumn("blocks", blocks).withColumn(
