@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cliploom.llm import codes, contamination, lines, packing, retrieval, simhash, token_counts
+from cliploom.llm import codes, contamination, lines, packing, retrieval, simhash, token_counts, toxicity
 from cliploom.llm.common import read
 from cliploom.session import durable_dir
 
@@ -121,3 +121,12 @@ FROM scored QUALIFY rank <= 20
 def op8_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     vectors = read(spark, folder, "embeddings").select(F.col("vec_id").alias("frame_id"), F.col("embedding").alias("bands"))
     return retrieval.top_products(vectors, k=20, every=20).withColumnRenamed("frame_id", "vec_id")
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.fit_documents(docs, read(spark, folder, "labels").select("doc_id", "toxic"))
+    scored = model.score(docs)
+    return scored.select(
+        "doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
