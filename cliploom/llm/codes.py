@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cliploom.llm.common import text_key
-from cliploom.llm.vocab import END_ID, encoder, public_file
+from cliploom.llm.vocab import END_ID, encoder, public_file, text_slices
 
 MAGIC = b"DAC1"
 RANK_BLOCK = 512
@@ -120,10 +120,10 @@ def write_codes(docs: DataFrame, path: str, tokenizer: str | None = None, id_col
                 names=["shard", "segment", "n_tokens", "doc_ids", "lengths", "codes"])
 
         for batch in batches:
-            for i in range(batch.num_rows):
-                ids = code.encode([batch.column("text")[i].as_py()])[0] + end
-                held.append((batch.column("doc_id")[i].as_py(), ids))
-                size += len(ids) // 4
+            coded = (ids for part in text_slices(batch.column("text")) for ids in code.encode(part))
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), coded, strict=True):
+                held.append((doc, ids + end))
+                size += len(ids) // 4 + 1
                 if size >= segment_tokens:
                     yield flush()
                     held, size, segment = [], 0, segment + 1

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cliploom.llm.common import shared_table
-from cliploom.llm.vocab import END_ID, encoder, public_file
+from cliploom.llm.vocab import END_ID, encoder, public_file, text_slices
 
 LENGTH = 4096
 OPEN_BINS = 8192
@@ -79,9 +79,8 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, id_column: str =
         code, end = encoder(file), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []
-            for i in range(batch.num_rows):
-                ids = code.encode([batch.column(1)[i].as_py()])[0] + end
-                doc = batch.column(0)[i].as_py()
+            coded = (ids + end for part in text_slices(batch.column(1)) for ids in code.encode(part))
+            for doc, ids in zip(batch.column(0).to_pylist(), coded, strict=True):
                 for n, at in enumerate(range(0, len(ids), 4 * size)):
                     part = ids[at : at + 4 * size]
                     rows.append((doc, n, at // 4, len(part) // 4, zlib.crc32(part)))

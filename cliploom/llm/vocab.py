@@ -1,62 +1,124 @@
-"""Token ids of texts by a public tokenizer file, with each word encoded once per worker."""
+"""Token ids of texts by a public tokenizer file, with each piece of text encoded once per worker."""
 
 from __future__ import annotations
 
 import functools
+import json
 import os
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 END_ID = 1
-CACHE_WORDS = 400_000  # of at most LONG_WORD characters: some 60 MB a worker
-LONG_WORD = 64
+CACHE_PIECES = 500_000  # of at most LONG_PIECE characters: some 70 MB a worker
+LONG_PIECE = 64
+LATIN = 0x180  # code points below are Latin letters, digits and signs; so are their lower cases, but that of U+0130
+SLICE_CHARS = 1 << 18
+#: White space as the tokenizers library's patterns know it (fixed values).
+SPACE = r"\t\n\x0b\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def text_slices(column: pa.Array) -> Iterator[list[str | None]]:
+    """The texts of a column in order, some hundred kilobytes (one text at least) at a time."""
+    part: list[str | None] = []
+    size = 0
+    for i in range(len(column)):
+        part.append(column[i].as_py())
+        size += len(part[-1] or "")
+        if size >= SLICE_CHARS:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
+def _class(pattern: str) -> str:
+    """The characters below LATIN that match ``pattern``, as ranges of a character class."""
+    codes = [c for c in range(LATIN) if regex.match(pattern, chr(c))]
+    ranges = [[codes[0], codes[0]]]
+    for c in codes[1:]:
+        if c == ranges[-1][1] + 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in ranges)
 
 
 class Encoder:
     """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit integers.
 
-    Where the tokenizer drops white space, no token spans a space or line end: texts are cut there and
-    the library encodes each different piece once.  Other tokenizers get whole texts.
+    Where a tokenizer cuts lower-cased text by the pattern ``PIECES``, drops white space and marks the
+    ends of words, texts in Latin letters are cut likewise, and the library encodes each different piece
+    once, many in one call: a piece ends with the only id that carries the end-of-word mark.  Texts with
+    other characters or special strings, and other tokenizers, get the library's call on whole texts.
     """
 
+    #: Fixed value: the pattern by which the public word vocabulary cuts texts.
+    PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.by_word = not any(self._ids([" ", "\n", " \n "]))
-        self.cache: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        config = json.loads(self.tokenizer.to_str())
+        cuts = [p["pattern"].get("Regex") for p in (config["pre_tokenizer"] or {}).get("pretokenizers", []) if p["type"] == "Split"]
+        lower = "Lowercase" in [n["type"] for n in (config["normalizer"] or {}).get("normalizers", [])]
+        suffix = config["model"].get("end_of_word_suffix")
+        self.by_piece = cuts == [self.PIECES] and lower and bool(suffix) and not any(self._ids([" ", "\n", " \n "]))
+        if self.by_piece:
+            letters, digits = _class(r"\p{L}"), _class(r"\p{N}")
+            self.cut = re.compile(f"[{letters}]+|'s|'t|'re|'ve|'m|'ll|'d|[{digits}]|[^{SPACE}{letters}{digits}]+").findall
+            # only in Latin letters and signs are lower case and normal form letter by letter
+            special = ["\u0130", *(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())]
+            self.odd = re.compile("|".join([f"[^\\x00-\\u{LATIN - 1:04x}]", *special])).search
+            vocab = self.tokenizer.get_vocab()
+            self.last = np.zeros(max(vocab.values()) + 1, bool)
+            self.last[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
 
     def _ids(self, texts: Sequence[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
+    def _piece_ids(self, pieces: list[str]) -> list[bytes]:
+        """Ids of single pieces, by one call for all of them."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(pieces):
+            return self._ids(pieces)
+        raw = ids.tobytes()
+        return [raw[4 * a : 4 * b] for a, b in zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist(), strict=True)]
+
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
-        if not self.by_word:
-            return self._ids([t or "" for t in texts])
-        out = []
-        for text in texts:
-            words = (text or "").replace("\n", " ").split(" ")
-            try:
-                out.append(b"".join(map(self.cache.__getitem__, words)))
-            except KeyError:
-                out.append(self._learn(words))
+        whole = [t or "" for t in texts]
+        if not self.by_piece:
+            return self._ids(whole)
+        odd = [i for i, t in enumerate(whole) if self.odd(t)]
+        cut = [self.cut(t.lower()) for t in whole]
+        for i in odd:
+            cut[i] = []
+        if len(self.pieces) > CACHE_PIECES:
+            self.pieces.clear()
+        known = self.pieces
+        fresh = list({p for parts in cut for p in set(parts) if p not in known})
+        if fresh:
+            known.update(zip(fresh, self._piece_ids(fresh), strict=True))
+        out = [b"".join(map(known.__getitem__, parts)) for parts in cut]
+        for p in fresh:
+            if len(p) > LONG_PIECE:
+                del known[p]
+        for i, ids in zip(odd, self._ids([whole[i] for i in odd]), strict=True):
+            out[i] = ids
         return out
 
-    def _learn(self, words: list[str]) -> bytes:
-        """Encode the words that the cache lacks; it starts anew when full."""
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        fresh = list({w for w in words if w not in self.cache})
-        coded = dict(zip(fresh, self._ids(fresh), strict=True))
-        self.cache.update((w, ids) for w, ids in coded.items() if len(w) <= LONG_WORD)
-        return b"".join([self.cache[w] if w in self.cache else coded[w] for w in words])
-
 
 @functools.cache
 def encoder(path: str) -> Encoder:
-    """One encoder and word cache for each worker process."""
+    """One encoder and its cache for each worker process."""
     return Encoder(path)
 
 
