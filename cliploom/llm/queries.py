@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cliploom.llm import codes, contamination, lines, packing, retrieval, simhash, token_counts, toxicity
+from cliploom.llm import codes, contamination, lines, packing, page_text, retrieval, simhash, token_counts, toxicity
 from cliploom.llm.common import read
 from cliploom.session import durable_dir
 
@@ -130,3 +130,9 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     scored = model.score(docs)
     return scored.select(
         "doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op5_page_text")
+def op5_page_text(spark: SparkSession, folder: str) -> DataFrame:
+    found = page_text.page_texts(read(spark, folder, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
