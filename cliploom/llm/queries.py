@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cliploom.llm import codes, contamination, lines, packing, page_text, retrieval, simhash, token_counts, toxicity
+from cliploom.llm import codes, contamination, dialogues, lines, packing, page_text, retrieval, simhash, token_counts, toxicity
 from cliploom.llm.common import read
 from cliploom.session import durable_dir
 
@@ -136,3 +136,28 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def op5_page_text(spark: SparkSession, folder: str) -> DataFrame:
     found = page_text.page_texts(read(spark, folder, "pages").select("page_id", "url", "html"))
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query("op7_chat_rotation", """
+WITH said AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS said, CAST(floor(turn / 512) AS BIGINT) AS part FROM conversations),
+views AS (SELECT DISTINCT conv_id, role AS speaker FROM conversations WHERE role IS NOT NULL AND role <> 'system'),
+pieces AS (
+  SELECT s.conv_id, v.speaker, s.part, s.turn, s.role, s.said, s.role = v.speaker AS own,
+         CASE WHEN s.role = v.speaker THEN '<|im_start|>assistant' || chr(10)
+              WHEN s.role = 'system' THEN '<|im_start|>system' || chr(10)
+              ELSE '<|im_start|>user name=' || s.role || chr(10) END AS head,
+         s.said || '<|im_end|>' || chr(10) AS body
+  FROM said s JOIN views v ON s.conv_id = v.conv_id),
+placed AS (
+  SELECT *, sum(length(head) + length(body)) OVER w - length(body) AS b, sum(length(head) + length(body)) OVER w AS e
+  FROM pieces
+  WINDOW w AS (PARTITION BY conv_id, speaker, part ORDER BY turn, role, said ROWS UNBOUNDED PRECEDING))
+SELECT conv_id, speaker, part, count(*) AS n_turns, string_agg(head || body, '' ORDER BY turn, role, said) AS text,
+       coalesce(string_agg(CAST(b AS VARCHAR) || ':' || CAST(e - 1 AS VARCHAR), ',' ORDER BY turn, role, said) FILTER (WHERE own), '') AS mask
+FROM placed GROUP BY conv_id, speaker, part
+""")
+def op7_chat_rotation(spark: SparkSession, folder: str) -> DataFrame:
+    found = dialogues.rotate(read(spark, folder, "conversations").select("conv_id", "turn", "role", "text"))
+    spans = F.transform("mask", lambda m: F.concat_ws(":", m["start"], m["end"]))
+    return found.select("conv_id", "speaker", "part", "n_turns", "text", F.array_join(spans, ",").alias("mask"))
