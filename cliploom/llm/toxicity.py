@@ -127,21 +127,19 @@ class Reader:
 
 
 def with_features(texts: DataFrame, column: str, words: frozenset[str], prefixes: frozenset[str]) -> DataFrame:
-    """``texts`` without ``column`` and with ``__features``."""
-    rest = [c for c in texts.columns if c != column]
-    schema = texts.select(*rest, F.array().cast("array<double>").alias("__features")).schema
+    """``texts`` with ``__features``."""
     lexicon = texts.sparkSession.sparkContext.broadcast((words, prefixes))
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("array<double>")
+    def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         reader = Reader(*lexicon.value)
         for batch in batches:
-            found = [reader.features(batch.column(column)[i].as_py() or "") for i in range(batch.num_rows)]
+            found = [reader.features(batch[i].as_py() or "") for i in range(len(batch))]
             flat = np.concatenate(found) if found else np.zeros(0)
-            offsets = np.arange(batch.num_rows + 1, dtype=np.int32) * len(FEATURES)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.float64()))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], lists], names=[*rest, "__features"])
+            offsets = np.arange(len(batch) + 1, dtype=np.int32) * len(FEATURES)
+            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.float64()))
 
-    return texts.mapInArrow(scan, schema)
+    return texts.withColumn("__features", scan(F.col(column)))
 
 
 def learn_lexicon(labelled: DataFrame, text_column: str, label_column: str, max_terms: int = MAX_TERMS) -> tuple[frozenset[str], frozenset[str]]:
@@ -180,16 +178,15 @@ class Model:
     steps: IsotonicRegressionModel | None = None
 
     def score(self, docs: DataFrame, text_column: str = "text") -> DataFrame:
-        """``docs`` without its text and with ``score``, between 0 and 1.
+        """``docs`` with ``score``, between 0 and 1.
 
         Null and empty texts are scored by their features, all of them zero.  A column ``score`` is replaced.
         """
         rows = docs.drop("score")
         if self.trees is None or self.steps is None:
-            return rows.drop(text_column).withColumn("score", F.lit(self.base))
-        rest = [c for c in rows.columns if c != text_column]
+            return rows.withColumn("score", F.lit(self.base))
         read = with_features(rows, text_column, self.words, self.prefixes)
-        return _calibrated(self.trees, self.steps, read).select(*rest, "score")
+        return _calibrated(self.trees, self.steps, read).select(*rows.columns, "score")
 
 
 def _raw(trees: GBTClassificationModel, rows: DataFrame) -> DataFrame:
