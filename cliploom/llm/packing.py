@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cliploom.llm.common import shared_table
 from cliploom.llm.vocab import END_ID, encoder, public_file, text_slices
@@ -107,7 +108,7 @@ def pack(pieces: DataFrame, size: int = LENGTH, length_column: str = "length", o
     stored = shared_table(pieces.drop("sequence_id", "offset"), "pieces")
     groups = max(1, stored.count() // group_pieces)
     names = stored.columns
-    schema = stored.select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).schema
+    schema = StructType(stored.schema.fields).add("sequence_id", "long").add("offset", "long")
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, current = None, None

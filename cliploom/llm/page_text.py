@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_PAGES = 5_000  # labelled pages that weights are learned from
-BOILERPLATE = -3.0  # weight of a word in an element that never belongs to the article
+BOILERPLATE = -3.0  # weight of a block that never belongs to the article
 LIMIT = 4.0  # largest weight
 
 RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp".split())
@@ -32,7 +32,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements that end when one like them begins.
 SIBLINGS = frozenset("p li dt dd td th tr option".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike "
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike "
     "strong sub sup time tt u var wbr".split())
 ARTICLE = frozenset(("article", "main"))
 #: Names in class, id and role that tell what an element is.
@@ -204,7 +204,7 @@ def main_text(page: str, weights: Weights) -> str:
         before = sum(weights.tags.get(t, weights.tag) for t in b.tags)
         if b.skipped:
             # left out in any case; a stretch goes on behind it if more of the article follows
-            value = BOILERPLATE * min(b.words, 1 if b.marked else b.words)
+            value = 0.0 if b.marked else BOILERPLATE
         elif has_mark:
             value = b.words * (weights.marked if b.marked else -weights.marked)
         else:
