@@ -9,8 +9,8 @@ marked in the level's continuation bitmap, and a rank directory holds the number
 block of 512.  The chunk at place i of a level continues at place rank(i) of the next one, so any token
 is read with a few look-ups and no decoding of what lies before it.
 
-A file holds segments of whole documents; a segment carries the documents' ids and lengths and its
-codes.  Shards follow each other in ascending order of document id, so do segments in a shard.
+A file holds segments of whole documents; a segment carries the documents' ids and lengths, the number
+of the shard's ids before it, and its codes.  Shards follow each other in ascending order of document id, so do segments in a shard.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from cliploom.llm.vocab import END_ID, encoder, public_file, text_slices
 MAGIC = b"DAC1"
 RANK_BLOCK = 512
 SEGMENT_TOKENS = 1 << 18
-SEGMENTS = "shard int, segment int, n_tokens long, doc_ids array<long>, lengths array<long>, codes binary"
+SEGMENTS = "shard int, segment int, first long, n_tokens long, doc_ids array<long>, lengths array<long>, codes binary"
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -109,15 +109,15 @@ def write_codes(docs: DataFrame, path: str, tokenizer: str | None = None, id_col
         code, end = encoder(file), np.array([end_id], "<u4").tobytes()
         shard, segment = TaskContext.get().partitionId(), 0
         held: list[tuple[int | None, bytes]] = []
-        size = 0
+        size = first = 0
 
         def flush() -> pa.RecordBatch:
             ids = np.frombuffer(b"".join(part for _, part in held), "<u4")
             return pa.RecordBatch.from_arrays([
-                pa.array([shard], pa.int32()), pa.array([segment], pa.int32()), pa.array([len(ids)], pa.int64()),
+                pa.array([shard], pa.int32()), pa.array([segment], pa.int32()), pa.array([first], pa.int64()), pa.array([len(ids)], pa.int64()),
                 pa.array([[doc for doc, _ in held]], pa.list_(pa.int64())),
                 pa.array([[len(part) // 4 for _, part in held]], pa.list_(pa.int64())), pa.array([pack(ids)], pa.binary())],
-                names=["shard", "segment", "n_tokens", "doc_ids", "lengths", "codes"])
+                names=["shard", "segment", "first", "n_tokens", "doc_ids", "lengths", "codes"])
 
         for batch in batches:
             coded = (ids for part in text_slices(batch.column("text")) for ids in code.encode(part))
@@ -126,7 +126,7 @@ def write_codes(docs: DataFrame, path: str, tokenizer: str | None = None, id_col
                 size += len(ids) // 4 + 1
                 if size >= segment_tokens:
                     yield flush()
-                    held, size, segment = [], 0, segment + 1
+                    held, size, segment, first = [], 0, segment + 1, first + size
         if held:
             yield flush()
 
@@ -140,12 +140,10 @@ def write_codes(docs: DataFrame, path: str, tokenizer: str | None = None, id_col
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
     """Segments with ``start``: the number of ids before each, over all shards."""
     stored = spark.read.schema(SEGMENTS).parquet(path)
-    shards = stored.groupBy("shard").agg(F.sum("n_tokens").alias("n"))  # a row for each task that wrote
+    shards = stored.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     before = shards.select("shard", (F.sum("n").over(W.orderBy("shard")) - F.col("n")).alias("before"))
-    inner = F.sum("n_tokens").over(W.partitionBy("shard").orderBy("segment")) - F.col("n_tokens")
-    starts = stored.select("shard", "segment", "n_tokens", inner.alias("inner")).join(before, "shard").select(
-        "shard", "segment", (F.col("before") + F.col("inner")).alias("start"))
-    return stored.join(starts, ["shard", "segment"])
+    # a row for each task that wrote: bounded by the number of tasks
+    return stored.join(F.broadcast(before), "shard").withColumn("start", F.col("before") + F.col("first")).drop("before", "first")
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:

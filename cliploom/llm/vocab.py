@@ -17,13 +17,13 @@ END_ID = 1
 CACHE_PIECES = 500_000  # of at most LONG_PIECE characters: some 70 MB a worker
 LONG_PIECE = 64
 LATIN = 0x180  # code points below are Latin letters, digits and signs; so are their lower cases, but that of U+0130
-SLICE_CHARS = 1 << 18
+SLICE_CHARS = 1 << 20
 #: White space as the tokenizers library's patterns know it (fixed values).
 SPACE = r"\t\n\x0b\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def text_slices(column: pa.Array) -> Iterator[list[str | None]]:
-    """The texts of a column in order, some hundred kilobytes (one text at least) at a time."""
+    """The texts of a column in order, about a million characters (one text at least) at a time."""
     part: list[str | None] = []
     size = 0
     for i in range(len(column)):
@@ -104,7 +104,7 @@ class Encoder:
         if len(self.pieces) > CACHE_PIECES:
             self.pieces.clear()
         known = self.pieces
-        fresh = list({p for parts in cut for p in set(parts) if p not in known})
+        fresh = list(set().union(*cut).difference(known))
         if fresh:
             known.update(zip(fresh, self._piece_ids(fresh), strict=True))
         out = [b"".join(map(known.__getitem__, parts)) for parts in cut]

@@ -1,5 +1,6 @@
 """Token codes, packing and counts."""
 
+import functools
 import random
 import uuid
 import zlib
@@ -20,8 +21,11 @@ ODD = [
     *["".join(map(chr, range(i, i + 50))) for i in range(1, 0x500, 50)], *["x " + chr(c) + "'s Y" for c in range(1, 0x260, 3)]]
 
 
+load = functools.cache(Tokenizer.from_file)
+
+
 def ids_of(file, text):
-    return Tokenizer.from_file(file).encode(text or "", add_special_tokens=False).ids
+    return load(file).encode(text or "", add_special_tokens=False).ids
 
 
 @pytest.fixture(scope="module")
