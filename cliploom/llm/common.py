@@ -56,3 +56,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+def share_of(hashed: Column, share: float) -> Column:
+    """Whether a 64-bit hash lies in the lowest ``share`` of its range."""
+    return F.shiftrightunsigned(hashed, 11).cast("double") < F.lit(share * 2.0**53)
+
+
+def bounded_sample(rows: DataFrame, hashed: Column, most: int) -> DataFrame:
+    """All of ``rows``, or an even share of them by hash whose expected size is nineteen twentieths of ``most``.
+
+    The share comes from one count; nothing is sorted and no task sees more than its own rows.
+    """
+    n = rows.count()
+    return rows if n <= most else rows.where(share_of(hashed, 0.95 * most / n))

@@ -22,7 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_PAGES = 5_000  # labelled pages that weights are learned from
+from cliploom.llm.common import bounded_sample
+
+MAX_PAGES = 5_000  # pages among which labelled ones are looked for
 BOILERPLATE = -3.0  # weight of a block that never belongs to the article
 LIMIT = 4.0  # largest weight
 
@@ -175,7 +177,7 @@ def count_kinds(found: list[Block]) -> Iterator[tuple[str, int, int]]:
 
 
 def learn_weights(pages: DataFrame, html_column: str = "html", max_pages: int = MAX_PAGES) -> Weights:
-    """Weights from at most ``max_pages`` pages (those whose hashes are smallest) that mark their article."""
+    """Weights from those pages of a sample of at most about ``max_pages`` that mark their article."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,9 +186,7 @@ def learn_weights(pages: DataFrame, html_column: str = "html", max_pages: int =
                 [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())],
                 names=["name", "inside", "outside"])
 
-    marks = pages.where(F.col(html_column).rlike(r"(?i)<(article|main)[\s>]")).select(
-        html_column, F.xxhash64(html_column).alias("h"))
-    drawn = marks.orderBy("h").limit(max_pages).select(html_column)
+    drawn = bounded_sample(pages.select(html_column), F.xxhash64(html_column), max_pages)
     counts = drawn.mapInArrow(scan, "name string, inside long, outside long").groupBy("name").agg(
         F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
     rows = counts.orderBy(F.desc(F.col("inside") + F.col("outside"))).limit(2_000).collect()  # one row for each kind of element

@@ -23,11 +23,11 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cliploom.llm.common import shared_table
+from cliploom.llm.common import share_of, shared_table
 
 SCALE = 64
 BLOCK = 2048  # vectors of one block
-SEEDS = 4096  # longest vectors, from which first thresholds come: the bound of the one broadcast
+SEEDS = 4096  # of the longest vectors give the first thresholds: the bound of what is broadcast
 COSINE = 0.5  # local threshold from which coordinates prune
 FOCUS = 8  # coordinates used then
 CLASSES = 4  # length classes for each doubling of the squared norm
@@ -82,6 +82,19 @@ def blocks(vectors: DataFrame, by: list[str], size: int, order: str) -> DataFram
     return rows.select(*by, "part", "rows").mapInArrow(packed, schema)
 
 
+def _longest(vectors: DataFrame) -> DataFrame:
+    """About ``SEEDS`` of the longest vectors: whole length classes from the top, and a share of the next."""
+    counts = vectors.groupBy("class").count().orderBy(F.desc("class")).collect()  # as many rows as doublings of length
+    whole, left = [], SEEDS
+    for row in counts:
+        if row["count"] > left:
+            part = (F.col("class") == row["class"]) & share_of(F.xxhash64("frame_id", F.lit(3)), left / row["count"])
+            return vectors.where(F.col("class").isin(whole) | part)
+        whole.append(row["class"])
+        left -= row["count"]
+    return vectors
+
+
 def top_products(frames: DataFrame, k: int = 20, every: int = 20, id_column: str = "frame_id", vector_column: str = "bands",
                  scale: int = SCALE) -> DataFrame:
     """``query_id, rank, frame_id, score``: the ``k`` largest integer products of each query.
@@ -98,7 +111,7 @@ def top_products(frames: DataFrame, k: int = 20, every: int = 20, id_column: str
     vectors = shared_table(whole_vectors(frames, id_column, vector_column, scale).withColumn("class", _class(F.col("norm2"))), "vectors")
     asked = vectors.where(F.col("frame_id") % every == 0).groupBy("frame_id").agg(
         F.min(F.struct("v", "norm2", "dim", "class")).alias("q")).select("frame_id", "q.*")
-    seeds = vectors.orderBy(F.desc("norm2"), "frame_id").limit(SEEDS).select("frame_id", "dim", "v").toArrow()
+    seeds = _longest(vectors).select("frame_id", "dim", "v").toArrow()
     first: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for dim in set(seeds.column("dim").to_pylist()):
         part = seeds.filter(pa.compute.equal(seeds.column("dim"), dim)).combine_chunks()

@@ -8,7 +8,7 @@ of a lexicon (words and word beginnings), how near its words stand to the second
 capitals, punctuation and obfuscation, and length.  The lexicon is learned from labelled texts: terms
 whose share of toxic texts is far above the general one (likelihood ratio).  Texts are read once.
 
-The model is fitted on at most ``max_rows`` labelled rows, three quarters of them for lexicon and trees,
+The model is fitted on a sample of at most about ``max_rows`` labelled rows, three quarters of them for lexicon and trees,
 one quarter for the calibration.
 """
 
@@ -26,7 +26,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cliploom.llm.common import shared_table
+from cliploom.llm.common import bounded_sample, shared_table
 
 MAX_ROWS = 20_000
 MAX_TERMS = 4_000  # size of the lexicon, a parameter of the model
@@ -204,14 +204,21 @@ def fit(labelled: DataFrame, text_column: str = "text", label_column: str = "tox
         max_rows: int = MAX_ROWS) -> Model:
     """Fit on ``labelled``: texts with labels 0 or 1.
 
-    Rows of null label are left out.  Beyond ``max_rows`` rows, those whose hash of ``order_column`` is
-    smallest are used; the column has no other use.  With labels of one kind only, or with no rows, every
-    text scores their mean (0 without rows).
+    Rows of null label are left out.  Of more than ``max_rows`` rows an even share is used, drawn by the
+    hash of ``order_column``, which has no other use than to draw and to split.  With labels of one kind
+    only, or with no rows, every text scores their mean (0 without rows).
     """
-    order = F.xxhash64(F.col(order_column), F.lit(9))
-    rows = labelled.where(F.col(label_column).isin(0, 1)).select(
-        F.col(text_column).alias("text"), F.col(label_column).cast("int").alias("label"), order.alias("order"))
-    sample = shared_table(rows.orderBy("order").limit(max_rows).repartition(8, "order"), "labelled")
+    known = labelled.where(F.col(label_column).isin(0, 1))
+    return _fit(bounded_sample(known, _order(order_column), max_rows).select(
+        F.col(text_column).alias("text"), F.col(label_column).cast("int").alias("label"), _order(order_column).alias("order")))
+
+
+def _order(column: str):
+    return F.xxhash64(F.col(column), F.lit(9))
+
+
+def _fit(rows: DataFrame) -> Model:
+    sample = shared_table(rows.repartition(8, "order"), "labelled")
     fitting, check = sample.where(F.pmod("order", F.lit(4)) != 0), sample.where(F.pmod("order", F.lit(4)) == 0)
     kinds = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     base = kinds.get(1, 0) / max(1, sum(kinds.values()))
@@ -245,7 +252,6 @@ def fit_documents(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id",
     """
     known = labels.where(F.col(label_column).isin(0, 1)).where(~held_out(id_column)).groupBy(
         F.col(id_column).alias("__id")).agg(F.max(label_column).alias("__label"))
-    drawn = known.orderBy(F.xxhash64("__id", F.lit(9)), "__id").limit(max_rows)
-    rows = docs.join(F.broadcast(drawn), F.col(id_column) == F.col("__id")).select(
-        F.col("__id").alias("doc_id"), F.col(text_column).alias("text"), F.col("__label").alias("toxic"))
-    return fit(rows, max_rows=max_rows)
+    drawn = bounded_sample(known, _order("__id"), max_rows)
+    rows = docs.join(F.broadcast(drawn), F.col(id_column) == F.col("__id"))
+    return _fit(rows.select(F.col(text_column).alias("text"), F.col("__label").cast("int").alias("label"), _order("__id").alias("order")))
