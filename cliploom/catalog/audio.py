@@ -34,9 +34,9 @@ grid AS (SELECT clip_id, unnest(generate_series(0, ({SIZE - HOP} + length) // {H
 tw AS (SELECT k, i, cos(2 * {PI} * ((k * i) % {SIZE}) / {SIZE}) AS c, sin(2 * {PI} * ((k * i) % {SIZE}) / {SIZE}) AS s
        FROM (SELECT unnest(generate_series(0, {BINS - 1})) AS k) a, (SELECT unnest(generate_series(0, {SIZE - 1})) AS i) b),
 ks AS (SELECT DISTINCT k FROM tw),
-dft AS (SELECT clip_id, t, k, sum(v * w * c) / {SIZE} AS re, -sum(v * w * s) / {SIZE} AS im
+dft AS MATERIALIZED (SELECT clip_id, t, k, sum(v * w * c) / {SIZE} AS re, -sum(v * w * s) / {SIZE} AS im
         FROM fr JOIN win USING (i) JOIN tw USING (i) GROUP BY clip_id, t, k),
-spec AS (SELECT g.clip_id, g.t, ks.k, coalesce(re, 0.0::DOUBLE) AS re, coalesce(im, 0.0::DOUBLE) AS im
+spec AS MATERIALIZED (SELECT g.clip_id, g.t, ks.k, coalesce(re, 0.0::DOUBLE) AS re, coalesce(im, 0.0::DOUBLE) AS im
          FROM grid g CROSS JOIN ks LEFT JOIN dft d ON d.clip_id = g.clip_id AND d.t = g.t AND d.k = ks.k)"""
 _edges = [sum(WIDTHS[:b]) for b in range(len(WIDTHS))]
 BANDS_SQL = f"""
@@ -93,9 +93,13 @@ def controls(spec):
 
 CONTROL_SQL = f"""
 taps AS (SELECT unnest(generate_series(0, 4)) AS o),
-lowbins AS (SELECT s.clip_id, s.t, s.k, sum(coalesce(p.re * cr - p.im * ci, 0.0::DOUBLE)) AS re, sum(coalesce(p.re * ci + p.im * cr, 0.0::DOUBLE)) AS im FROM (
-   SELECT clip_id, t, k, o, ((t + (k * 5 + o) * 3) % 7 - 3) / 5.0::DOUBLE AS cr, ((clip_id + t * 2 + k * 5 + o) % 5 - 2) / 8.0::DOUBLE AS ci
-   FROM spec, taps WHERE k < {LOW}) s LEFT JOIN spec p ON p.clip_id = s.clip_id AND p.k = s.k AND p.t = s.t - 2 + s.o GROUP BY 1, 2, 3),
+reached AS MATERIALIZED (
+   SELECT clip_id, k, o, t + 2 - o AS t, re, im FROM spec, taps WHERE k < {LOW}),
+coef AS MATERIALIZED (
+   SELECT r.clip_id, r.t, r.k, r.re, r.im, ((r.t + (r.k * 5 + o) * 3) % 7 - 3) / 5.0::DOUBLE AS cr,
+          ((r.clip_id + r.t * 2 + r.k * 5 + o) % 5 - 2) / 8.0::DOUBLE AS ci
+   FROM reached r SEMI JOIN spec s ON s.clip_id = r.clip_id AND s.k = r.k AND s.t = r.t),
+lowbins AS MATERIALIZED (SELECT clip_id, t, k, sum(re * cr - im * ci) AS re, sum(re * ci + im * cr) AS im FROM coef GROUP BY 1, 2, 3),
 gains AS (SELECT clip_id, t, k, re, im, (1 + (t + clip_id + band) % 10) / 10.0::DOUBLE AS g FROM spec JOIN bw ON k BETWEEN lo AND hi WHERE k >= {LOW}),
 shaped AS (SELECT * FROM lowbins UNION ALL SELECT clip_id, t, k, re * pg, im * pg FROM (
    SELECT *, (1.02::DOUBLE * g) / (1 + 0.02::DOUBLE * pow(g / greatest(g * sin({PI} * g * 0.5::DOUBLE), 1e-12::DOUBLE), 2)) AS pg FROM gains) q)"""

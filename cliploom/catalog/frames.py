@@ -71,9 +71,25 @@ def clip_frames(spark, sf):
 PATCH = "(VALUES (-2), (0), (2))"
 
 
-# No SQL: some twenty million patch terms are too slow there on the whole table; tests compare it
-# with a direct computation on a small image.
-@query("m9_non_local_means")
+# squared differences once per source and offset, on two more rows and columns at each side; patches are
+# sums of three in steps of two along either axis
+@query("m9_non_local_means", with_views("images", more=f"""{NORM_SQL},
+hist AS (SELECT image_id, unnest(list_distinct([image_id, CASE WHEN image_id % 8 >= 1 THEN image_id - 1 ELSE image_id END,
+           CASE WHEN image_id % 8 >= 2 THEN image_id - 2 WHEN image_id % 8 >= 1 THEN image_id - 1 ELSE image_id END])) AS src
+         FROM (SELECT DISTINCT image_id FROM images) q),
+axis AS (SELECT unnest(generate_series(-2, 33)) AS p),
+offs AS (SELECT unnest(generate_series(-4, 4, 2)) AS o),
+here AS MATERIALIZED (SELECT image_id, ay.p AS ey, ax.p AS ex, v FROM axis ay, axis ax JOIN norm
+         ON y = {MIRROR.format("ay.p")} AND x = {MIRROR.format("ax.p")}),
+there AS MATERIALIZED (SELECT image_id AS src, ay.p AS ey, ax.p AS ex, oy.o AS oy, ox.o AS ox, v FROM axis ay, axis ax, offs oy, offs ox JOIN norm
+         ON y = {MIRROR.format("(ay.p + oy.o)")} AND x = {MIRROR.format("(ax.p + ox.o)")}),
+d AS MATERIALIZED (SELECT a.image_id, b.src, oy, ox, ey, ex, a.v, b.v AS w, (a.v - b.v) * (a.v - b.v) AS e
+         FROM hist h JOIN here a ON a.image_id = h.image_id JOIN there b USING (src, ey, ex)),
+dy AS (SELECT *, sum(e) OVER (PARTITION BY image_id, src, oy, ox, ex, ey & 1 ORDER BY ey ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS e1 FROM d),
+dx AS (SELECT *, sum(e1) OVER (PARTITION BY image_id, src, oy, ox, ey, ex & 1 ORDER BY ex ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) / 9 AS d2 FROM dy),
+wt AS (SELECT *, exp(-greatest(d2 - 2 * sg * sg, 0.0::DOUBLE) / (1.25::DOUBLE * sg * 1.25::DOUBLE * sg)) AS k
+       FROM (SELECT *, 0.04::DOUBLE * sqrt(v) + 0.004::DOUBLE AS sg FROM dx WHERE ey BETWEEN 0 AND 31 AND ex BETWEEN 0 AND 31) q)""") + f"""
+SELECT image_id AS frame_id, CAST(ey AS INT) AS y, CAST(ex AS INT) AS x, {rounded_sql('sum(k * w) / sum(k)')} AS v FROM wt GROUP BY 1, 2, 3""")
 def _(spark, sf):
     pixels = normalized(spark, sf).withColumnRenamed("image_id", "frame_id")
     out = frames.non_local_means(pixels, clip_frames(spark, sf), 32, 32)

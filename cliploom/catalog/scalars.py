@@ -272,15 +272,16 @@ def _(spark, sf):
 
 @query("p15_yuv_to_rgb", with_views("images", more="""
 j AS (SELECT l.image_id, l.y, l.x, 1164 * (abs(l.v) % 256 - 16) AS c, abs(c.v * 3) % 256 - 128 AS u, abs(c.v * 7) % 256 - 128 AS w
-      FROM images l JOIN images c ON l.image_id = c.image_id AND c.y = l.y // 2 AND c.x = l.x // 2)""") + """
+      FROM images l JOIN images c ON l.image_id = c.image_id AND c.y = l.y // 2 * 2 AND c.x = l.x // 2 * 2)""") + """
 SELECT image_id, y, x, CAST(least(greatest((c + 1596 * w) // 1000, 0), 255) AS INT) AS r,
   CAST(least(greatest((c - 391 * u - 813 * w) // 1000, 0), 255) AS INT) AS g,
   CAST(least(greatest((c + 2018 * u) // 1000, 0), 255) AS INT) AS b FROM j""")
 def _(spark, sf):
     im = views.images(spark, sf)
     luma = im.select("image_id", "y", "x", (F.abs("v") % 256).alias("luma"))
-    chroma = im.filter("y < 16 AND x < 16").select(
-        "image_id", "y", "x", (F.abs(F.col("v") * 3) % 256).alias("u"), (F.abs(F.col("v") * 7) % 256).alias("v"))
+    half = lambda c: F.shiftright(c, 1).alias(c)
+    chroma = im.filter("y % 2 = 0 AND x % 2 = 0").select(
+        "image_id", half("y"), half("x"), (F.abs(F.col("v") * 3) % 256).alias("u"), (F.abs(F.col("v") * 7) % 256).alias("v"))
     return scalars.yuv_frames_to_rgb(luma, chroma)
 
 
@@ -328,9 +329,11 @@ def _ccm_sql() -> str:
     a, b = tags.XYZ_D65_TO_BT2020, tags.BRADFORD_D50_TO_D65
     cast = lambda e: f"CAST({e} AS DOUBLE)"
     m = [f"m{i}" for i in range(9)]
-    det = "(m0*(m4*m8-m5*m7)-m1*(m3*m8-m5*m6)+m2*(m3*m7-m4*m6))"
-    adj = ["m4*m8-m5*m7", "m2*m7-m1*m8", "m1*m5-m2*m4", "m5*m6-m3*m8", "m0*m8-m2*m6", "m2*m3-m0*m5",
-           "m3*m7-m4*m6", "m1*m6-m0*m7", "m0*m4-m1*m3"]
+    # entry (r, c) of the inverse: the cofactor of (c, r), indices taken modulo 3, over the determinant
+    at = lambda i, j: m[3 * (i % 3) + j % 3]
+    cofactor = lambda i, j: f"({at(i + 1, j + 1)}*{at(i + 2, j + 2)}-{at(i + 1, j + 2)}*{at(i + 2, j + 1)})"
+    det = "(" + "+".join(f"{at(0, j)}*{cofactor(0, j)}" for j in range(3)) + ")"
+    adj = [cofactor(c, r) for r in range(3) for c in range(3)]
     sel_cm1 = ", ".join(
         f"CASE WHEN p_partkey % 11 = 3 THEN 0.5::DOUBLE ELSE {cast(c)} END AS {n}" for c, n in zip(cm1, m))
     chosen = ", ".join(

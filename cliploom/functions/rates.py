@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cliploom.functions.rounding import round_half_away
+
 from cliploom.functions.sound import idiv
 
 # Fixed values.
@@ -23,7 +25,7 @@ def even(c: Column) -> Column:
 def raw_bitrate(w: Column, h: Column, fps: Column) -> Column:
     """Bits per pixel target, rounded half away from zero, under a cap; a bad rate reads as 30."""
     rate = F.when(fps > 0, fps).otherwise(30)
-    target = F.floor(BITS_PER_PIXEL * even(w) * even(h) * rate + 0.5)
+    target = round_half_away(BITS_PER_PIXEL * even(w) * even(h) * rate)
     return F.least(target, F.lit(RAW_BITRATE_CAP)).cast("long")
 
 

@@ -18,5 +18,5 @@ def rounded_sql(expr: str, digits: int = 6) -> str:
 
 
 def round_half_away(c: Column) -> Column:
-    """Nearest integer, halves away from zero, as a long."""
-    return F.when(c < 0, -F.floor(-c + 0.5)).otherwise(F.floor(c + 0.5)).cast("long")
+    """Nearest integer, halves away from zero, as a long; exact also just below a half."""
+    return F.round(c).cast("long")

@@ -2,23 +2,68 @@
 
 A run of steps is again one affine step, so a sequence is cut into bounded chunks, each chunk is
 folded to one (a, b), the chunk steps are scanned (recursively), and each chunk is replayed from its
-true start.  ``b`` and ``m`` are arrays: one recurrence per element, all with the same ``a``.
+true start, chunk by chunk in numpy.  ``b`` and ``m`` are arrays: one recurrence per element, all with the same ``a``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from cliploom.operators import segments
-
-CHUNK_BITS = 7
-
-
-def _step(m: Column, a: Column, b: Column) -> Column:
-    return F.zip_with(m, b, lambda p, q: a * p + q)
+from pyspark.sql.types import ArrayType, DoubleType, StructType
+
+VALUES = ArrayType(DoubleType())
+STEP = StructType().add("a", DoubleType()).add("b", VALUES)
+CHUNK_BITS = 8
+LEVELS = 2  # with the chunks themselves: one step per 2**24 rows is left for each key's last list
+
+
+def _groups(steps: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(a, b) of each list of steps: n factors, n rows of summands."""
+    values = steps.flatten()
+    a, b = values.field("a").to_numpy(zero_copy_only=False), values.field("b")
+    flat, at = b.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(b.value_lengths().to_numpy())])
+    ends = np.cumsum(steps.value_lengths().to_numpy())
+    for lo, hi in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True):
+        yield a[lo:hi], flat[at[lo] : at[hi]].reshape(hi - lo, -1)
+
+
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    sizes = [len(r) for r in rows]
+    flat = np.concatenate(rows) if rows else np.zeros(0)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat, pa.float64()))
+
+
+@F.arrow_udf(STEP)
+def _fold(steps: pa.Array) -> pa.Array:
+    """All steps of a list as one."""
+    factors, sums = [], []
+    for a, b in _groups(steps):
+        m = np.zeros(b.shape[1])
+        for p, q in zip(a, b, strict=True):
+            m = p * m + q
+        factors.append(float(np.prod(a)))
+        sums.append(m)
+    return pa.StructArray.from_arrays([pa.array(factors, pa.float64()), _lists(sums)], names=["a", "b"])
+
+
+@F.arrow_udf(ArrayType(VALUES))
+def _walk(m0: pa.Array, steps: pa.Array) -> pa.Array:
+    """The value going into each step of a list, and behind them the one after the last."""
+    out = []
+    for start, (a, b) in zip(m0.to_pylist(), _groups(steps), strict=True):
+        m = np.array(start, float)
+        rows = [m]
+        for p, q in zip(a, b, strict=True):
+            m = p * m + q
+            rows.append(m)
+        out.append(_lists(rows))
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in out])])
+    values = pa.concat_arrays(out) if out else _lists([])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
 
 
 def _listed(steps: DataFrame, by: list[str], index: str, payload: Column | None = None) -> DataFrame:
@@ -29,29 +74,15 @@ def _listed(steps: DataFrame, by: list[str], index: str, payload: Column | None
 
 def _folded(listed: DataFrame, by: list[str]) -> DataFrame:
     """One (a, b) per group of steps."""
-    zeros = F.transform(F.col("steps")[0]["b"], lambda _: F.lit(0.0))
-    return listed.select(
-        *by,
-        F.aggregate("steps", F.lit(1.0), lambda acc, s: acc * s["a"]).alias("a"),
-        F.aggregate("steps", zeros, lambda acc, s: _step(acc, s["a"], s["b"])).alias("b"),
-    )
+    return listed.select(*by, _fold("steps").alias("f")).select(*by, "f.a", "f.b")
 
 
 def _replayed(listed: DataFrame, keys: list[str], index: str, before: bool, carry: Sequence[str] = ()) -> DataFrame:
     """Value at every step of a group entered with ``m0`` (``before``: the value going into the step)."""
-    kind = listed.schema["steps"].dataType.elementType["p"].dataType.simpleString()
-    empty = F.array().cast(f"array<struct<i:bigint,m:array<double>,p:{kind}>>")
-
-    def go(acc, s):
-        after = _step(acc["m"], s["a"], s["b"])
-        kept = acc["m"] if before else after
-        row = F.struct(s["i"].alias("i"), kept.alias("m"), s["p"].alias("p"))
-        return F.struct(after.alias("m"), F.concat(acc["out"], F.array(row)).alias("out"))
-
-    start = F.struct(F.col("m0").alias("m"), empty.alias("out"))
-    walked = F.aggregate("steps", start, go, lambda acc: acc["out"])
-    return listed.select(*keys, F.explode(walked).alias("o")).select(
-        *keys, F.col("o.i").alias(index), "o.m", *[F.col(f"o.p.{c}") for c in carry])
+    walked = listed.select(*keys, "steps", _walk("m0", "steps").alias("m"))
+    rows = walked.select(*keys, "m", F.posexplode("steps").alias("at", "s"))
+    return rows.select(
+        *keys, F.col("s.i").alias(index), F.col("m")[F.col("at") + (0 if before else 1)].alias("m"), *[F.col(f"s.p.{c}") for c in carry])
 
 
 def _entries(folded: DataFrame, keys: list[str], starts: DataFrame | Column, bits: int, levels: int) -> DataFrame:
@@ -69,21 +100,22 @@ def _entries(folded: DataFrame, keys: list[str], starts: DataFrame | Column, bit
 
 def affine_scan(
     rows: DataFrame, keys: Sequence[str], index: str, a: Column, b: Column, starts: DataFrame | Column,
-    carry: Sequence[str] = (), bits: int = CHUNK_BITS, levels: int | None = None,
+    carry: Sequence[str] = (), bits: int = CHUNK_BITS, levels: int = LEVELS,
 ) -> DataFrame:
     """``keys, index, m`` and the ``carry`` columns: the recurrence after each row.
 
     ``index`` is a unique integer per key; ``starts`` is the first value (an array) as a constant, or
     a table with ``m0`` per key.
     """
-    keys = list(keys)
-    if levels is None:
-        levels = segments.levels_for(rows) - 1
+    # keys travel as one struct, so that a null key is a key of its own in every join
+    key = F.struct(*keys).alias("key")
     steps = rows.select(
-        *keys, F.col(index).cast("long").alias(index), a.cast("double").alias("a"), b.alias("b"),
+        key, F.col(index).cast("long").alias(index), a.cast("double").alias("a"), b.alias("b"),
         (F.struct(*carry) if carry else F.lit(0)).alias("p"),
         F.shiftright(F.col(index).cast("long"), bits).alias("g"))
-    by = [*keys, "g"]
+    by = ["key", "g"]
     listed = _listed(steps, by, index, F.col("p"))
-    entries = _entries(_folded(listed, by), keys, starts, bits, levels)
-    return _replayed(listed.join(entries.withColumnRenamed("m", "m0"), by), keys, index, before=False, carry=carry)
+    first = starts if isinstance(starts, Column) else starts.select(key, "m0")
+    entries = _entries(_folded(listed, by), ["key"], first, bits, levels)
+    out = _replayed(listed.join(entries.withColumnRenamed("m", "m0"), by), ["key"], index, before=False, carry=carry)
+    return out.select("key.*", index, "m", *carry)

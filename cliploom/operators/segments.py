@@ -20,29 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 SEGMENT_BITS = 12
-# One level leaves one row per 4096 for the final per-clip scan: fine up to a few hundred GB of
-# input even if a single clip holds a third of it.  Larger inputs get further levels.
-LEVEL_LIMITS = (2**38, 2**50)
-
-
-def input_bytes(df: DataFrame) -> int:
-    """Size of the files behind ``df``, known at planning time without a job."""
-    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-
-
-def levels_for(df: DataFrame) -> int:
-    """Scan depth for the input size."""
-    size = input_bytes(df)
-    return 1 + sum(size > limit for limit in LEVEL_LIMITS)
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Redistribute an input too small to give every core a split; larger inputs stay as they are."""
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = 128 * 2**20
-    return df.repartition(cores, *keys) if input_bytes(df) < cores * split else df
+# Two levels leave one row per 2**24 order values for the final per-clip window, whatever the input.
+LEVELS = 2
 
 
 @dataclass(frozen=True)
@@ -123,31 +102,33 @@ def scan(
     order: Sequence[str],
     scans: dict[str, Scan],
     bits: int = SEGMENT_BITS,
-    levels: int | None = None,
+    levels: int = LEVELS,
 ) -> DataFrame:
     """Add the columns named in ``scans``, each a running value per ``keys`` in ``order``.
 
     ``order[0]`` must be a non-null integer; the whole of ``order`` must be unique per key.
-    ``levels=0`` is a plain window, for inputs whose clips are known to be small.
+    ``levels=0`` is a plain window, for inputs whose clips are known to be small.  A null key is a
+    key of its own.
     """
     order_cols = [F.col(c) for c in order]
-    if levels is None:
-        levels = levels_for(df)
     if levels == 0:
         return df.select("*", *[_windowed(s, keys, order_cols).alias(n) for n, s in scans.items()])
 
     seg = f"__segment{levels}"
     at = order_cols[0] if len(order) == 1 else F.struct(*order_cols)
-    rows = df.withColumn(seg, F.shiftright(order_cols[0].cast("long"), bits))
+    # one struct holds key and segment: null keys match in the join, and join and windows share a shuffle
+    group = f"__group{levels}"
+    rows = df.withColumn(seg, F.shiftright(order_cols[0].cast("long"), bits)).withColumn(group, F.struct(*keys, seg))
     temp = {n: f"__in_{levels}_{n}" for n in scans}
-    summaries = rows.groupBy(*keys, seg).agg(
-        *[_summary(s, at, _fields(df, s)).alias(temp[n]) for n, s in scans.items()])
+    summaries = rows.groupBy(group).agg(
+        *[_summary(s, at, _fields(df, s)).alias(temp[n]) for n, s in scans.items()]
+    ).select(*[F.col(group)[c].alias(c) for c in [*keys, seg]], *temp.values())
     carried = {f"__carry_{levels}_{n}": _carried(s, F.col(temp[n])) for n, s in scans.items()}
-    carries = scan(summaries, keys, [seg], carried, bits, levels - 1).select(*keys, seg, *carried)
-    joined = rows.join(carries, [*keys, seg], "left")
+    carries = scan(summaries, keys, [seg], carried, bits, levels - 1).select(F.struct(*keys, seg).alias(group), *carried)
+    joined = rows.join(carries, group, "left")
     local = {n: f"__local_{levels}_{n}" for n in scans}
     inner = joined.select(
-        "*", *[_windowed(s, [*keys, seg], order_cols).alias(local[n]) for n, s in scans.items()]
+        "*", *[_windowed(s, [group], order_cols).alias(local[n]) for n, s in scans.items()]
     )
     out = [
         _merged(s, F.coalesce(F.col(f"__carry_{levels}_{n}"), F.lit(0)) if s.kind == "position"
@@ -177,6 +158,7 @@ def attach(df: DataFrame, per_key: DataFrame, keys: Sequence[str], spread: Colum
     The per-key side is copied ``salts`` times.  Nothing is broadcast by hint: adaptive
     execution broadcasts that side only when its measured size is under the threshold.
     """
-    copies = per_key.withColumn("__salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    salted = df.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    return salted.join(copies, [*keys, "__salt"], "left").drop("__salt")
+    copies = per_key.withColumn("__at", F.explode(F.array(*[F.struct(*keys, F.lit(i).alias("salt")) for i in range(salts)])))
+    salt = F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int").alias("salt")
+    salted = df.withColumn("__at", F.struct(*keys, salt))
+    return salted.join(copies.drop(*keys), "__at", "left").drop("__at")

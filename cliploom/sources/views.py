@@ -6,7 +6,7 @@ images are tiled from dense vector ids.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cliploom.operators import segments
@@ -140,31 +140,29 @@ def samples(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-# 32x32 images tiled from sixteen consecutive vectors of 8x8; a last, partial image is left out.
+# 32x32 images tiled from sixteen consecutive vectors of 8x8; where the last image has fewer, they repeat.
 IMAGES_SQL = """
 images AS (
-  SELECT image_id, y, x, v FROM (
-    SELECT vec_id // 16 AS image_id,
-           CAST((vec_id % 16) // 4 * 8 + pos // 8 AS INT) AS y, CAST(vec_id % 4 * 8 + pos % 8 AS INT) AS x,
-           CAST(round(CAST(e AS DOUBLE) * 1000) AS INT) AS v
-    FROM (SELECT vec_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings) q) i
-  WHERE image_id IN (SELECT vec_id // 16 FROM embeddings GROUP BY 1 HAVING count(*) = 16))"""
+  SELECT image_id, CAST(tile // 4 * 8 + pos // 8 AS INT) AS y, CAST(tile % 4 * 8 + pos % 8 AS INT) AS x,
+         CAST(round(CAST(e AS DOUBLE) * 1000) AS INT) AS v
+  FROM (SELECT image_id, tile, unnest(embedding) AS e, generate_subscripts(embedding, 1) - 1 AS pos
+        FROM (SELECT image_id, embedding, unnest(range(place, 16, tiles)) AS tile
+              FROM (SELECT vec_id // 16 AS image_id, embedding, count(*) OVER (PARTITION BY vec_id // 16) AS tiles,
+                           row_number() OVER (PARTITION BY vec_id // 16 ORDER BY vec_id) - 1 AS place FROM embeddings) q) t) i)"""
 
 
 def images(spark: SparkSession, folder: str) -> DataFrame:
-    vectors = table(spark, folder, "embeddings").select(
-        F.floor(F.col("vec_id") / 16).cast("long").alias("image_id"), "vec_id", "embedding"
-    )
-    whole = vectors.groupBy("image_id").agg(F.count(F.lit(1)).alias("tiles")).filter("tiles = 16").select("image_id")
-    return (
-        vectors.join(whole, "image_id", "left_semi")
-        .select("image_id", "vec_id", F.posexplode("embedding").alias("pos", "e"))
-        .select(
-            "image_id",
-            (F.floor(F.col("vec_id") % 16 / 4) * 8 + F.floor(F.col("pos") / 8)).cast("int").alias("y"),
-            (F.col("vec_id") % 4 * 8 + F.col("pos") % 8).cast("int").alias("x"),
-            F.round(F.col("e").cast("double") * 1000).cast("int").alias("v"),
-        )
+    image = F.floor(F.col("vec_id") / 16).cast("long")
+    one = Window.partitionBy("image_id")  # sixteen vectors
+    vectors = table(spark, folder, "embeddings").select(image.alias("image_id"), "vec_id", "embedding").select(
+        "image_id", "embedding", F.count("*").over(one).alias("tiles"),
+        (F.row_number().over(one.orderBy("vec_id")) - 1).alias("place"))
+    tiled = vectors.select("image_id", "embedding", F.explode(F.sequence("place", F.lit(15), F.col("tiles").cast("int"))).alias("tile"))
+    return tiled.select("image_id", "tile", F.posexplode("embedding").alias("pos", "e")).select(
+        "image_id",
+        (F.floor(F.col("tile") / 4) * 8 + F.floor(F.col("pos") / 8)).cast("int").alias("y"),
+        (F.col("tile") % 4 * 8 + F.col("pos") % 8).cast("int").alias("x"),
+        F.round(F.col("e").cast("double") * 1000).cast("int").alias("v"),
     )
 
 
@@ -223,7 +221,7 @@ def nal_payloads(spark: SparkSession, folder: str) -> DataFrame:
     code = lambda i: F.when(i == 0, F.lit("")).when(i % 2 == 0, F.lit("\x00\x00\x01")).otherwise(
         F.lit("\x00\x00\x00\x01"))
     framed = F.array_join(F.transform(F.split(F.col("text"), " "), lambda t, i: F.concat(code(i), t)), "")
-    documents = segments.spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+    documents = table(spark, folder, "documents").select("doc_id", "text")
     return documents.select(
         F.col("doc_id").alias("packet_id"), framed.cast("binary").alias("payload")
     )

@@ -14,7 +14,7 @@ def clip_rows(seed, clips=3, n=60):
     return [(c, a, rng.choice([None, rng.randint(-50, 50)])) for c in range(clips) for a in sorted(rng.sample(range(500), n))]
 
 
-@pytest.mark.parametrize("bits,levels", [(3, 1), (2, 2), (2, 3), (12, None), (4, 0)])
+@pytest.mark.parametrize("bits,levels", [(3, 1), (2, 2), (2, 3), (12, 2), (4, 0)])
 def test_scan_equals_plain_window(spark, bits, levels):
     df = spark.createDataFrame(clip_rows(bits), "k long, a long, v long").repartition(5)
     kinds = {
@@ -35,6 +35,25 @@ def test_scan_equals_plain_window(spark, bits, levels):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
+@pytest.mark.parametrize("levels", [0, 1, 2])
+def test_null_keys_are_keys_of_their_own(spark, levels):
+    rows = [(k, j, a, 1) for k in (None, 1) for j in (None, 2) for a in range(10)]
+    df = spark.createDataFrame(rows, "k long, j long, a long, v long").repartition(3)
+    got = segments.scan(df, ["k", "j"], ["a"], {"s": Scan("sum", F.col("v"))}, bits=1, levels=levels)
+    assert sorted((r.k or 0, r.j or 0, r.a, r.s) for r in got.collect()) == sorted((k or 0, j or 0, a, a + 1) for k, j, a, _ in rows)
+    ones = [(k, t, 1.0, [1.0]) for k in (None, 1) for t in range(10)]
+    steps = spark.createDataFrame(ones, "k long, t long, a double, x array<double>")
+    run = affine.affine_scan(steps, ["k"], "t", F.col("a"), F.col("x"), F.array(F.lit(0.0)), bits=1, levels=levels)
+    assert sorted((r.k or 0, r.t, r.m[0]) for r in run.collect()) == sorted((k or 0, t, t + 1.0) for k, t, _, _ in ones)
+
+
+def test_attach_finds_the_null_key(spark):
+    df = spark.range(100).select(F.when(F.col("id") % 2 == 0, F.col("id") % 4).alias("k"), "id")
+    small = spark.createDataFrame([(0, "a"), (None, "none")], "k long, s string")
+    got = segments.attach(df, small, ["k"], F.col("id"))
+    assert {(r.k, r.s) for r in got.distinct().collect()} >= {(0, "a"), (None, "none"), (2, None)} and got.count() == 100
+
+
 def test_attach_keeps_every_row(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("k"), "id")
     small = spark.createDataFrame([(0, "a"), (1, "b")], "k long, s string")
@@ -106,7 +125,7 @@ def test_clusters_replay(spark, levels, keys):
     assert sorted((r.clip_id, r.arrival, r.base_ns, r.cluster) for r in got.collect()) == sorted(want)
 
 
-@pytest.mark.parametrize("bits,levels", [(2, 0), (2, 1), (2, 2), (7, None)])
+@pytest.mark.parametrize("bits,levels", [(2, 0), (2, 1), (2, 2), (8, 2)])
 def test_affine_scan_replay(spark, bits, levels):
     rng = random.Random(3)
     rows = [(k, t, rng.random(), [rng.random(), rng.random()]) for k in range(2) for t in range(70)]
