@@ -146,8 +146,14 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
     return stored.join(F.broadcast(before), "shard").withColumn("start", F.col("before") + F.col("first")).drop("before", "first")
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """``doc_id, start, n_tokens, ids`` (little-endian unsigned 32-bit integers) of every stored document."""
+def read_documents(spark: SparkSession, path: str, checksums: bool = False) -> DataFrame:
+    """``doc_id, start, n_tokens, ids`` (little-endian unsigned 32-bit integers) of every stored document.
+
+    With ``checksums``, ``ids_crc32`` (unsigned crc32 of those bytes) stands in place of ``ids``, so the
+    ids themselves stay in the tasks that decode them.
+    """
+    last = ("ids_crc32", pa.int64()) if checksums else ("ids", pa.binary())
+    form = zlib.crc32 if checksums else np.ndarray.tobytes
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,11 +163,11 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                 ends = np.cumsum(lengths)
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_ids")[i].values, pa.array(ends - lengths + batch.column("start")[i].as_py()),
-                    pa.array(lengths), pa.array([ids[e - n : e].tobytes() for e, n in zip(ends, lengths, strict=True)], pa.binary())],
-                    names=["doc_id", "start", "n_tokens", "ids"])
+                    pa.array(lengths), pa.array([form(ids[e - n : e]) for e, n in zip(ends, lengths, strict=True)], last[1])],
+                    names=["doc_id", "start", "n_tokens", last[0]])
 
     return read_segments(spark, path).select("doc_ids", "lengths", "codes", "start").mapInArrow(
-        split, "doc_id long, start long, n_tokens long, ids binary")
+        split, f"doc_id long, start long, n_tokens long, {'ids_crc32 long' if checksums else 'ids binary'}")
 
 
 def tokens_at(places: DataFrame, path: str, column: str = "place", span: int = SEGMENT_TOKENS) -> DataFrame:
@@ -196,13 +202,3 @@ def tokens_at(places: DataFrame, path: str, column: str = "place", span: int = S
         "places", "start", "codes").mapInArrow(fetch, "__place long, token_id long")
     rows = places.drop("token_id")
     return rows.join(tokens, F.col(column).cast("long") == F.col("__place"), "left").drop("__place")
-
-
-def crc32_of(ids):
-    """Unsigned crc32 of a column of id bytes."""
-
-    @F.pandas_udf("long")
-    def crc(values):
-        return values.map(zlib.crc32)
-
-    return crc(ids)

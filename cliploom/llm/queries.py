@@ -94,7 +94,7 @@ def op6_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op1_token_codes(spark: SparkSession, folder: str) -> DataFrame:
     path = f"{durable_dir(spark).rstrip('/')}/codes-{uuid.uuid4().hex}"
     codes.write_codes(read(spark, folder, "documents").select("doc_id", "text"), path)
-    return codes.read_documents(spark, path).select("doc_id", "start", "n_tokens", codes.crc32_of("ids").alias("ids_crc32"))
+    return codes.read_documents(spark, path, checksums=True)
 
 
 @query("op3_best_fit_packing")

@@ -14,7 +14,7 @@ import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 END_ID = 1
-CACHE_PIECES = 500_000  # of at most LONG_PIECE characters: some 70 MB a worker
+CACHE_PIECES = 250_000  # of at most LONG_PIECE characters: some 50 MB a worker
 LONG_PIECE = 64
 LATIN = 0x180  # code points below are Latin letters, digits and signs; so are their lower cases, but that of U+0130
 SLICE_CHARS = 1 << 20

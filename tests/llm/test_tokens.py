@@ -71,6 +71,8 @@ def test_code_files(spark, documents, tmp_path):
     assert [g[2] for g in got] == [g[3].__len__() // 4 for g in got]
     assert [g[0] for g in got] == np.cumsum([0, *[g[2] for g in got]])[:-1].tolist()
     assert sorted(((i, np.array(ids, "<u4").tobytes()) for i, ids in want), key=repr) == sorted(((g[1], g[3]) for g in got), key=repr)
+    sums = sorted((r["start"], r["ids_crc32"]) for r in codes.read_documents(spark, path, checksums=True).collect())
+    assert sums == [(g[0], zlib.crc32(g[3])) for g in got]
     stream = np.frombuffer(b"".join(g[3] for g in got), "<u4")
     places = [0, 1, len(stream) - 1, 77, 77, len(stream), -1, None]
     asked = spark.createDataFrame([(p,) for p in places], "place long")
