@@ -5,15 +5,38 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cliploom.catalog.bursts import RUNS_SQL, burst_frames_of
-from cliploom.catalog.common import query, views, with_views
+from cliploom.catalog.common import query, table, views, with_views
 from cliploom.catalog.container import CLUSTERS_SQL
 from cliploom.catalog.pairing import INTERLEAVE_SQL
+from cliploom.catalog.telemetry import TELEMETRY_WINDOWS_SQL, rounded_windows
 from cliploom.operators import late, scalars
 from cliploom.streaming import ingest, stateful
 
 
+_STAGED: dict[tuple, str] = {}
+
+
+def stream_of(spark, sf, name, by, seal=None):
+    """A table as a stream of several files in order, one file a micro-batch; staged once per session."""
+    key = (spark.sparkContext.applicationId, spark.sparkContext.startTime, sf, name)
+    if key not in _STAGED:
+        _STAGED[key] = ingest.staged(table(spark, sf, name), by, seal=seal)
+    return ingest.read_stream(spark, _STAGED[key], "*.parquet", files_per_trigger=1)
+
+
+def end_of_clips(spark, sf):
+    """A last event for every clip, behind all others."""
+    last = table(spark, sf, "events").agg(F.max("event_id")).first()[0]
+    ids = spark.range(20).select(F.col("id").alias("user_id"), (F.col("id") + last + 1).alias("event_id"), F.lit("end").alias("event_type"))
+    return ids.withColumn("user_id", F.col("user_id").cast(table(spark, sf, "events").schema["user_id"].dataType))
+
+
+def sealed_events(spark, sf):
+    return stream_of(spark, sf, "events", "event_id", seal=end_of_clips(spark, sf))
+
+
 def events(spark, sf):
-    return ingest.read_stream(spark, sf, "events.parquet")
+    return sealed_events(spark, sf).filter("event_type <> 'end'")
 
 
 @query("r1_live_ingest", with_views("packets") + "SELECT clip_id, arrival, is_audio, is_key, ts_ns, size FROM packets")
@@ -23,30 +46,47 @@ def _(spark, sf):
     return ingest.drain(audio).unionByName(ingest.drain(video))
 
 
+def late_row(spark, sf, name, by):
+    """The row that seals a stream: a key an hour behind every other one."""
+    last = table(spark, sf, name).agg(F.max(by)).first()[0]
+    return spark.range(1).select((F.col("id") + last + 3600).cast(table(spark, sf, name).schema[by].dataType).alias(by))
+
+
 def half_streams(spark, sf):
     # watermarks start at the epoch, so the keys are placed an hour after it
     at = ingest.sensor_clock((F.col("ts_ns") + 3600) * 1_000_000_000)
-    images = ingest.read_stream(spark, sf, "orders.parquet").select(
-        F.col("o_orderkey").alias("ts_ns"), F.col("o_custkey").alias("session_id")).withColumn("at", at)
-    results = ingest.read_stream(spark, sf, "lineitem.parquet").select(
-        F.col("l_orderkey").alias("ts_ns"), "l_suppkey", "l_linenumber").withColumn("at", at)
+    orders = stream_of(spark, sf, "orders", "o_orderkey", late_row(spark, sf, "orders", "o_orderkey"))
+    lines = stream_of(spark, sf, "lineitem", "l_orderkey", late_row(spark, sf, "lineitem", "l_orderkey"))
+    images = orders.select(F.col("o_orderkey").alias("ts_ns"), F.col("o_custkey").alias("session_id")).withColumn("at", at)
+    results = lines.select(F.col("l_orderkey").alias("ts_ns"), "l_suppkey", "l_linenumber").withColumn("at", at)
     return images, results
 
 
 @query("r2_pair_streams", """
 SELECT o_orderkey AS ts_ns, o_custkey AS session_id, l_suppkey, l_linenumber FROM orders JOIN lineitem ON o_orderkey = l_orderkey""")
 def _(spark, sf):
-    paired = ingest.pair_streams(*half_streams(spark, sf))
+    paired = ingest.pair_streams(*half_streams(spark, sf)).filter("session_id IS NOT NULL AND l_suppkey IS NOT NULL")
     return ingest.drain(paired.select("ts_ns", "session_id", "l_suppkey", "l_linenumber"))
 
 
-# an image is known to be a stray once the slower stream's watermark, ten seconds behind, has passed it
+@query("r2_pair_three_streams", """
+SELECT o_orderkey AS ts_ns, o_custkey AS session_id, r.l_suppkey, r.l_linenumber, i.l_partkey AS idx
+FROM orders JOIN lineitem r ON o_orderkey = r.l_orderkey JOIN lineitem i ON o_orderkey = i.l_orderkey AND i.l_linenumber = 1""")
+def _(spark, sf):
+    images, results = half_streams(spark, sf)
+    at = ingest.sensor_clock((F.col("ts_ns") + 3600) * 1_000_000_000)
+    lines = stream_of(spark, sf, "lineitem", "l_orderkey").filter("l_linenumber = 1")
+    indexes = lines.select(F.col("l_orderkey").alias("ts_ns"), F.col("l_partkey").alias("idx")).withColumn("at", at)
+    paired = ingest.pair_three_streams(images, results, indexes)
+    return ingest.drain(paired.select("ts_ns", "session_id", "l_suppkey", "l_linenumber", "idx"))
+
+
 @query("r3_stray_images", """
-SELECT o_orderkey AS ts_ns, o_custkey AS session_id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)
-  AND o_orderkey < least((SELECT max(o_orderkey) FROM orders), (SELECT max(l_orderkey) FROM lineitem)) - 10""")
+SELECT o_orderkey AS ts_ns, o_custkey AS session_id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)""")
 def _(spark, sf):
     joined = ingest.pair_streams(*half_streams(spark, sf), strays=True)
-    return ingest.drain(joined.select("ts_ns", "session_id", "l_suppkey")).filter("l_suppkey IS NULL").drop("l_suppkey")
+    strays = ingest.drain(joined.select("ts_ns", "session_id", "l_suppkey")).filter("l_suppkey IS NULL AND session_id IS NOT NULL")
+    return strays.drop("l_suppkey")
 
 
 def with_config(packets):
@@ -72,9 +112,10 @@ def _(spark, sf):
     return scalars.relative_time(kept).select("clip_id", "arrival", "rel_ns")
 
 
-@query("r5_interleave_stream", with_views("packets", more=INTERLEAVE_SQL) + "SELECT * FROM inter WHERE NOT is_audio OR gate IS NOT NULL")
+@query("r5_interleave_stream", with_views("packets", more=INTERLEAVE_SQL) + "SELECT * FROM inter")
 def _(spark, sf):
-    return ingest.drain(stateful.interleave(views.packets_of(events(spark, sf))))
+    packets = views.packets_of(sealed_events(spark, sf), (F.col("event_type") == "end").alias("is_end"))
+    return ingest.drain(stateful.interleave(packets))
 
 
 @query("r6_count_windows", with_views("telemetry", more="""
@@ -106,7 +147,7 @@ def _(spark, sf):
 
 @query("r10_bounded_triggers", with_views("packets") + "SELECT clip_id, arrival, size FROM packets WHERE is_key")
 def _(spark, sf):
-    stream = views.packets_of(ingest.read_stream(spark, sf, "events.parquet", files_per_trigger=1))
+    stream = views.packets_of(events(spark, sf))
     return ingest.drain(stream.filter("is_key").select("clip_id", "arrival", "size"))
 
 
@@ -122,6 +163,12 @@ def _(spark, sf):
         F.sum("frames").alias("frames"), F.sum("drops").alias("drops"), F.max("gpu_max_ns").alias("gpu_max_ns"))
 
 
+@query("r11_live_windows", TELEMETRY_WINDOWS_SQL)
+def _(spark, sf):
+    out = ingest.drain(stateful.telemetry_windows(views.telemetry_of(events(spark, sf)), 60))
+    return rounded_windows(out)
+
+
 @query("r12_hold_for_neutral", with_views("neutral", more="""
 n AS (SELECT * FROM neutral WHERE is_neutral), f AS (SELECT clip_id, arrival FROM neutral WHERE is_frame),
 h AS (SELECT clip_id, arg_min(n0, arrival) AS h0, arg_min(n1, arrival) AS h1, arg_min(n2, arrival) AS h2 FROM n GROUP BY clip_id)""") + """

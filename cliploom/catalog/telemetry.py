@@ -79,7 +79,7 @@ def _(spark, sf):
     return out.withColumn("rms", rounded(F.col("rms"), 4))
 
 
-@query("a10_telemetry_windows", with_views("telemetry", more=f"""
+TELEMETRY_WINDOWS_SQL = with_views("telemetry", more=f"""
 m AS (SELECT *, coalesce(sum(CASE WHEN dropped THEN 0 ELSE 1 END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 60 AS win,
         ts_ns - lag(ts_ns) OVER w AS gap FROM telemetry WINDOW w AS ({CLIP})),
 e AS (SELECT clip_id, arrival, ts_ns - lag(ts_ns) OVER ({CLIP}) AS done_gap FROM telemetry WHERE NOT dropped),
@@ -88,15 +88,21 @@ SELECT clip_id, CAST(win AS BIGINT) AS "window", count(*) FILTER (WHERE NOT drop
   {rounded_sql("CASE WHEN sum(done_gap) > 0 THEN 1e9::DOUBLE * count(*) FILTER (WHERE NOT dropped) / sum(done_gap) ELSE 0 END")} AS fps,
   {", ".join(f"{rounded_sql(f'avg({n}_ns) FILTER (WHERE NOT dropped)', 4)} AS {n}_mean_ns, max({n}_ns) FILTER (WHERE NOT dropped) AS {n}_max_ns" for n in ("gpu", "wait", "copy"))},
   max(gap) AS gap_max_ns, count(*) FILTER (WHERE dropped) AS drops
-FROM j GROUP BY clip_id, win HAVING count(*) FILTER (WHERE NOT dropped) = 60""")
-def _(spark, sf):
-    out = telemetry.telemetry_windows(views.telemetry(spark, sf))
+FROM j GROUP BY clip_id, win HAVING count(*) FILTER (WHERE NOT dropped) = 60"""
+
+
+def rounded_windows(out):
     return out.select(
         "clip_id", "window", "frames", rounded(F.col("fps")).alias("fps"),
         *[rounded(F.col(f"{n}_mean_ns"), 4).alias(f"{n}_mean_ns") for n in ("gpu", "wait", "copy")],
         *[f"{n}_max_ns" for n in ("gpu", "wait", "copy")], "gap_max_ns", "drops")
 
 
+@query("a10_telemetry_windows", TELEMETRY_WINDOWS_SQL)
+def _(spark, sf):
+    return rounded_windows(telemetry.telemetry_windows(views.telemetry(spark, sf)))
+
+
 @query("a11_recording_counters", with_views("telemetry") + """
 SELECT clip_id, count(*) AS frames_in, count(*) FILTER (WHERE NOT dropped) AS encoded, count(*) FILTER (WHERE dropped) AS dropped,
   count(*) FILTER (WHERE dropped AND arrival % 3 = 0) AS dropped_store, count(*) FILTER (WHERE dropped AND arrival % 3 = 1) AS dropped_encoder,

@@ -6,7 +6,7 @@ images are tiled from dense vector ids.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cliploom.operators import segments
@@ -25,8 +25,8 @@ def packets(spark: SparkSession, folder: str) -> DataFrame:
     return packets_of(table(spark, folder, "events"))
 
 
-def packets_of(events: DataFrame) -> DataFrame:
-    """Packets of an events table or stream."""
+def packets_of(events: DataFrame, *extra: Column) -> DataFrame:
+    """Packets of an events table or stream, with ``extra`` columns of its rows."""
     return events.select(
         (F.col("user_id") % 20).alias("clip_id"),
         F.col("event_id").alias("arrival"),
@@ -34,6 +34,7 @@ def packets_of(events: DataFrame) -> DataFrame:
         (F.col("event_type") == "purchase").alias("is_key"),
         (F.col("event_id") * 2000000 - (F.col("event_id") * 7919) % 11 * 100000000).alias("ts_ns"),
         F.round(F.col("value") * 100).cast("long").alias("size"),
+        *extra,
     )
 
 

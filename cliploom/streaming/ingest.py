@@ -20,6 +20,22 @@ def read_stream(spark: SparkSession, folder: str, pattern: str, files_per_trigge
     )
 
 
+def staged(rows: DataFrame, by: str, parts: int = 4, seal: DataFrame | None = None) -> str:
+    """A folder with ``rows`` as files in the order of the integer ``by``, and behind them the rows of ``seal``.
+
+    Files come one after the other, as a recorder writes them, so a stream that takes a file per batch
+    never goes back.
+    """
+    folder = f"{durable_dir(rows.sparkSession)}/staged-{uuid.uuid4().hex}"
+    low, high = rows.agg(F.min(by), F.max(by)).first()
+    size = ((high or 0) - (low or 0)) // parts + 1
+    for i in range(parts):
+        rows.filter(F.floor((F.col(by) - (low or 0)) / size) == i).coalesce(1).write.mode("append").parquet(folder)
+    if seal is not None:
+        rows.limit(0).unionByName(seal, allowMissingColumns=True).coalesce(1).write.mode("append").parquet(folder)
+    return folder
+
+
 def drain(stream: DataFrame) -> DataFrame:
     """Process everything available, finish, and return what was written."""
     spark = stream.sparkSession
@@ -58,7 +74,8 @@ def sensor_clock(ts_ns: Column) -> Column:
 def pair_streams(images: DataFrame, results: DataFrame, delay: str = "10 seconds", strays: bool = False) -> DataFrame:
     """Image and result halves with the same ``ts_ns``, either first; state is evicted by the watermarks.
 
-    With ``strays`` also the images whose result never came, once the watermark has passed them.
+    With ``strays`` also the images whose result never came, once the watermark has passed them; a sealed
+    input ends with a late row on both sides, which carries the watermark past the last images.
     Both sides need ``ts_ns`` and ``at`` (a timestamp from the same clock).
     """
     left = images.withWatermark("at", delay)
@@ -66,3 +83,11 @@ def pair_streams(images: DataFrame, results: DataFrame, delay: str = "10 seconds
     same = (F.col("ts_ns") == F.col("result_ts")) & (F.col("result_at") >= F.col("at")) & (
         F.col("result_at") <= F.col("at"))
     return left.join(right, same, "left_outer" if strays else "inner")
+
+
+def pair_three_streams(images: DataFrame, results: DataFrame, indexes: DataFrame, delay: str = "10 seconds") -> DataFrame:
+    """Image, result and burst index of one ``ts_ns``, in whatever order they come; each side has ``ts_ns`` and ``at``."""
+    third = indexes.withColumnsRenamed({"ts_ns": "index_ts", "at": "index_at"}).withWatermark("index_at", delay)
+    two = pair_streams(images, results, delay)
+    same = (F.col("ts_ns") == F.col("index_ts")) & (F.col("index_at") >= F.col("at")) & (F.col("index_at") <= F.col("at"))
+    return two.join(third, same)

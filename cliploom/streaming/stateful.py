@@ -1,14 +1,16 @@
 """Keyed stateful processors over packet and frame streams.
 
 State is kept per key by Structured Streaming; a micro-batch brings a bounded number of files, so
-the rows of one key in one batch are bounded too.  Order inside a key is the explicit ``arrival``
-column: rows are sorted by it within a batch, and files must not go back in arrival.
+the rows of one key in one batch are bounded too, and they are folded with array operations.  Order
+inside a key is the explicit ``arrival`` column: rows are sorted by it within a batch, and a batch that
+goes back behind an earlier one is rejected, since its rows would be folded in the wrong order.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -16,6 +18,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from cliploom.operators.container import CLUSTER_SPAN_NS
 
 Fold = Callable[[tuple, pd.DataFrame], tuple[tuple, pd.DataFrame]]
+NEVER = -(2**63)
+SCAN = 256  # rows looked at in one go for the next cluster
 
 
 def fold_by_key(stream: DataFrame, key: str, start: tuple, fold: Fold, out_schema: str, state_schema: str) -> DataFrame:
@@ -25,45 +29,77 @@ def fold_by_key(stream: DataFrame, key: str, start: tuple, fold: Fold, out_schem
         rows = pd.concat(list(batches), ignore_index=True)
         if rows.empty:
             return
-        current = state.get if state.exists else start
-        after, out = fold(tuple(current), rows.sort_values("arrival"))
-        state.update(after)
+        newest, *current = state.get if state.exists else (NEVER, *start)
+        rows = rows.sort_values("arrival", kind="stable")
+        if rows["arrival"].iloc[0] <= newest:
+            raise ValueError(f"{key} {ident[0]} goes back from arrival {newest} to {rows['arrival'].iloc[0]}: feed files in arrival order")
+        after, out = fold(tuple(current), rows)
+        state.update((int(rows["arrival"].iloc[-1]), *after))
         out.insert(0, key, ident[0])
         yield out
 
     return stream.groupBy(key).applyInPandasWithState(
-        run, f"{key} long, {out_schema}", state_schema, "append", GroupStateTimeout.NoTimeout)
+        run, f"{key} long, {out_schema}", f"newest_arrival long, {state_schema}", "append", GroupStateTimeout.NoTimeout)
 
 
 def interleave(packets: DataFrame) -> DataFrame:
-    """Audio gated by video as packets arrive; audio later than every video so far stays in state."""
+    """Audio gated by video as packets arrive; audio later than every video so far stays in state.
+
+    A row with ``is_end`` closes its clip (the column may be absent): audio still waiting is written
+    behind everything else, without a gate.
+    """
 
     def fold(state, rows):
         newest, pending_ts, pending_at, written = state
-        newest = None if newest is None or newest != newest else int(newest)
-        ts_queue, at_queue, out = list(pending_ts), list(pending_at), []
-        for at, audio, ts in zip(rows["arrival"].tolist(), rows["is_audio"].tolist(), rows["ts_ns"].tolist()):
-            if audio:
-                ts_queue.append(ts)
-                at_queue.append(at)
-                continue
-            newest = ts if newest is None else max(newest, ts)
-            ready = 0
-            while ready < len(ts_queue) and ts_queue[ready] <= newest:
-                ready += 1
-            out += [(a, True, at, written + i) for i, a in enumerate(at_queue[:ready])]
-            out.append((at, False, None, written + ready))
-            written += ready + 1
-            del ts_queue[:ready], at_queue[:ready]
-        frame = pd.DataFrame(out, columns=["arrival", "is_audio", "gate", "out_pos"])
-        frame["gate"] = frame["gate"].astype("Int64")
-        return (newest, ts_queue, at_queue, written), frame
+        ends = rows["is_end"].to_numpy(bool) if "is_end" in rows else np.zeros(len(rows), bool)
+        audio, at, ts = rows["is_audio"].to_numpy(bool), rows["arrival"].to_numpy(), rows["ts_ns"].to_numpy()
+        video, audio = ~audio & ~ends, audio & ~ends
+        a_at = np.concatenate([np.array(pending_at, np.int64), at[audio]])
+        a_ts = np.concatenate([np.array(pending_ts, np.int64), ts[audio]])
+        v_at = at[video]
+        reached = np.maximum.accumulate(np.concatenate([[newest], ts[video]]))
+        # a packet waits for those before it, so its own time is the largest so far
+        due = np.maximum.accumulate(a_ts)
+        gate = np.maximum(np.searchsorted(reached[1:], due), np.searchsorted(v_at, a_at))
+        ready = gate < len(v_at)
+        slot = np.concatenate([2 * gate[ready], 2 * np.arange(len(v_at)) + 1])
+        order = np.argsort(slot, kind="stable")
+        arrival = np.concatenate([a_at[ready], v_at])[order]
+        is_audio = np.concatenate([np.ones(int(ready.sum()), bool), np.zeros(len(v_at), bool)])[order]
+        gates = pd.array(v_at[slot[order] // 2] if len(order) else [], dtype="Int64")
+        gates[~is_audio] = pd.NA
+        left_at, left_ts = a_at[~ready], a_ts[~ready]
+        if ends.any():
+            arrival, is_audio = np.concatenate([arrival, left_at]), np.concatenate([is_audio, np.ones(len(left_at), bool)])
+            gates = pd.array([*gates, *[pd.NA] * len(left_at)], dtype="Int64")
+            left_at, left_ts = left_at[:0], left_ts[:0]
+        frame = pd.DataFrame({
+            "arrival": arrival, "is_audio": is_audio, "gate": gates, "out_pos": written + np.arange(len(arrival))})
+        return (int(reached[-1]), left_ts.tolist(), left_at.tolist(), written + len(arrival)), frame
 
     return fold_by_key(
-        packets, "clip_id", (None, [], [], 0), fold, "arrival long, is_audio boolean, gate long, out_pos long",
+        packets, "clip_id", (NEVER, [], [], 0), fold, "arrival long, is_audio boolean, gate long, out_pos long",
         "newest long, pending_ts array<long>, pending_at array<long>, written long")
 
 
+def _openings(rel: np.ndarray, hard: np.ndarray, base: int, fresh: bool, span_ns: int) -> list[int]:
+    """Rows at which a new cluster opens: jumps from opening to opening, a stretch of rows at a time."""
+    out, i = [], 0
+    if fresh and len(rel):
+        out, base, i = [0], int(rel[0]), 1
+    while i < len(rel):
+        part = slice(i, i + SCAN)
+        hit = np.flatnonzero((hard[part] & (rel[part] != base)) | (np.abs(rel[part] - base) > span_ns))
+        if len(hit):
+            i += int(hit[0])
+            out.append(i)
+            base = int(rel[i])
+            i += 1
+        else:
+            i += SCAN
+    return out
+
+
 def cluster(packets: DataFrame, span_ns: int = CLUSTER_SPAN_NS, needs_open: bool = False) -> DataFrame:
     """Relative time (late packets clamp to zero, none is dropped) and cluster of each packet.
 
@@ -72,20 +108,21 @@ def cluster(packets: DataFrame, span_ns: int = CLUSTER_SPAN_NS, needs_open: bool
 
     def fold(state, rows):
         first, base, number, is_open = state
-        out = []
-        configs = rows["is_config"].tolist() if needs_open else [True] * len(rows)
-        for at, audio, key, ts, config in zip(rows["arrival"].tolist(), rows["is_audio"].tolist(), rows["is_key"].tolist(),
-                                              rows["ts_ns"].tolist(), configs):
-            is_open = is_open or config
-            if not is_open:
-                continue
-            fresh = number < 0
-            first = ts if fresh else first
-            rel = max(ts - first, 0)
-            if fresh or (not audio and key and base != rel) or abs(rel - base) > span_ns:
-                base, number = rel, number + 1
-            out.append((at, rel, base, number))
-        return (first, base, number, is_open), pd.DataFrame(out, columns=["arrival", "rel_ns", "base_ns", "cluster"])
+        if not is_open:
+            config = np.flatnonzero(rows["is_config"].to_numpy(bool))
+            rows = rows.iloc[config[0]:] if len(config) else rows.iloc[:0]
+            is_open = bool(len(config))
+        ts = rows["ts_ns"].to_numpy()
+        fresh = number < 0
+        if fresh and len(ts):
+            first = int(ts[0])
+        rel = np.maximum(ts - first, 0)
+        hard = ~rows["is_audio"].to_numpy(bool) & rows["is_key"].to_numpy(bool)
+        opens = _openings(rel, hard, base, fresh, span_ns)
+        place = np.searchsorted(opens, np.arange(len(rel)), side="right")
+        bases = np.concatenate([[base], rel[opens]]).astype(np.int64)
+        out = pd.DataFrame({"arrival": rows["arrival"].to_numpy(), "rel_ns": rel, "base_ns": bases[place], "cluster": number + place})
+        return (first, int(bases[-1]), number + len(opens), is_open), out
 
     return fold_by_key(packets, "clip_id", (0, 0, -1, not needs_open), fold,
                        "arrival long, rel_ns long, base_ns long, cluster long",
@@ -97,16 +134,22 @@ def complete_bursts(frames: DataFrame) -> DataFrame:
 
     def fold(state, rows):
         base, need, have, began = state
+        rows = rows[rows["expected"] >= 2]
+        path, at = rows["base"].to_numpy(object), rows["arrival"].to_numpy()
         out = []
-        for at, path, expected in zip(rows["arrival"].tolist(), rows["base"].tolist(), rows["expected"].tolist()):
-            if expected < 2:
-                continue
-            if path != base:
-                base, need, have, began = path, expected, 0, at
-            have += 1
-            if have >= need:
-                out.append((base, began, at, have))
-                base, have = "", 0
+        # runs of one base; the first run may go on from the batch before
+        starts = np.flatnonzero(np.concatenate([[True], path[1:] != path[:-1]])) if len(path) else np.zeros(0, int)
+        for lo, hi in zip(starts, [*starts[1:], len(path)], strict=True):
+            if path[lo] != base:
+                base, need, have, began = path[lo], int(rows["expected"].iloc[lo]), 0, 0
+            first = lo - have  # where the open burst would begin, counted in rows of this batch
+            n = (hi - first) // need
+            for k in range(n):
+                a, b = first + k * need, first + (k + 1) * need - 1
+                out.append((base, int(at[a]) if a >= lo else began, int(at[b]), need))
+            have = hi - first - n * need
+            if have and first + n * need >= lo:
+                began = int(at[hi - have])
         return (base, need, have, began), pd.DataFrame(out, columns=["base", "first_arrival", "last_arrival", "n"])
 
     return fold_by_key(frames, "session_id", ("", 0, 0, 0), fold,
@@ -119,40 +162,91 @@ def count_windows(frames: DataFrame, size: int) -> DataFrame:
 
     def fold(state, rows):
         seen, previous, began, gap, gpu = state
-        out = []
-        for ts, work in zip(rows["ts_ns"].tolist(), rows["gpu_ns"].tolist()):
-            if seen % size == 0:
-                began, gap, gpu = ts, 0, 0
-            gap = max(gap, ts - previous) if seen else gap
-            gpu, previous, seen = max(gpu, work), ts, seen + 1
-            if seen % size == 0:
-                out.append((seen // size - 1, began, ts, gap, gpu))
-        return (seen, previous, began, gap, gpu), pd.DataFrame(
-            out, columns=["window", "first_ts", "last_ts", "max_gap_ns", "gpu_max_ns"])
+        ts, work = rows["ts_ns"].to_numpy(), rows["gpu_ns"].to_numpy()
+        gaps = np.diff(np.concatenate([[previous if seen else ts[0]], ts]))
+        window = (seen + np.arange(len(ts))) // size
+        parts = pd.DataFrame({"window": window, "first_ts": ts, "last_ts": ts, "gap": gaps, "gpu": work})
+        if seen % size:  # what earlier batches have of the open window
+            parts = pd.concat([pd.DataFrame([(seen // size, began, began, gap, gpu)], columns=parts.columns), parts])
+        done = parts.groupby("window").agg(first_ts=("first_ts", "first"), last_ts=("last_ts", "last"), max_gap_ns=("gap", "max"),
+                                           gpu_max_ns=("gpu", "max")).reset_index()
+        seen += len(ts)
+        full, open_ = done[done["window"] < seen // size], done[done["window"] >= seen // size]
+        last = tuple(map(int, open_[["first_ts", "max_gap_ns", "gpu_max_ns"]].iloc[0])) if len(open_) else (0, 0, 0)
+        return (seen, int(ts[-1]), *last), full
 
     return fold_by_key(frames, "clip_id", (0, 0, 0, 0, 0), fold,
                        "window long, first_ts long, last_ts long, max_gap_ns long, gpu_max_ns long",
                        "seen long, previous long, began long, gap long, gpu long")
 
 
+def telemetry_windows(frames: DataFrame, size: int) -> DataFrame:
+    """Statistics of every full window of ``size`` encoded frames as soon as it is full, as the batch form gives them.
+
+    ``frames``: clip_id, arrival, ts_ns, dropped, gpu_ns, wait_ns, copy_ns.
+    """
+    parts = ("gpu", "wait", "copy")
+    sums, tops = [f"{p}_sum" for p in parts], [f"{p}_max_ns" for p in parts]
+    open_names = ["frames", "wall", *sums, *tops, "gap_max_ns", "drops"]
+
+    def fold(state, rows):
+        done, previous, previous_done, *open_ = state
+        ts, encoded = rows["ts_ns"].to_numpy(), ~rows["dropped"].to_numpy(bool)
+        before = done + np.cumsum(encoded) - encoded
+        gap = np.diff(np.concatenate([[ts[0] if previous == NEVER else previous], ts]))
+        gap[: previous == NEVER] = -1  # no frame before the first
+        done_ts = ts[encoded]
+        wall = np.zeros(len(ts), np.int64)
+        wall[encoded] = np.diff(np.concatenate([done_ts[:1] if previous_done == NEVER else [previous_done], done_ts]))
+        table = {"window": before // size, "frames": encoded.astype(np.int64), "wall": wall, "gap_max_ns": gap, "drops": (~encoded).astype(np.int64)}
+        for p in parts:
+            work = rows[f"{p}_ns"].to_numpy()
+            table |= {f"{p}_sum": np.where(encoded, work, 0), f"{p}_max_ns": np.where(encoded, work, NEVER)}
+        frame = pd.DataFrame(table)[["window", *open_names]]
+        if open_[0] or open_[-1]:
+            frame = pd.concat([pd.DataFrame([(done // size, *open_)], columns=frame.columns), frame])
+        agg = {c: "sum" for c in ("frames", "wall", *sums, "drops")} | {c: "max" for c in (*tops, "gap_max_ns")}
+        merged = frame.groupby("window").agg(agg).reset_index()
+        done += int(encoded.sum())
+        full, rest = merged[merged["window"] < done // size], merged[merged["window"] >= done // size]
+        kept = [int(v) for v in rest[open_names].iloc[0]] if len(rest) else [0, 0, 0, 0, 0, NEVER, NEVER, NEVER, -1, 0]
+        out = pd.DataFrame({
+            "window": full["window"], "frames": full["frames"],
+            "fps": np.where(full["wall"] > 0, 1e9 * full["frames"] / np.maximum(full["wall"], 1), 0.0),
+            **{f"{p}_mean_ns": full[f"{p}_sum"] / full["frames"] for p in parts}, **{c: full[c] for c in tops},
+            "gap_max_ns": full["gap_max_ns"].astype("Int64").mask(full["gap_max_ns"] < 0), "drops": full["drops"]})
+        last_done = int(done_ts[-1]) if len(done_ts) else previous_done
+        return (done, int(ts[-1]), last_done, *kept), out
+
+    return fold_by_key(
+        frames, "clip_id", (0, NEVER, NEVER, 0, 0, 0, 0, 0, NEVER, NEVER, NEVER, -1, 0), fold,
+        "window long, frames long, fps double, gpu_mean_ns double, wait_mean_ns double, copy_mean_ns double, "
+        "gpu_max_ns long, wait_max_ns long, copy_max_ns long, gap_max_ns long, drops long",
+        "done long, previous long, previous_done long, " + ", ".join(f"{c} long" for c in open_names))
+
+
 def hold_for_neutral(events: DataFrame) -> DataFrame:
     """Frames with the newest neutral; frames wait in state until the clip's first neutral."""
+    names = ["n0", "n1", "n2"]
 
     def fold(state, rows):
         ready, n0, n1, n2, waiting = state
-        queue, out = list(waiting), []
-        for row in rows[["arrival", "is_neutral", "is_frame", "n0", "n1", "n2"]].itertuples(index=False, name=None):
-            at, neutral, frame, a, b, c = row
-            if neutral:
-                n0, n1, n2, ready = a, b, c, True
-                out += [(w, n0, n1, n2) for w in queue]
-                queue = []
-            if frame:
-                if ready:
-                    out.append((at, n0, n1, n2))
-                else:
-                    queue.append(at)
-        return (ready, n0, n1, n2, queue), pd.DataFrame(out, columns=["arrival", "n0", "n1", "n2"])
+        at = rows["arrival"].to_numpy()
+        neutral, frame = rows["is_neutral"].to_numpy(bool), rows["is_frame"].to_numpy(bool)
+        known = np.vstack([[(n0, n1, n2)], rows[names].to_numpy(float)[neutral]])
+        seen = np.cumsum(neutral)[frame]  # neutrals of this batch up to each frame; 0 is the one from before
+        frames = at[frame]
+        if not ready:
+            early = seen == 0
+            waiting = [*waiting, *frames[early].tolist()]
+            frames, seen = frames[~early], seen[~early]
+            if neutral.any():
+                frames = np.concatenate([np.array(waiting, np.int64), frames])
+                seen = np.concatenate([np.ones(len(waiting), int), seen])
+                waiting, ready = [], True
+        out = pd.DataFrame(known[seen], columns=names)
+        out.insert(0, "arrival", frames)
+        return (ready, *map(float, known[-1]), list(waiting)), out
 
     return fold_by_key(events, "clip_id", (False, 0.0, 0.0, 0.0, []), fold,
                        "arrival long, n0 double, n1 double, n2 double",

@@ -1,9 +1,11 @@
 """Streams over many files and micro-batches give the batch result."""
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from cliploom.catalog.bursts import burst_frames_of
-from cliploom.operators import bursts, container, pairing, scalars
+from cliploom.operators import bursts, container, pairing, scalars, telemetry
 from cliploom.sources import views
 from cliploom.streaming import ingest, stateful
 
@@ -29,6 +31,9 @@ def test_stateful_streams_equal_batch(spark, tmp_path):
     cols = ["clip_id", "arrival", "rel_ns", "base_ns", "cluster"]
     same(ingest.drain(stateful.cluster(views.packets_of(stream))).select(cols),
          container.assign_clusters(scalars.relative_time(packets)).select(cols))
+    cols = ["clip_id", "window", "frames", "drops", "gap_max_ns", "gpu_max_ns"]
+    same(ingest.drain(stateful.telemetry_windows(views.telemetry_of(stream), 60)).select(cols),
+         telemetry.telemetry_windows(views.telemetry_of(events)).select(cols))
     cols = ["clip_id", "arrival", "is_audio", "gate", "out_pos"]
     same(ingest.drain(stateful.interleave(views.packets_of(stream))).select(cols),
          pairing.interleave_tracks(packets).filter("NOT is_audio OR gate IS NOT NULL").select(cols))
@@ -36,3 +41,12 @@ def test_stateful_streams_equal_batch(spark, tmp_path):
     cols = ["clip_id", "arrival", "n0", "n1", "n2"]
     held = pairing.newest_neutral(views.neutral_of(events), ["n0", "n1", "n2"]).filter("n0 IS NOT NULL")
     same(ingest.drain(stateful.hold_for_neutral(views.neutral_of(stream))).select(cols), held.select(cols))
+
+
+def test_files_that_go_back_are_rejected(spark, tmp_path):
+    e = spark.read.parquet(f"{FOLDER}/events.parquet")
+    for part in ("event_id >= 500", "event_id < 500"):
+        e.filter(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "events"))
+    stream = ingest.read_stream(spark, str(tmp_path / "events"), "*.parquet", files_per_trigger=1)
+    with pytest.raises(StreamingQueryException, match="goes back"):
+        ingest.drain(stateful.interleave(views.packets_of(stream)))
