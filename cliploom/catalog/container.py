@@ -8,11 +8,16 @@ from cliploom.catalog.common import query, views, with_views
 from cliploom.operators import container, scalars
 
 
-@query("w8_full_blocks", with_views("samples") + """
-SELECT clip_id, ch, n, n // 128 AS block FROM samples s
-WHERE n < (SELECT count(*) // 128 * 128 FROM samples t WHERE t.clip_id = s.clip_id)""")
-def _(spark, sf):
-    return container.full_blocks(views.samples(spark, sf), 128).select("clip_id", "ch", "n", "block")
+def _w8(size: int, suffix: str, view: str) -> None:
+    @query(f"w8_full_blocks{suffix}", with_views(view) + f"""
+SELECT clip_id, ch, n, n // {size} AS block FROM {view} s
+WHERE n < (SELECT count(*) // {size} * {size} FROM {view} t WHERE t.clip_id = s.clip_id)""")
+    def _(spark, sf):
+        return container.full_blocks(getattr(views, view)(spark, sf), size).select("clip_id", "ch", "n", "block")
+
+
+_w8(128, "", "samples")
+_w8(3840, "_full", "long_samples")
 
 
 CLUSTERS_SQL = """

@@ -111,13 +111,18 @@ def _(spark, sf):
     return pairing.shifted_overlap(*image_pairs(spark, sf), dx=2, dy=-1)
 
 
-@query("j8_chunk_with_warmup", with_views("samples", more="""
-l AS (SELECT clip_id, max(n) // 200 AS last_chunk FROM samples GROUP BY clip_id)""") + """
-SELECT s.clip_id, n AS t, c AS chunk, c = n // 200 AS keep FROM samples s JOIN l ON s.clip_id = l.clip_id,
-  (SELECT DISTINCT n // 200 AS c FROM samples) cs WHERE c <= last_chunk AND n >= c * 200 - 10 AND n < (c + 1) * 200""")
-def _(spark, sf):
-    frames = views.samples(spark, sf).select("clip_id", F.col("n").alias("t"))
-    return pairing.chunk_with_warmup(frames, 200, 10)
+def _j8(chunk: int, warmup: int, suffix: str, view: str) -> None:
+    @query(f"j8_chunk_with_warmup{suffix}", with_views(view, more=f"""
+l AS (SELECT clip_id, max(n) // {chunk} AS last_chunk FROM {view} GROUP BY clip_id)""") + f"""
+SELECT s.clip_id, n AS t, c AS chunk, c = n // {chunk} AS keep FROM {view} s JOIN l ON s.clip_id = l.clip_id,
+  (SELECT DISTINCT n // {chunk} AS c FROM {view}) cs WHERE c <= last_chunk AND n >= c * {chunk} - {warmup} AND n < (c + 1) * {chunk}""")
+    def _(spark, sf):
+        frames = getattr(views, view)(spark, sf).select("clip_id", F.col("n").alias("t"))
+        return pairing.chunk_with_warmup(frames, chunk, warmup)
+
+
+_j8(200, 10, "", "samples")
+_j8(2000, 100, "_full", "long_samples")
 
 
 FIFO_SQL = """

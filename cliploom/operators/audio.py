@@ -7,9 +7,11 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from cliploom.functions import sound
 from cliploom.operators import affine, pairing, segments
@@ -182,28 +184,35 @@ def filter_spectra(
     near = with_neighbours(spec, KEYS, "t", ["re", "im"], taps)
     rows = near.join(controls, [*KEYS, "t"])
     gain = F.transform("gain", lambda g: sound.post_filter_gain(g)) if post_filter else F.col("gain")
-    rows = rows.withColumn("__gain", gain)
-    band_of = F.array(*[F.lit(b) for b, w in enumerate(widths) for _ in range(w)])
-    count = sound.FILTER_TAPS
-
-    def tap(k: Column, part: str) -> Column:
-        total = F.lit(0.0)
+    count, bins = sound.FILTER_TAPS, sum(widths)
+    values = ArrayType(DoubleType())
+
+    @F.arrow_udf(StructType().add("re", values).add("im", values))
+    def shape(*columns: pa.Array) -> pa.Array:
+        *near, band_gain, cre, cim = columns
+        here = count - 1 - sound.LOOKAHEAD
+        re, im = _matrix(near[here], bins), _matrix(near[count + here], bins)
+        taps_re, taps_im = (_matrix(c, filter_bins * count).reshape(-1, filter_bins, count) for c in (cre, cim))
+        scale = np.repeat(_matrix(band_gain, len(widths)), widths, axis=1)
+        out_re, out_im = re * scale, im * scale
+        out_re[:, :filter_bins] = out_im[:, :filter_bins] = 0
         for o in range(count):
-            re, im = F.get(f"re_{o}", k), F.get(f"im_{o}", k)
-            cre, cim = F.get("cre", k * count + o), F.get("cim", k * count + o)
-            term = re * cre - im * cim if part == "re" else re * cim + im * cre
-            total = total + F.coalesce(term, F.lit(0.0))
-        return total
-
-    def out(part: str) -> Column:
-        low = F.transform(F.sequence(F.lit(0), F.lit(filter_bins - 1)), lambda k: tap(k, part))
-        bins = sum(widths)
-        rest = F.transform(
-            F.sequence(F.lit(filter_bins), F.lit(bins - 1)),
-            lambda k: F.get(part, k) * F.get("__gain", F.get(band_of, k)))
-        return F.concat(low, rest) if bins > filter_bins else low
-
-    return rows.select(*KEYS, "t", out("re").alias("re"), out("im").alias("im"))
+            a, b = _matrix(near[o], bins)[:, :filter_bins], _matrix(near[count + o], bins)[:, :filter_bins]
+            p, q = taps_re[:, :, o], taps_im[:, :, o]
+            out_re[:, :filter_bins] += a * p - b * q
+            out_im[:, :filter_bins] += a * q + b * p
+        ends = pa.array(np.arange(len(re) + 1, dtype=np.int32) * bins)
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(ends, pa.array(x.ravel())) for x in (out_re, out_im)], names=["re", "im"])
+
+    near_columns = [f"{part}_{o}" for part in ("re", "im") for o in range(count)]
+    return rows.select(*KEYS, "t", shape(*near_columns, gain, "cre", "cim").alias("s")).select(*KEYS, "t", "s.re", "s.im")
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    """Lists of one width as rows; a null list is a row of zeros."""
+    out = np.zeros((len(column), width))
+    out[np.asarray(column.is_valid())] = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    return out
 
 
 def inverse_frames(spec: DataFrame, size: int = sound.FFT_SIZE) -> DataFrame:

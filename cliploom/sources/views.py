@@ -141,6 +141,24 @@ def samples(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# five long clips, for frames and chunks of the sizes recordings have
+LONG_SAMPLES_SQL = """
+long_samples AS (
+  SELECT l_suppkey % 5 AS clip_id, 0 AS ch,
+         CAST(row_number() OVER (PARTITION BY l_suppkey % 5
+              ORDER BY l_orderkey, l_suppkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS BIGINT) AS n,
+         CAST(round((l_quantity - 25.5) * 1000) AS INT) AS ival
+  FROM lineitem)"""
+
+
+def long_samples(spark: SparkSession, folder: str) -> DataFrame:
+    names = ["l_orderkey", "l_suppkey", "l_linenumber", "l_partkey", "l_extendedprice"]
+    lines = table(spark, folder, "lineitem").select((F.col("l_suppkey") % 5).alias("clip_id"), *names, "l_quantity")
+    ranked = segments.position(lines, ["clip_id"], names, "n")
+    ival = F.round((F.col("l_quantity") - 25.5) * 1000).cast("int").alias("ival")
+    return ranked.select("clip_id", F.lit(0).alias("ch"), "n", ival)
+
+
 # 32x32 images tiled from sixteen consecutive vectors of 8x8; where the last image has fewer, they repeat.
 IMAGES_SQL = """
 images AS (
