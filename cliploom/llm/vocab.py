@@ -14,9 +14,9 @@ import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 END_ID = 1
-CACHE_PIECES = 250_000  # of at most LONG_PIECE characters: some 50 MB a worker
+CACHE_PIECES = 400_000  # of at most LONG_PIECE characters: some 70 MB a worker
 LONG_PIECE = 64
-LATIN = 0x180  # code points below are Latin letters, digits and signs; so are their lower cases, but that of U+0130
+LATIN = 0x100  # code points below are Latin-1: there lower case and normal form go letter by letter
 SLICE_CHARS = 1 << 20
 #: White space as the tokenizers library's patterns know it (fixed values).
 SPACE = r"\t\n\x0b\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -52,7 +52,7 @@ class Encoder:
     """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit integers.
 
     Where a tokenizer cuts lower-cased text by the pattern ``PIECES``, drops white space and marks the
-    ends of words, texts in Latin letters are cut likewise, and the library encodes each different piece
+    ends of words, texts in Latin-1 are cut likewise, and the library encodes each different piece
     once, many in one call: a piece ends with the only id that carries the end-of-word mark.  Texts with
     other characters or special strings, and other tokenizers, get the library's call on whole texts.
     """
@@ -73,9 +73,7 @@ class Encoder:
         if self.by_piece:
             letters, digits = _class(r"\p{L}"), _class(r"\p{N}")
             self.cut = re.compile(f"[{letters}]+|'s|'t|'re|'ve|'m|'ll|'d|[{digits}]|[^{SPACE}{letters}{digits}]+").findall
-            # only in Latin letters and signs are lower case and normal form letter by letter
-            special = ["\u0130", *(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())]
-            self.odd = re.compile("|".join([f"[^\\x00-\\u{LATIN - 1:04x}]", *special])).search
+            self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
             vocab = self.tokenizer.get_vocab()
             self.last = np.zeros(max(vocab.values()) + 1, bool)
             self.last[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
@@ -93,14 +91,22 @@ class Encoder:
         raw = ids.tobytes()
         return [raw[4 * a : 4 * b] for a, b in zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist(), strict=True)]
 
+    def odd(self, text: str) -> bool:
+        """Whether a text has characters outside Latin-1 or special strings."""
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return True
+        return any(s in text for s in self.special)
+
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         whole = [t or "" for t in texts]
         if not self.by_piece:
             return self._ids(whole)
         odd = [i for i, t in enumerate(whole) if self.odd(t)]
-        cut = [self.cut(t.lower()) for t in whole]
-        for i in odd:
-            cut[i] = []
+        skip = set(odd)
+        cut = [[] if i in skip else self.cut(t.lower()) for i, t in enumerate(whole)]
         if len(self.pieces) > CACHE_PIECES:
             self.pieces.clear()
         known = self.pieces
