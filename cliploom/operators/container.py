@@ -10,15 +10,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cliploom.functions import rates, sound
 from cliploom.operators import segments
 from cliploom.operators.segments import Scan
+from cliploom.session import cut_lineage
 
 # Fixed values.
 CLUSTER_SPAN_NS = 1_000_000_000
 
-CHUNK_BITS = 14
+CHUNK_BITS = 14  # packets to a chunk
+FAN_BITS = 6  # chunk functions composed at a time
+LEVELS = 2  # of the tree: one function per 2**26 packets is left for a clip's last walk
+SCAN = 256  # packets looked at in one go for the next opening
 START_CODE = re.compile(b"\x00?\x00\x00\x01")
 
 
@@ -35,22 +40,41 @@ def full_blocks(samples: DataFrame, size: int = sound.BLOCK_FRAMES) -> DataFrame
 # or if it lies more than a second from the base; the base is the time of the packet that opened
 # the cluster.  The base going into a packet thus depends on the whole clip before it.
 #
-# A clip is cut into chunks by arrival.  A chunk acts as a function from base-in to base-out, and a
-# keyframe makes that function constant.  After any packet the base lies within a second of that
-# packet's time, so the possible bases into a chunk are the distinct times within a second of the
-# last packet before it: a small set.  Functions of chunks are tabulated on that set, composed up a
-# tree, and resolved down again; last, every chunk is replayed with its true base-in.
+# A clip is cut into chunks by arrival.  A chunk acts as a function from base-in to base-out and to the
+# number of clusters it opens.  After any packet the base lies within a second of that packet's time, so
+# the possible bases into a chunk are the distinct times within a second of the last packet before it: a
+# small set.  Functions of chunks are tabulated on that set, composed up a tree, and resolved down again;
+# last, every chunk is replayed once with its true base and cluster number.
 
 
-def _fold(rel: np.ndarray, hard: np.ndarray, base: float, span: int) -> tuple[float, np.ndarray]:
-    """Base after a chunk and which packets opened a cluster (``base`` NaN: no cluster yet)."""
-    opened = np.zeros(len(rel), bool)
-    none = base != base
-    at = 0 if none else int(base)
-    for i, (r, k) in enumerate(zip(rel.tolist(), hard.tolist())):
-        if none or (k and r != at) or abs(r - at) > span:
-            opened[i], at, none = True, r, False
-    return at, opened
+def openings(rel: np.ndarray, hard: np.ndarray, base: int | None, span: int) -> list[int]:
+    """Packets that open a cluster, given the base going in (None: no cluster yet).
+
+    Between two openings the base stands still, so the next one is found by array comparison, a stretch
+    of packets at a time.
+    """
+    out, i = [], 0
+    if base is None and len(rel):
+        out, base, i = [0], int(rel[0]), 1
+    while i < len(rel):
+        i = _next_opening(rel, hard, base, i, span)
+        if i < len(rel):
+            out.append(i)
+            base = int(rel[i])
+            i += 1
+    return out
+
+
+def _next_opening(rel: np.ndarray, hard: np.ndarray, base: int, start: int, span: int) -> int:
+    for i in range(start, len(rel), SCAN):
+        part = rel[i : i + SCAN]
+        hit = (hard[i : i + SCAN] & (part != base)) | (np.abs(part - base) > span)
+        if hit.any():
+            return i + int(hit.argmax())
+    return len(rel)
+
+
+_MAP_SCHEMA = "clip_id long, chunk long, base_in long, base_out long, opens long"
 
 
 def _chunk_maps(span: int):
@@ -58,36 +82,46 @@ def _chunk_maps(span: int):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         packets = pdf[pdf["kind"] == 0].sort_values("arrival")
-        rel, hard = packets["rel_ns"].to_numpy(), packets["hard"].to_numpy()
+        rel, hard = packets["rel_ns"].to_numpy(), packets["hard"].to_numpy().astype(bool)
         clip, chunk = pdf["clip_id"].iloc[0], pdf["chunk"].iloc[0]
-        start = np.flatnonzero(hard)
-        if len(start) or bool(pdf["starts"].iloc[0]):
-            at = start[-1] if len(start) else 0
-            out, _ = _fold(rel[at:], hard[at:], float("nan"), span)
-            return pd.DataFrame({"clip_id": [clip], "chunk": [chunk], "base_in": [None], "base_out": [out]})
+        if bool(pdf["starts"].iloc[0]):
+            opened = openings(rel, hard, None, span)
+            return pd.DataFrame({"clip_id": [clip], "chunk": [chunk], "base_in": pd.array([None], "Int64"),
+                                 "base_out": [int(rel[opened[-1]])], "opens": [len(opened)]})
+        # what follows an opening does not depend on the base before it: walked once for all bases
+        known: dict[int, tuple[int, int]] = {}
+
+        def after(base: int, start: int) -> tuple[int, int]:
+            trail, i = [], _next_opening(rel, hard, base, start, span)
+            while i < len(rel) and i not in known:
+                trail.append(i)
+                i = _next_opening(rel, hard, int(rel[i]), i + 1, span)
+            end = known[i] if i < len(rel) else None
+            for at in reversed(trail):
+                end = (int(rel[at]), 1) if end is None else (end[0], end[1] + 1)
+                known[at] = end
+            return (base, 0) if end is None else end
+
         bases = np.unique(pdf.loc[pdf["kind"] == 1, "rel_ns"].to_numpy())
-        at = bases.copy()
-        for r in rel.tolist():
-            at[np.abs(r - at) > span] = r
-        return pd.DataFrame({"clip_id": clip, "chunk": chunk, "base_in": bases, "base_out": at})
+        ends = [after(int(b), 0) for b in bases]
+        return pd.DataFrame({"clip_id": clip, "chunk": chunk, "base_in": pd.array(bases, "Int64"),
+                             "base_out": [e[0] for e in ends], "opens": [e[1] for e in ends]})
 
     return run
 
 
-_MAP_SCHEMA = "clip_id long, chunk long, base_in long, base_out long"
-
-
 def _walk(pdf: pd.DataFrame, starts: list) -> list:
-    """Follow chunk maps in order from each start (None = not known yet); list of (chunk, bases before it)."""
-    trail, bases = [], list(starts)
+    """Follow chunk maps in order from each (base, clusters so far); list of (chunk, those before it)."""
+    trail, now = [], list(starts)
     for chunk, part in pdf.sort_values("chunk").groupby("chunk", sort=True):
-        trail.append((chunk, list(bases)))
+        trail.append((chunk, list(now)))
+        out, opens = part["base_out"].astype("int64").tolist(), part["opens"].astype("int64").tolist()
         if part["base_in"].isna().any():
-            bases = [int(part["base_out"].iloc[0])] * len(bases)
+            now = [(out[0], n + opens[0]) for _, n in now]
         else:
-            table = dict(zip(part["base_in"].astype("int64"), part["base_out"].astype("int64")))
-            bases = [table.get(b) if b is not None else None for b in bases]
-    trail.append((None, bases))
+            table = dict(zip(part["base_in"].astype("int64").tolist(), zip(out, opens, strict=True), strict=True))
+            now = [(table[b][0], n + table[b][1]) for b, n in now]
+    trail.append((None, now))
     return trail
 
 
@@ -95,33 +129,31 @@ def _compose(bits: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         clip, group = pdf["clip_id"].iloc[0], int(pdf["chunk"].iloc[0]) >> bits
         first = pdf[pdf["chunk"] == pdf["chunk"].min()]
-        if pdf["base_in"].isna().any():
-            entries = [None]
-        else:
-            entries = [int(b) for b in first["base_in"]]
-        out = _walk(pdf, entries)[-1][1]
+        entries = [None] if first["base_in"].isna().any() else first["base_in"].astype("int64").tolist()
+        ends = _walk(pdf, [(b, 0) for b in entries])[-1][1]
         return pd.DataFrame({"clip_id": clip, "chunk": group, "base_in": pd.array(entries, "Int64"),
-                             "base_out": pd.array(out, "Int64")})
+                             "base_out": [e[0] for e in ends], "opens": [e[1] for e in ends]})
 
     return run
 
 
 def _resolve(maps: DataFrame, bits: int, levels: int) -> DataFrame:
-    """True base into every chunk: clip_id, chunk, base_in."""
-    schema = "clip_id long, chunk long, base_in long"
+    """True base into every chunk and clusters before it: clip_id, chunk, base_in, before."""
+    schema = "clip_id long, chunk long, base_in long, before long"
 
     def follow(pdf: pd.DataFrame) -> pd.DataFrame:
-        known = pdf["entry"].iloc[0] if "entry" in pdf else None
-        start = None if known is None or known != known else int(known)
-        trail = _walk(pdf, [start])[:-1]
+        entry = pdf["entry"].iloc[0] if "entry" in pdf else None
+        before = int(pdf["entry_before"].iloc[0]) if "entry" in pdf else 0
+        trail = _walk(pdf, [(None if pd.isna(entry) else int(entry), before)])[:-1]
         return pd.DataFrame({"clip_id": pdf["clip_id"].iloc[0], "chunk": [c for c, _ in trail],
-                             "base_in": pd.array([b[0] for _, b in trail], "Int64")})
+                             "base_in": pd.array([b[0][0] for _, b in trail], "Int64"), "before": [b[0][1] for _, b in trail]})
 
     if levels == 0:
         return maps.groupBy("clip_id").applyInPandas(follow, schema)
     group = F.shiftright("chunk", bits)
     above = maps.groupBy("clip_id", group.alias("g")).applyInPandas(_compose(bits), _MAP_SCHEMA)
-    entries = _resolve(above, bits, levels - 1).select("clip_id", F.col("chunk").alias("g"), F.col("base_in").alias("entry"))
+    entries = _resolve(above, bits, levels - 1).select(
+        "clip_id", F.col("chunk").alias("g"), F.col("base_in").alias("entry"), F.col("before").alias("entry_before"))
     return (
         maps.withColumn("g", group).join(entries, ["clip_id", "g"])
         .groupBy("clip_id", "g").applyInPandas(follow, schema)
@@ -129,53 +161,47 @@ def _resolve(maps: DataFrame, bits: int, levels: int) -> DataFrame:
 
 
 def assign_clusters(
-    packets: DataFrame, span_ns: int = CLUSTER_SPAN_NS, bits: int = CHUNK_BITS, levels: int = 1
+    packets: DataFrame, span_ns: int = CLUSTER_SPAN_NS, bits: int = CHUNK_BITS, fan_bits: int = FAN_BITS, levels: int = LEVELS
 ) -> DataFrame:
-    """Add ``opened``, ``cluster`` (0-based number in the clip) and ``base_ns``.
+    """Add ``base_ns`` and ``cluster`` (0-based number in the clip).
 
-    ``packets``: clip_id, arrival, is_audio, is_key, rel_ns.
+    ``packets``: clip_id, arrival, is_audio, is_key, rel_ns; ``arrival`` is unique per clip.
     """
-    keys = ["clip_id"]
-    rows = packets.select(
-        "clip_id", "arrival", "rel_ns", (~F.col("is_audio") & F.col("is_key")).alias("hard"),
-        F.shiftright("arrival", bits).alias("chunk"))
-    chunks = rows.groupBy("clip_id", "chunk").agg(
-        F.max_by("rel_ns", "arrival").alias("last_rel"), F.bool_or("hard").alias("has_hard"))
-    linked = segments.scan(chunks, keys, ["chunk"], {
-        "prior": Scan("last", F.struct("last_rel", "has_hard"), strict=True)})
-    info = linked.select("clip_id", "chunk", F.col("prior").isNull().alias("starts"), "has_hard",
-                         F.col("prior.last_rel").alias("prior_rel"))
-
-    # candidate bases only for chunks whose function is not constant
+    rows = packets.withColumn("hard", ~F.col("is_audio") & F.col("is_key")).withColumn("chunk", F.shiftright("arrival", bits))
+    thin = rows.select("clip_id", "arrival", "rel_ns", "hard", "chunk")
+    chunks = thin.groupBy("clip_id", "chunk").agg(F.max_by("rel_ns", "arrival").alias("last_rel"))
+    info = segments.scan(chunks, ["clip_id"], ["chunk"], {"prior_rel": Scan("last", F.col("last_rel"), strict=True)}, levels=1).select(
+        "clip_id", "chunk", "prior_rel", F.col("prior_rel").isNull().alias("starts"))
+
+    # candidate bases of every chunk but a clip's first
     second = lambda c: sound.idiv(c, F.lit(span_ns))
-    asking = info.filter("NOT starts AND NOT has_hard").select(
+    asking = info.filter("NOT starts").select(
         "clip_id", "chunk", "prior_rel",
         F.explode(F.sequence(second(F.col("prior_rel")) - 1, second(F.col("prior_rel")) + 1)).alias("sec"))
-    times = rows.select("clip_id", "rel_ns", second(F.col("rel_ns")).alias("sec")).join(
+    times = thin.select("clip_id", "rel_ns", second(F.col("rel_ns")).alias("sec")).join(
         asking.select("clip_id", "sec").distinct(), ["clip_id", "sec"], "left_semi").distinct()
     candidates = asking.join(times, ["clip_id", "sec"]).filter(F.abs(F.col("rel_ns") - F.col("prior_rel")) <= span_ns)
 
-    flags = info.select("clip_id", "chunk", "starts")
-    work = rows.withColumn("kind", F.lit(0)).unionByName(
+    work = thin.withColumn("kind", F.lit(0)).unionByName(
         candidates.select("clip_id", "chunk", "rel_ns", F.lit(1).alias("kind")), allowMissingColumns=True
-    ).join(flags, ["clip_id", "chunk"])
-    maps = work.groupBy("clip_id", "chunk").applyInPandas(_chunk_maps(span_ns), _MAP_SCHEMA)
-    bases = _resolve(maps, bits, levels)
+    ).join(info.select("clip_id", "chunk", "starts"), ["clip_id", "chunk"])
+    # a few rows per chunk, read again at every level of the tree: written once
+    maps = cut_lineage(work.groupBy("clip_id", "chunk").applyInPandas(_chunk_maps(span_ns), _MAP_SCHEMA))
+    entries = _resolve(maps, fan_bits, levels).select(
+        "clip_id", "chunk", F.col("base_in").alias("__base"), F.col("before").alias("__before"))
+
+    names = packets.columns
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("arrival")
-        entry = pdf["base_in"].iloc[0]
-        _, opened = _fold(pdf["rel_ns"].to_numpy(), pdf["hard"].to_numpy(),
-                          float("nan") if entry is None or entry != entry else entry, span_ns)
-        return pd.DataFrame({"clip_id": pdf["clip_id"], "arrival": pdf["arrival"], "opened": opened})
-
-    opened = rows.join(bases, ["clip_id", "chunk"]).groupBy("clip_id", "chunk").applyInPandas(
-        replay, "clip_id long, arrival long, opened boolean")
-    flagged = packets.join(opened, ["clip_id", "arrival"])
-    return segments.scan(flagged, keys, ["arrival"], {
-        "__count": Scan("sum", F.col("opened").cast("long")),
-        "base_ns": Scan("last", F.when(F.col("opened"), F.col("rel_ns"))),
-    }).withColumn("cluster", F.col("__count") - 1).drop("__count")
+        rel, base = pdf["rel_ns"].to_numpy(), pdf["__base"].iloc[0]
+        opened = openings(rel, pdf["hard"].to_numpy().astype(bool), None if pd.isna(base) else int(base), span_ns)
+        place = np.searchsorted(opened, np.arange(len(rel)), side="right")
+        bases = np.concatenate([[0 if pd.isna(base) else int(base)], rel[opened]]).astype(np.int64)
+        return pdf[names].assign(base_ns=bases[place], cluster=int(pdf["__before"].iloc[0]) + place - 1)
+
+    schema = StructType(packets.schema.fields).add("base_ns", "long").add("cluster", "long")
+    return rows.join(entries, ["clip_id", "chunk"]).groupBy("clip_id", "chunk").applyInPandas(replay, schema)
 
 
 def cluster_rollup(clustered: DataFrame) -> DataFrame:

@@ -15,11 +15,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from cliploom.operators.container import CLUSTER_SPAN_NS
+from cliploom.operators.container import CLUSTER_SPAN_NS, openings
 
 Fold = Callable[[tuple, pd.DataFrame], tuple[tuple, pd.DataFrame]]
 NEVER = -(2**63)
-SCAN = 256  # rows looked at in one go for the next cluster
 
 
 def fold_by_key(stream: DataFrame, key: str, start: tuple, fold: Fold, out_schema: str, state_schema: str) -> DataFrame:
@@ -82,24 +81,6 @@ def interleave(packets: DataFrame) -> DataFrame:
         "newest long, pending_ts array<long>, pending_at array<long>, written long")
 
 
-def _openings(rel: np.ndarray, hard: np.ndarray, base: int, fresh: bool, span_ns: int) -> list[int]:
-    """Rows at which a new cluster opens: jumps from opening to opening, a stretch of rows at a time."""
-    out, i = [], 0
-    if fresh and len(rel):
-        out, base, i = [0], int(rel[0]), 1
-    while i < len(rel):
-        part = slice(i, i + SCAN)
-        hit = np.flatnonzero((hard[part] & (rel[part] != base)) | (np.abs(rel[part] - base) > span_ns))
-        if len(hit):
-            i += int(hit[0])
-            out.append(i)
-            base = int(rel[i])
-            i += 1
-        else:
-            i += SCAN
-    return out
-
-
 def cluster(packets: DataFrame, span_ns: int = CLUSTER_SPAN_NS, needs_open: bool = False) -> DataFrame:
     """Relative time (late packets clamp to zero, none is dropped) and cluster of each packet.
 
@@ -118,7 +99,7 @@ def cluster(packets: DataFrame, span_ns: int = CLUSTER_SPAN_NS, needs_open: bool
             first = int(ts[0])
         rel = np.maximum(ts - first, 0)
         hard = ~rows["is_audio"].to_numpy(bool) & rows["is_key"].to_numpy(bool)
-        opens = _openings(rel, hard, base, fresh, span_ns)
+        opens = openings(rel, hard, None if fresh else base, span_ns)
         place = np.searchsorted(opens, np.arange(len(rel)), side="right")
         bases = np.concatenate([[base], rel[opens]]).astype(np.int64)
         out = pd.DataFrame({"arrival": rows["arrival"].to_numpy(), "rel_ns": rel, "base_ns": bases[place], "cluster": number + place})

@@ -114,7 +114,7 @@ def test_clusters_replay(spark, levels, keys):
             rel = max(0, a * 7 + rng.randint(-30, 30)) if c else 0
             rows.append((c, a, rng.random() < 0.5, rng.random() < keys, rel))
     df = spark.createDataFrame(rows, "clip_id long, arrival long, is_audio boolean, is_key boolean, rel_ns long")
-    got = assign_clusters(df, span_ns=25, bits=3, levels=levels)
+    got = assign_clusters(df, span_ns=25, bits=3, fan_bits=2, levels=levels)
     want = []
     for c in range(4):
         base, number = None, -1
