@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from cliploom.functions.sound import BLOCK_FRAMES
 
@@ -58,27 +59,23 @@ def read_pcm(
         .repartition(key, "__slice")
     )
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = []
-            for ident, index, raw in batch.itertuples(index=False, name=None):
-                values = decode_pcm(raw, width)
-                frames = len(values) // channels
-                parts.append(
-                    pd.DataFrame(
-                        {
-                            key: ident,
-                            "ch": np.tile(np.arange(channels, dtype=np.int32), frames),
-                            "n": np.repeat(np.arange(frames, dtype=np.int64) + index * slice_frames, channels),
-                            "ival": values,
-                        }
-                    )
-                )
-            if parts:
-                yield pd.concat(parts, ignore_index=True)
+            raws = batch.column("__bytes")
+            frames = raws.cast(pa.binary()).to_pylist()
+            counts = np.array([len(raw) // frame_bytes for raw in frames], np.int64)
+            if not counts.sum():
+                continue
+            values = decode_pcm(b"".join(frames), width)  # slices hold whole frames: one pass for all
+            first = np.repeat(batch.column("__slice").to_numpy() * slice_frames - (np.cumsum(counts) - counts), counts)
+            n = first + np.arange(counts.sum())
+            keys = batch.column(key).take(pa.array(np.repeat(np.arange(len(counts)), counts * channels)))
+            yield pa.RecordBatch.from_arrays([
+                keys, pa.array(np.tile(np.arange(channels, dtype=np.int32), len(n))), pa.array(np.repeat(n, channels)),
+                pa.array(values)], names=[key, "ch", "n", "ival"])
 
     kind = df.schema[key].dataType.simpleString()
-    return slices.mapInPandas(decode, f"{key} {kind}, ch int, n long, ival int")
+    return slices.mapInArrow(decode, f"{key} {kind}, ch int, n long, ival int")
 
 
 def read_pcm_files(spark: SparkSession, path: str, bits: int, channels: int, **kw) -> DataFrame:
@@ -90,9 +87,12 @@ def read_pcm_files(spark: SparkSession, path: str, bits: int, channels: int, **k
 def explode_raw16(frames: DataFrame, key: str = "frame_id") -> DataFrame:
     """``(key, w, h, stride, data)`` to ``(key, y, x, v)``: the first ``2*w`` bytes of every stride."""
 
-    @F.pandas_udf("array<int>")
-    def decode_row(rows: pd.Series) -> pd.Series:
-        return rows.map(lambda raw: np.frombuffer(raw, "<u2").astype(np.int32))
+    @F.arrow_udf(ArrayType(IntegerType()))
+    def decode_row(rows: pa.Array) -> pa.Array:
+        raws = rows.to_pylist()
+        ends = np.concatenate([[0], np.cumsum([len(raw) // 2 for raw in raws])]).astype(np.int32)
+        values = np.frombuffer(b"".join(raw[: len(raw) // 2 * 2] for raw in raws), "<u2").astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
 
     rows = (
         frames.filter("h > 0 AND w > 0")
