@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cliploom.catalog.common import query, views, with_views
+from cliploom.catalog.pairing import INTERLEAVE_SQL
 from cliploom.operators import container, scalars
+from cliploom.plans import clip
 
 
 def _w8(size: int, suffix: str, view: str) -> None:
@@ -59,6 +61,18 @@ def _(spark, sf):
     return container.cluster_rollup(clustered(spark, sf))
 
 
+WRITTEN_SQL = INTERLEAVE_SQL + """,
+written AS (SELECT i.clip_id, i.out_pos AS arrival, p.is_audio, p.is_key, p.size, p.ts_ns FROM inter i JOIN packets p ON p.clip_id = i.clip_id AND p.arrival = i.arrival),
+""" + CLUSTERS_SQL.replace("FROM packets)", "FROM written)")
+
+
+@query("clip_container_rollup", with_views("packets", more=WRITTEN_SQL, recursive=True) + """
+SELECT clip_id, cluster, count(*) AS packets, CAST(sum(size) AS BIGINT) AS bytes, min(base_ns) AS base_ns, max(rel_ns) - min(rel_ns) AS span_ns,
+  min(arrival) AS cue_arrival, arg_min(is_audio, arrival) AS cue_is_audio FROM clus GROUP BY clip_id, cluster""")
+def _(spark, sf):
+    return clip.container_rollup(views.packets(spark, sf))
+
+
 @query("a14_clip_durations", with_views("packets", more=CLUSTERS_SQL.split("walk AS")[0].rstrip().rstrip(",")) + """
 SELECT clip_id, max(rel_ns) AS duration_ns, count(*) AS packets, CAST(sum(size) AS BIGINT) AS bytes FROM rel GROUP BY clip_id""")
 def _(spark, sf):

@@ -60,35 +60,25 @@ def burst_scalars(frames: DataFrame, fallback_white: int = MAX_SAMPLE) -> tuple[
     ``frames``: burst, frame_id, idx, exposure_ns, iso, white, black ARRAY(4).
     """
     has = (F.col("exposure_ns") > 0) & (F.col("iso") > 0)
-    sizes = frames.groupBy("burst").agg(F.count(F.lit(1)).alias("n"), F.bool_and(has).alias("have_exposure"))
-    sized = segments.attach(frames, sizes, ["burst"], F.col("frame_id"))
-    middle = F.floor(F.col("n") / 2)
+    burst = W.partitionBy("burst")  # a few frames; every step below shares this one shuffle
     light = F.col("exposure_ns").cast("double") * F.col("iso")
-    refs = sized.groupBy("burst").agg(
-        F.max("n").alias("n"),
-        F.bool_and("have_exposure").alias("have_exposure"),
-        F.min_by(
-            F.struct("frame_id", "idx", light.alias("light"), "white", "black"),
-            F.struct(F.abs(F.col("idx") - middle), F.col("frame_id")),
-        ).alias("ref"),
-    ).filter("n >= 2")
-    joined = segments.attach(frames, refs, ["burst"], F.col("frame_id")).filter(F.col("ref").isNotNull())
-    rel = F.when(F.col("have_exposure"), light / F.col("ref.light")).otherwise(
+    sized = frames.select(
+        "burst", "frame_id", "idx", "white", "black", light.alias("light"),
+        F.count(F.lit(1)).over(burst).alias("n"), F.bool_and(has).over(burst).alias("have_exposure"))
+    nearest = F.struct(F.abs(F.col("idx") - F.floor(F.col("n") / 2)), "frame_id", "idx", "light")
+    with_ref = sized.filter("n >= 2").withColumn("ref", F.min(nearest).over(burst))
+    rel = F.when(F.col("have_exposure"), F.col("light") / F.col("ref.light")).otherwise(
         F.pow(F.lit(2.0), FALLBACK_EV_STEP * (F.col("idx") - F.col("ref.idx"))))
-    per_frame = joined.select(
-        "frame_id", "burst",
-        F.when(rel > 0, rel).otherwise(1.0).alias("e_rel"),
-        (F.col("frame_id") == F.col("ref.frame_id")).alias("is_ref"),
-    )
-    lowest = per_frame.groupBy("burst").agg(F.least(F.min("e_rel"), F.lit(1.0)).alias("lowest"))
-    white = F.when(F.col("ref.white") > 0, F.col("ref.white")).otherwise(fallback_white)
-    mean_black = F.aggregate("ref.black", F.lit(0.0), lambda a, b: a + b) * 0.25
+    scaled = with_ref.withColumn("e_rel", F.when(rel > 0, rel).otherwise(1.0)).withColumn(
+        "is_ref", F.col("frame_id") == F.col("ref.frame_id"))
+    lowest = F.least(F.min("e_rel").over(burst), F.lit(1.0))
+    white = F.when(F.col("white") > 0, F.col("white")).otherwise(fallback_white)
+    mean_black = F.aggregate("black", F.lit(0.0), lambda a, b: a + b) * 0.25
     span = F.greatest(F.lit(1.0), white - mean_black)
-    per_burst = refs.join(lowest, "burst").select(
-        "burst", "n", F.col("ref.frame_id").alias("ref_frame"), F.col("ref.idx").alias("ref_idx"),
-        white.alias("ref_white"), span.alias("ref_span"),
-        F.least(F.lit(float(MAX_SAMPLE)), span * (1.0 / F.col("lowest"))).alias("out_white"))
-    return per_burst, per_frame
+    per_burst = scaled.withColumn("lowest", lowest).filter("is_ref").select(
+        "burst", "n", F.col("frame_id").alias("ref_frame"), F.col("idx").alias("ref_idx"), white.alias("ref_white"),
+        span.alias("ref_span"), F.least(F.lit(float(MAX_SAMPLE)), span * (1.0 / F.col("lowest"))).alias("out_white"))
+    return per_burst, scaled.select("frame_id", "burst", "e_rel", "is_ref")
 
 
 def merge_brackets(

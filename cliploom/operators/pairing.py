@@ -30,6 +30,24 @@ def stray_captures(images: DataFrame, results: DataFrame, wanted: int) -> DataFr
     return beyond.unionByName(no_result).unionByName(no_image)
 
 
+def pair_shots(log: DataFrame, **kw) -> DataFrame:
+    """Pairs of image and result in a session where arming the next shot throws pending halves away.
+
+    A half belongs to the shot armed last before it, and pairs only with a half of the same shot; the
+    first ``wanted`` images of a shot count, as its arming says.  Halves before the first arming have no
+    shot.  ``log``: session_id, arrival, kind (``arm`` | ``image`` | ``result``), ts_ns, wanted.
+    Result: session_id, shot (from 1), ts_ns, image_arrival, result_arrival.
+    """
+    arm = F.col("kind") == "arm"
+    seen = segments.scan(log, ["session_id"], ["arrival"], {
+        "shot": Scan("sum", arm.cast("long")), "limit": Scan("last", F.when(arm, F.col("wanted")))}, **kw)
+    halves = seen.filter((F.col("shot") > 0) & ~arm)
+    images = segments.position(halves.filter("kind = 'image'"), ["session_id", "shot"], ["arrival"], "__rank", **kw)
+    counted = images.filter(F.col("__rank") < F.col("limit")).select("session_id", "shot", "ts_ns", F.col("arrival").alias("image_arrival"))
+    results = halves.filter("kind = 'result'").select("session_id", "shot", "ts_ns", F.col("arrival").alias("result_arrival"))
+    return counted.join(results, ["session_id", "shot", "ts_ns"])
+
+
 def enrich_frames(frames: DataFrame, devices: DataFrame) -> DataFrame:
     """Static device tags, overridden per shot: black and neutral when present, white when above zero."""
     tags = devices.select(
