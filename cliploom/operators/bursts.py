@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from cliploom.functions import pixel
 from cliploom.functions.rounding import round_half_away
@@ -173,13 +176,25 @@ def bitmap_rows(values: DataFrame, key: str) -> DataFrame:
     return lines.select(key, "y", F.transform("line", lambda c: c["b"]).alias("bits"))
 
 
-def _line_mismatch(dx: Column) -> Column:
-    """Differing places of ``ref_bits`` against ``mov_bits`` moved by ``dx``."""
-    left = F.greatest(F.lit(0), -dx)
-    size = F.greatest(F.lit(0), F.size("ref_bits") - F.abs(dx))
-    a = F.slice("ref_bits", left + 1, size)
-    b = F.slice("mov_bits", left + dx + 1, size)
-    return F.size(F.filter(F.zip_with(a, b, lambda p, q: p != q), lambda d: d))
+@F.arrow_udf(ArrayType(LongType()))
+def _mismatches(ref: pa.Array, mov: pa.Array, shifts: pa.Array) -> pa.Array:
+    """Differing places of each line against the other moved by each of its shifts."""
+    out = []
+    for r, m, dxs in zip(_bits(ref), _bits(mov), shifts.to_pylist(), strict=True):
+        counts = []
+        for dx in dxs:
+            left, size = max(0, -dx), max(0, len(r) - abs(dx))
+            a, b = r[left : left + size], m[left + dx : left + dx + size]
+            size = min(len(a), len(b))
+            counts.append(int(np.count_nonzero(a[:size] != b[:size])))
+        out.append(counts)
+    return pa.array(out, pa.list_(pa.int64()))
+
+
+def _bits(lines: pa.Array) -> list[np.ndarray]:
+    flat = lines.flatten().to_numpy(zero_copy_only=False)
+    ends = np.cumsum(lines.value_lengths().to_numpy())
+    return [flat[a:b] for a, b in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True)]
 
 
 def bitmap_error(ref: DataFrame, mov: DataFrame, candidates: DataFrame, key: str = "pair_id") -> DataFrame:
@@ -192,30 +207,56 @@ def bitmap_error(ref: DataFrame, mov: DataFrame, candidates: DataFrame, key: str
     want = ref.select(key, F.col("y").alias("ry"), F.col("bits").alias("ref_bits")).join(per_dy, key)
     want = want.withColumn("y", F.col("ry") + F.col("dy"))
     met = want.join(mov.select(key, "y", F.col("bits").alias("mov_bits")), [key, "y"])
-    scored = met.select(key, "dy", "ref_bits", "mov_bits", F.explode("dxs").alias("dx")).select(
-        key, "dx", "dy", _line_mismatch(F.col("dx")).cast("long").alias("err"),
-        F.greatest(F.lit(0), F.size("ref_bits") - F.abs("dx")).cast("long").alias("cnt"))
+    compared = met.select(key, "dy", "dxs", F.size("ref_bits").alias("width"), _mismatches("ref_bits", "mov_bits", "dxs").alias("errs"))
+    scored = compared.select(key, "dy", "width", F.explode(F.arrays_zip("dxs", "errs")).alias("m")).select(
+        key, F.col("m.dxs").alias("dx"), "dy", F.col("m.errs").alias("err"),
+        F.greatest(F.lit(0), F.col("width") - F.abs("m.dxs")).cast("long").alias("cnt"))
     total = scored.groupBy(key, "dx", "dy").agg(F.sum("err").alias("err"), F.sum("cnt").alias("cnt"))
     full = candidates.join(total, [key, "dx", "dy"], "left")
     ratio = F.when(F.col("cnt") > 0, (F.col("err") / F.col("cnt") * 1e6).cast("long"))
     return full.select(*candidates.columns, F.coalesce(ratio, F.lit(NO_OVERLAP)).alias("error"))
 
 
-def align(ref: DataFrame, mov: DataFrame, w: int, h: int, key: str = "pair_id") -> DataFrame:
-    """Coarse-to-fine shift per pair: nine candidates per level, smallest error, first in scan order
-    (dy outer, dx inner).  The loop runs over the few pyramid levels, never over pairs."""
-    ref_levels, mov_levels = pyramid(ref, key, w, h), pyramid(mov, key, w, h)
-    shifts = ref.select(key).distinct().select(key, F.lit(0).alias("dx"), F.lit(0).alias("dy"))
+def _search(levels: list[tuple[DataFrame, DataFrame]], pairs: DataFrame, key: str) -> DataFrame:
+    """Shift per pair from the bit lines of each pyramid level, coarsest first.
+
+    Nine candidates per level, smallest error, first in scan order (dy outer, dx inner).  The loop runs
+    over the few pyramid levels, never over pairs.
+    """
+    shifts = pairs.select(key, F.lit(0).alias("dx"), F.lit(0).alias("dy"))
     offsets = F.explode(F.array(*[
         F.struct(F.lit(oy).alias("oy"), F.lit(ox).alias("ox")) for oy in (-1, 0, 1) for ox in (-1, 0, 1)]))
-    for ref_level, mov_level in zip(reversed(ref_levels), reversed(mov_levels)):
+    for ref_lines, mov_lines in levels:
         candidates = shifts.select(key, "dx", "dy", offsets.alias("o")).select(
             key, (F.col("dx") * 2 + F.col("o.ox")).alias("dx"), (F.col("dy") * 2 + F.col("o.oy")).alias("dy"),
             "o.oy", "o.ox")
-        scored = bitmap_error(bitmap_rows(ref_level, key), bitmap_rows(mov_level, key), candidates, key)
+        scored = bitmap_error(ref_lines, mov_lines, candidates, key)
         # with no overlap anywhere the doubled shift stays
         stay = (F.col("error") == NO_OVERLAP) & ~((F.col("oy") == 0) & (F.col("ox") == 0))
-        shifts = scored.groupBy(key).agg(
-            F.min_by(F.struct("dx", "dy"), F.struct("error", stay, "oy", "ox")).alias("s")
-        ).select(key, "s.dx", "s.dy")
+        # one number that sorts like (error, stay, oy, ox): plain buffers keep this a hash aggregation
+        rank = ((F.col("error").cast("decimal(38,0)") * 2 + stay.cast("int")) * 9 + (F.col("oy") + 1) * 3 + F.col("ox") + 1).cast("decimal(38,0)")
+        shifts = scored.groupBy(key).agg(F.min_by("dx", rank).alias("dx"), F.min_by("dy", rank).alias("dy"))
     return shifts
+
+
+def align(ref: DataFrame, mov: DataFrame, w: int, h: int, key: str = "pair_id") -> DataFrame:
+    """Coarse-to-fine shift of ``mov`` against ``ref`` (key, y, x, v) per pair."""
+    levels = [
+        (bitmap_rows(r, key), bitmap_rows(m, key))
+        for r, m in zip(reversed(pyramid(ref, key, w, h)), reversed(pyramid(mov, key, w, h)), strict=True)]
+    return _search(levels, ref.select(key).distinct(), key)
+
+
+def align_frames(pixels: DataFrame, pairs: DataFrame, w: int, h: int) -> DataFrame:
+    """Shift per pair of frames: ``pair_id, dx, dy``.
+
+    Pyramid, medians and bit lines are made once for each frame, however many pairs it is in.
+    ``pixels``: frame_id, y, x, v; ``pairs``: pair_id, ref_id, mov_id.
+    """
+    levels = []
+    for level in reversed(pyramid(pixels, "frame_id", w, h)):
+        lines = bitmap_rows(level, "frame_id")
+        side = lambda name, lines=lines: lines.join(
+            pairs.select("pair_id", F.col(name).alias("frame_id")), "frame_id").select("pair_id", "y", "bits")
+        levels.append((side("ref_id"), side("mov_id")))
+    return _search(levels, pairs, "pair_id")

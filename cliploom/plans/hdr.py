@@ -23,12 +23,10 @@ def merge_bursts(
     per_burst, per_frame = bursts.burst_scalars(usable)
     shifts = None
     if aligned:
-        proxies = bursts.halve(pixels, "frame_id", w, h)
         others = per_frame.filter("NOT is_ref").select("burst", F.col("frame_id").alias("pair_id"))
-        moving = proxies.withColumnRenamed("frame_id", "pair_id").join(others.select("pair_id"), "pair_id", "left_semi")
-        pairs = others.join(per_burst.select("burst", F.col("ref_frame").alias("frame_id")), "burst")
-        fixed = proxies.join(pairs.select("frame_id", "pair_id"), "frame_id").drop("frame_id")
-        found = bursts.align(fixed, moving, w // 2, h // 2)
+        pairs = others.join(per_burst.select("burst", F.col("ref_frame").alias("ref_id")), "burst").select(
+            "pair_id", "ref_id", F.col("pair_id").alias("mov_id"))
+        found = bursts.align_frames(bursts.halve(pixels, "frame_id", w, h), pairs, w // 2, h // 2)
         shifts = found.withColumnRenamed("pair_id", "frame_id")
     merged = bursts.merge_brackets(pixels, usable, per_burst, per_frame, w, h, shifts, as_written)
     return bursts.quantize_merged(merged, per_burst)
