@@ -79,10 +79,10 @@ def _folded(listed: DataFrame, by: list[str]) -> DataFrame:
 
 def _replayed(listed: DataFrame, keys: list[str], index: str, before: bool, carry: Sequence[str] = ()) -> DataFrame:
     """Value at every step of a group entered with ``m0`` (``before``: the value going into the step)."""
-    walked = listed.select(*keys, "steps", _walk("m0", "steps").alias("m"))
-    rows = walked.select(*keys, "m", F.posexplode("steps").alias("at", "s"))
-    return rows.select(
-        *keys, F.col("s.i").alias(index), F.col("m")[F.col("at") + (0 if before else 1)].alias("m"), *[F.col(f"s.p.{c}") for c in carry])
+    values = F.slice(_walk("m0", "steps"), 1 if before else 2, F.size("steps"))
+    # zipped before they are exploded, so that a row carries its own value only
+    rows = listed.select(*keys, F.explode(F.arrays_zip(F.col("steps").alias("s"), values.alias("m"))).alias("z"))
+    return rows.select(*keys, F.col("z.s.i").alias(index), F.col("z.m").alias("m"), *[F.col(f"z.s.p.{c}") for c in carry])
 
 
 def _entries(folded: DataFrame, keys: list[str], starts: DataFrame | Column, bits: int, levels: int) -> DataFrame:
