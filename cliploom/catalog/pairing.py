@@ -55,11 +55,11 @@ def _(spark, sf):
 
 
 @query("j3_enrich_frames", """
-SELECT event_id AS frame_id, s_suppkey AS device,
+SELECT event_id AS frame_id, user_id % 90 AS device,
   CASE WHEN event_id % 3 = 0 THEN event_id % 70 ELSE s_suppkey % 64 END AS black0,
   CASE WHEN event_id % 4 = 0 THEN (event_id % 9) / 8.0::DOUBLE ELSE s_nationkey / 32.0::DOUBLE END AS neutral0,
   CASE WHEN event_id % 5 > 0 THEN event_id % 5 * 200 ELSE 1000 + s_suppkey END AS white
-FROM events JOIN supplier ON s_suppkey = user_id % 90""")
+FROM events LEFT JOIN supplier ON s_suppkey = user_id % 90""")
 def _(spark, sf):
     i, s = F.col("event_id"), F.col("s_suppkey")
     frames = table(spark, sf, "events").select(
@@ -70,8 +70,7 @@ def _(spark, sf):
     devices = table(spark, sf, "supplier").select(
         s.alias("device"), F.array(s % 64).alias("black"), F.array(F.col("s_nationkey") / 32.0).alias("neutral"),
         (s + 1000).alias("white"))
-    known = pairing.enrich_frames(frames, devices).filter("black IS NOT NULL AND neutral IS NOT NULL AND white IS NOT NULL")
-    return known.join(devices.select("device"), "device", "left_semi").select(
+    return pairing.enrich_frames(frames, devices).select(
         "frame_id", "device", F.col("black")[0].alias("black0"), F.col("neutral")[0].alias("neutral0"), "white")
 
 

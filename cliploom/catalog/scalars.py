@@ -57,14 +57,16 @@ def _(spark, sf):
 
 
 @query("s3_write_with_manifest", with_views("packets") + """
-SELECT clip_id, count(*) AS n_rows, CAST(sum(size) AS BIGINT) AS total_size FROM packets GROUP BY clip_id""")
+SELECT clip_id, count(*) AS n_rows, CAST(sum(size) AS BIGINT) AS total_size, true AS in_place FROM packets GROUP BY clip_id""")
 def _(spark, sf):
     folder = f"{durable_dir(spark)}/packets-{uuid.uuid4().hex}"
     written = manifest.write_with_manifest(views.packets(spark, sf), folder, files_per_key=2)
     sizes = spark.read.parquet(folder).groupBy("clip_id").agg(F.sum("size").alias("total_size"))
     return (
-        written.groupBy("clip_id").agg(F.sum("rows").alias("n_rows")).join(sizes, "clip_id")
-        .select(F.col("clip_id").cast("long"), "n_rows", "total_size")
+        written.groupBy("clip_id").agg(
+            F.sum("rows").alias("n_rows"),
+            F.bool_and(F.contains("path", F.concat(F.lit("/clip_id="), F.col("clip_id"), F.lit("/part-")))).alias("in_place"))
+        .join(sizes, "clip_id").select(F.col("clip_id").cast("long"), "n_rows", "total_size", "in_place")
     )
 
 

@@ -9,7 +9,7 @@ from cliploom.catalog.common import query, table, views, with_views
 from cliploom.catalog.container import CLUSTERS_SQL
 from cliploom.catalog.pairing import INTERLEAVE_SQL
 from cliploom.catalog.telemetry import TELEMETRY_WINDOWS_SQL, rounded_windows
-from cliploom.operators import late, scalars
+from cliploom.operators import scalars
 from cliploom.streaming import ingest, stateful
 
 
@@ -108,7 +108,7 @@ def _(spark, sf):
 @query("r4_drop_before_open", with_views("packets", more=OPEN_SQL) + """
 SELECT clip_id, arrival, greatest(ts_ns - first_value(ts_ns) OVER (PARTITION BY clip_id ORDER BY arrival), 0) AS rel_ns FROM kept""")
 def _(spark, sf):
-    kept = late.drop_before_open(with_config(views.packets(spark, sf)))
+    kept = scalars.drop_before_open(with_config(views.packets(spark, sf)))
     return scalars.relative_time(kept).select("clip_id", "arrival", "rel_ns")
 
 

@@ -347,13 +347,14 @@ def resample_band_limited(
 
 def score_chunks(
     frames: DataFrame, fn: Callable[[pd.DataFrame], pd.Series], value: str = "v",
-    chunk: int = sound.CHUNK_FRAMES, warmup: int = sound.WARMUP_FRAMES,
+    chunk: int = sound.CHUNK_FRAMES, warmup: int = sound.WARMUP_FRAMES, strict: bool = False,
 ) -> DataFrame:
     """Run ``fn`` over chunks with warm-up frames in front; keep only each chunk's own frames.
 
     ``fn`` gets one chunk ordered by ``t`` and returns one value per row.  If it fails for any chunk of a
-    channel, the whole channel keeps its original values.  Scores are written once to the checkpoint
-    folder, so the model runs once per chunk.  ``frames``: clip_id, ch, t, value.
+    channel, the whole channel keeps its original values; ``failed_chunks`` says how many did, and with
+    ``strict`` an error in ``fn`` ends the job instead.  Scores are written once to the checkpoint folder,
+    so the model runs once per chunk.  ``frames``: clip_id, ch, t, value.
     """
     planned = pairing.chunk_with_warmup(frames.select(*KEYS, "t", F.col(value).cast("double").alias("v")), chunk, warmup)
 
@@ -363,13 +364,16 @@ def score_chunks(
             got = pd.Series(np.asarray(fn(pdf), dtype=float))
             ok = len(got) == len(pdf)
         except Exception:  # noqa: BLE001 - a failing model falls back, it does not fail the job
+            if strict:
+                raise
             ok = False
         pdf["score"] = got if ok else pdf["v"]
         pdf["ok"] = ok
-        return pdf.loc[pdf["keep"], ["clip_id", "ch", "t", "v", "score", "ok"]]
+        return pdf.loc[pdf["keep"], ["clip_id", "ch", "t", "v", "score", "ok", "chunk"]]
 
     scored = cut_lineage(planned.groupBy(*KEYS, "chunk").applyInPandas(
-        run, "clip_id long, ch int, t long, v double, score double, ok boolean"))
-    good = scored.groupBy(*KEYS).agg(F.bool_and("ok").alias("__good"))
+        run, "clip_id long, ch int, t long, v double, score double, ok boolean, chunk long"))
+    good = scored.groupBy(*KEYS).agg(
+        F.bool_and("ok").alias("__good"), F.count_distinct(F.when(~F.col("ok"), F.col("chunk"))).alias("failed_chunks"))
     rows = segments.attach(scored, good, KEYS, F.col("t"))
-    return rows.select(*KEYS, "t", F.when(F.col("__good"), F.col("score")).otherwise(F.col("v")).alias(value))
+    return rows.select(*KEYS, "t", F.when(F.col("__good"), F.col("score")).otherwise(F.col("v")).alias(value), "failed_chunks")
