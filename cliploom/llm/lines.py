@@ -87,10 +87,13 @@ def _stream(batches: Iterator[pa.RecordBatch], min_docs: int) -> Iterator[pa.Rec
         count = np.cumsum(other)
         base = np.concatenate([[0], count[np.flatnonzero(start)] - 1]) - np.concatenate([[seen], np.zeros(n_runs - 1, int)])
         order = count - base[run]  # 1 for the rows of a hash's first document, 2 for the next, ...
+        fresh = other | (rows["text_key"] != before["text_key"]) | (rows["pos"] != before["pos"])
+        if not fresh.all():  # repeated rows of a document say nothing new
+            rows, order, run = {k: v[fresh] for k, v in rows.items()}, order[fresh], run[fresh]
         if held is not None:
-            fresh = held.pop("order")
+            earlier = held.pop("order")
             rows = {k: np.concatenate([held[k], v]) for k, v in rows.items()}
-            order, run = np.concatenate([fresh, order]), np.concatenate([np.zeros(len(fresh), run.dtype), run])
+            order, run = np.concatenate([earlier, order]), np.concatenate([np.zeros(len(earlier), run.dtype), run])
             held = None
         total = np.zeros(n_runs, np.int64)
         total[0] = seen

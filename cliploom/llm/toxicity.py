@@ -210,15 +210,16 @@ def fit(labelled: DataFrame, text_column: str = "text", label_column: str = "tox
     """
     known = labelled.where(F.col(label_column).isin(0, 1))
     return _fit(bounded_sample(known, _order(order_column), max_rows).select(
-        F.col(text_column).alias("text"), F.col(label_column).cast("int").alias("label"), _order(order_column).alias("order")))
+        F.col(text_column).alias("text"), F.col(label_column).cast("int").alias("label"), _order(order_column).alias("order")), max_rows)
 
 
 def _order(column: str):
     return F.xxhash64(F.col(column), F.lit(9))
 
 
-def _fit(rows: DataFrame) -> Model:
-    sample = shared_table(rows.repartition(8, "order"), "labelled")
+def _fit(rows: DataFrame, max_rows: int) -> Model:
+    # rows that repeat a text under one id count once; ids with many texts are bounded here too
+    sample = bounded_sample(shared_table(rows.distinct().repartition(8, "order"), "labelled"), F.xxhash64("text"), max_rows)
     fitting, check = sample.where(F.pmod("order", F.lit(4)) != 0), sample.where(F.pmod("order", F.lit(4)) == 0)
     kinds = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     base = kinds.get(1, 0) / max(1, sum(kinds.values()))
@@ -254,4 +255,4 @@ def fit_documents(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id",
         F.col(id_column).alias("__id")).agg(F.max(label_column).alias("__label"))
     drawn = bounded_sample(known, _order("__id"), max_rows)
     rows = docs.join(F.broadcast(drawn), F.col(id_column) == F.col("__id"))
-    return _fit(rows.select(F.col(text_column).alias("text"), F.col("__label").cast("int").alias("label"), _order("__id").alias("order")))
+    return _fit(rows.select(F.col(text_column).alias("text"), F.col("__label").cast("int").alias("label"), _order("__id").alias("order")), max_rows)

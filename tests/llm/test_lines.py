@@ -21,7 +21,7 @@ def test_same_as_brute_force(spark, parts):
     rng = random.Random(parts)
     pool = [f"{LONG} {i}" for i in range(12)] + [f"  {LONG.upper()} 3\t", "short", "", f"{LONG} 3"]
     docs = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(0, 9)))) for i in range(60)]
-    docs += [(None, f"{LONG} 3\n{LONG} 4"), (99, None), (7, docs[7][1]), (8, f"{LONG} 5\nother")]
+    docs += [(None, f"{LONG} 3\n{LONG} 4"), (99, None), (8, f"{LONG} 5\nother")] + [(7, docs[7][1])] * 40
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(parts)
     got = kept(df, lines.keep_bitmaps(df))
     assert got == {(i, t): brute.drop_lines(docs)[(i, t)] for i, t in docs}
