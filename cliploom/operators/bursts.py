@@ -159,7 +159,11 @@ def pyramid(pixels: DataFrame, key: str, w: int, h: int) -> list[DataFrame]:
 
 
 def upper_median(values: DataFrame, keys: list[str]) -> DataFrame:
-    """Element ``n div 2`` of the sorted values, from a histogram (one row per distinct value)."""
+    """Element ``n div 2`` of the sorted values, from a histogram (one row per distinct value).
+
+    The window runs over distinct values: 16-bit samples have at most 2**16, their 2x2 means 2**18,
+    however many pixels an image has.
+    """
     counts = values.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("c"))
     by_value = W.partitionBy(*keys).orderBy("v")
     placed = counts.select(
