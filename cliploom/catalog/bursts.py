@@ -167,12 +167,25 @@ def _(spark, sf):
     return bursts.align(ref, mov, 32, 32)
 
 
-@query("m7_burst_merge", with_views("shots", "pixels", more=SCALARS_SQL + """,
+MERGE_SQL = with_views("shots", "pixels", more=SCALARS_SQL + """,
 proxy AS (SELECT frame_id, CAST(y // 2 AS INT) AS y, CAST(x // 2 AS INT) AS x, avg(v) AS v FROM pixels GROUP BY 1, y // 2, x // 2),
 ref1 AS (SELECT r.frame_id AS pair_id, y, x, v FROM rel r JOIN scal s ON s.burst = r.burst AND NOT r.is_ref JOIN proxy p ON p.frame_id = s.ref_frame),
 mov1 AS (SELECT r.frame_id AS pair_id, y, x, v FROM rel r JOIN proxy p ON p.frame_id = r.frame_id AND NOT r.is_ref),
-""" + align_sql("ref1", "mov1", 1) + ", best AS (SELECT pair_id AS frame_id, dx, dy FROM s0)," + merged_sql(True)) + """
-SELECT m.burst, CAST(y AS INT) AS y, CAST(x AS INT) AS x, CAST(least(greatest(round(radiance), 0), trunc(out_white)) AS BIGINT) AS value, CAST(round(out_white) AS BIGINT) AS white
-FROM merged m JOIN scal s ON s.burst = m.burst WHERE s.n = 3""")
+""" + align_sql("ref1", "mov1", 1) + ", best AS (SELECT pair_id AS frame_id, dx, dy FROM s0)," + merged_sql(True))
+MERGED_COLUMNS = """CAST(y AS INT) AS y, CAST(x AS INT) AS x, CAST(least(greatest(round(radiance), 0), trunc(out_white)) AS BIGINT) AS value, CAST(round(out_white) AS BIGINT) AS white
+FROM merged m JOIN scal s ON s.burst = m.burst WHERE s.n = 3"""
+
+
+@query("m7_burst_merge", MERGE_SQL + f"SELECT m.burst, {MERGED_COLUMNS}")
 def _(spark, sf):
     return hdr.merge_bursts(shot_frames(spark, sf), views.pixels(spark, sf), 8, 8)
+
+
+# two bursts to a run, runs of five sessions in turn
+@query("m7_shots_to_merge", MERGE_SQL + f"""
+SELECT m.burst // 2 % 5 AS session_id, m.burst // 2 * 6 AS run, m.burst % 2 AS burst, {MERGED_COLUMNS}""")
+def _(spark, sf):
+    pair = F.floor(F.col("burst") / 2)
+    frames = shot_frames(spark, sf).select(
+        "*", (pair % 5).alias("session_id"), F.col("frame_id").alias("arrival"), F.concat(F.lit("IMG_"), pair).alias("base")).drop("burst")
+    return hdr.merge_shots(frames, views.pixels(spark, sf), 8, 8)

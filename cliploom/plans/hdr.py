@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cliploom.operators import bursts
 from cliploom.operators.scalars import geometry_guard
+from cliploom.session import cut_lineage
 
 
 def merge_bursts(
@@ -30,3 +31,18 @@ def merge_bursts(
         shifts = found.withColumnRenamed("pair_id", "frame_id")
     merged = bursts.merge_brackets(pixels, usable, per_burst, per_frame, w, h, shifts, as_written)
     return bursts.quantize_merged(merged, per_burst)
+
+
+def merge_shots(frames: DataFrame, pixels: DataFrame, w: int, h: int, **options) -> DataFrame:
+    """From captured frames to merged pixels: session_id, run, burst, y, x, value, white.
+
+    Runs of one base path are cut into bursts of the expected count (a run may hold several), and each
+    complete one is merged.  ``frames``: session_id, arrival, base, expected and what ``merge_bursts`` needs
+    of a frame besides its burst.
+    """
+    found = bursts.burst_islands(frames).withColumn("expected", F.col("run_expected"))
+    # a row for each frame, read by every later step: written once
+    named = cut_lineage(found.withColumn("burst", F.concat_ws(":", "session_id", "run", "burst")))
+    merged = merge_bursts(named, pixels, w, h, **options)
+    part = lambda i: F.split("burst", ":")[i].cast("long")
+    return merged.select(part(0).alias("session_id"), part(1).alias("run"), part(2).alias("burst"), "y", "x", "value", "white")
