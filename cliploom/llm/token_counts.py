@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cliploom.llm.vocab import public_file
+from cliploom.llm.vocab import byte_letters, public_file
 
 CACHE_ENTRIES = 600_000
 LONG_PIECE = 64
@@ -35,14 +35,6 @@ SPACE = r"\t\n\x0b\f\r \x85\xa0  -     　"
 STRETCH = rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]"
 
 
-def byte_letters() -> list[str]:
-    """The printable letter that stands for each byte in a byte-level vocabulary: itself where it is
-    printable Latin-1, else the next unused code point from 256 on."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    spare = iter(range(256, 512))
-    return [chr(b if b in set(shown) else next(spare)) for b in range(256)]
-
-
 class Counter:
     """Counts tokens by the merges of one vocabulary file."""
 

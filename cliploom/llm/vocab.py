@@ -6,6 +6,8 @@ import functools
 import json
 import os
 import re
+import sys
+from array import array
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -48,12 +50,37 @@ def _class(pattern: str) -> str:
     return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in ranges)
 
 
+def byte_letters() -> list[str]:
+    """The printable letter that stands for each byte in a byte-level vocabulary: itself where it is
+    printable Latin-1, else the next unused code point from 256 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    spare = iter(range(256, 512))
+    return [chr(b if b in shown else next(spare)) for b in range(256)]
+
+
+class Pieces(dict):
+    """Ids of single pieces by the library's merges alone, kept once asked for: a piece needs no more cutting."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.model = model
+        self.letters = dict(enumerate(byte_letters()))
+
+    def __missing__(self, piece: str) -> bytes:
+        text = piece
+        if not (piece.isascii() and piece.isprintable()):  # bytes as the letters that stand for them
+            text = piece.encode().decode("latin-1").translate(self.letters)
+        ids = array("I", [token.id for token in self.model.tokenize(text)]).tobytes()
+        if len(piece) <= LONG_PIECE:
+            self[piece] = ids
+        return ids
+
+
 class Encoder:
     """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit integers.
 
-    Where a tokenizer cuts lower-cased text by the pattern ``PIECES``, drops white space and marks the
-    ends of words, texts in Latin-1 are cut likewise, and the library encodes each different piece
-    once, many in one call: a piece ends with the only id that carries the end-of-word mark.  Texts with
+    Where a tokenizer cuts lower-cased text by the pattern ``PIECES`` into byte-level pieces and drops white
+    space, texts in Latin-1 are cut likewise, and the library merges each different piece once.  Texts with
     other characters or special strings, and other tokenizers, get the library's call on whole texts.
     """
 
@@ -64,33 +91,23 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.pieces: dict[str, bytes] = {}
         config = json.loads(self.tokenizer.to_str())
         cuts = [p["pattern"].get("Regex") for p in (config["pre_tokenizer"] or {}).get("pretokenizers", []) if p["type"] == "Split"]
         lower = "Lowercase" in [n["type"] for n in (config["normalizer"] or {}).get("normalizers", [])]
-        suffix = config["model"].get("end_of_word_suffix")
-        self.by_piece = cuts == [self.PIECES] and lower and bool(suffix) and not any(self._ids([" ", "\n", " \n "]))
+        kinds = [p["type"] for p in (config["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        self.by_piece = (
+            sys.byteorder == "little" and cuts == [self.PIECES] and kinds == ["Split", "ByteLevel"] and lower
+            and not any(self._ids([" ", "\n", " \n "])))
         if self.by_piece:
             letters, digits = _class(r"\p{L}"), _class(r"\p{N}")
             self.cut = re.compile(f"[{letters}]+|'s|'t|'re|'ve|'m|'ll|'d|[{digits}]|[^{SPACE}{letters}{digits}]+").findall
             self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-            vocab = self.tokenizer.get_vocab()
-            self.last = np.zeros(max(vocab.values()) + 1, bool)
-            self.last[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
+            self.pieces = Pieces(self.tokenizer.model)
 
     def _ids(self, texts: Sequence[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def _piece_ids(self, pieces: list[str]) -> list[bytes]:
-        """Ids of single pieces, by one call for all of them."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.flatnonzero(self.last[ids]) + 1
-        if len(ends) != len(pieces):
-            return self._ids(pieces)
-        raw = ids.tobytes()
-        return [raw[4 * a : 4 * b] for a, b in zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist(), strict=True)]
-
     def odd(self, text: str) -> bool:
         """Whether a text has characters outside Latin-1 or special strings."""
         if not text.isascii():
@@ -109,14 +126,7 @@ class Encoder:
         cut = [[] if i in skip else self.cut(t.lower()) for i, t in enumerate(whole)]
         if len(self.pieces) > CACHE_PIECES:
             self.pieces.clear()
-        known = self.pieces
-        fresh = list(set().union(*cut).difference(known))
-        if fresh:
-            known.update(zip(fresh, self._piece_ids(fresh), strict=True))
-        out = [b"".join(map(known.__getitem__, parts)) for parts in cut]
-        for p in fresh:
-            if len(p) > LONG_PIECE:
-                del known[p]
+        out = [b"".join(map(self.pieces.__getitem__, parts)) for parts in cut]
         for i, ids in zip(odd, self._ids([whole[i] for i in odd]), strict=True):
             out[i] = ids
         return out
