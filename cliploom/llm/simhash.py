@@ -220,7 +220,11 @@ def representatives(docs: DataFrame, id_column: str = "doc_id", text_column: str
     Rows that repeat an id are one document: one of them stays, of several texts the one whose
     ``text_key`` is smallest.  Rows of null id stay.
     """
-    found = near_duplicates(docs, id_column, text_column, **options)
+    return smallest_of_each(docs, near_duplicates(docs, id_column, text_column, **options), id_column, text_column)
+
+
+def smallest_of_each(docs: DataFrame, found: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``representatives`` by components (doc_id, component_id) that are known."""
     chosen = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_key(text_column).alias("text_key"))
     keys = texts.join(chosen, "doc_id", "left_semi").groupBy("doc_id", "text_key").agg(F.count("*").alias("n"))
