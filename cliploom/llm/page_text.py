@@ -6,8 +6,11 @@ with an id column and a column of HTML.
 Method: maximum-scoring subsequence.  A page is read as a sequence of words and tags; each has a weight,
 positive where it tells for the article and negative where it tells for the frame around it, and a linear
 scan finds the contiguous stretch of highest sum.  Weights are log ratios counted on labelled pages: pages
-that mark their article with <article> or <main> label themselves.  Elements that never belong to the
-article (menus, forms, scripts, adverts, notices, comments, ...) cost much and are left out of the stretch.
+that mark their article with <article> or <main> label themselves, and no weight is counted on the mark
+itself.  The mark is one more weight, as large as the share of the page's text that it covers tells.
+Elements that never belong to the article (menus, forms, scripts, ...) cost much and are left out of the
+stretch.  So are those whose class, id or role names a frame (adverts, notices, comments, ...), unless the
+text inside outweighs the name; an <article> or <main> below ends what a wrapper's name says.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from cliploom.llm.common import bounded_sample
 MAX_PAGES = 5_000  # pages among which labelled ones are looked for
 BOILERPLATE = -3.0  # weight of a block that never belongs to the article
 LIMIT = 4.0  # largest weight
+MARK = 3.0  # weight of a mark that covers all of a page's text, below that of a word
+NAMED = 0.1  # what a stretch counts that takes in elements named as frames, and a word of little weight under a mark
 
 RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp".split())
 SKIPPED = frozenset("head nav aside form button select svg math canvas object video audio menu dialog fieldset map".split()) | RAW
@@ -43,6 +48,8 @@ FRAME = re.compile(
     r"popups?|modal|overlay|newsletter|subscri\w*|signup|nav|navbar|navigation|menus?|breadcrumbs?|sidebars?|side|aside|footer|header|"
     r"masthead|topbar|toolbar|comments?|commentlist|disqus|respond|replies|related|recommend\w*|share|sharing|social|widgets?|"
     r"pagination|pager|skip|contentinfo|complementary|search)(?:$|[\s_-])", re.I)
+#: Names that an <article> below does not lift: it is a comment or a teaser.
+OTHERS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|respond|replies|related|recommend\w*)(?:$|[\s_-])", re.I)
 #: Layout names that only tell of a frame elsewhere on the page.
 LAYOUT = re.compile(r"\b(?:with|without|has|no)[-_][\w-]*", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -61,26 +68,33 @@ class Block(NamedTuple):
     skipped: bool
     marked: bool  # inside <article> or <main>
     tags: tuple[str, ...]  # tags between the block before and this one
+    named: bool = False  # inside an element whose name tells of a frame
 
 
-def _is_frame(name: str, attributes: str, in_article: bool) -> bool:
+NOTHING, NAME, FIXED_NAME, FRAME_ELEMENT = range(4)
+
+
+def _frame(name: str, attributes: str, in_article: bool) -> int:
+    """What an element tells by itself: nothing, a frame by name (one that nothing below lifts), or a frame in any case."""
     if name in SKIPPED:
-        return True
+        return FRAME_ELEMENT
     if name in ("header", "footer"):
-        return name == "footer" or not in_article
-    if not attributes or name in ARTICLE or name in ("html", "body"):
-        return False
+        return FRAME_ELEMENT if name == "footer" or not in_article else NOTHING
+    if not attributes or name in ("html", "body"):
+        return NOTHING
+    found = NOTHING
     for key, value in ATTRIBUTE.findall(attributes):
         key = key.lower()
         if key in ("class", "id", "role"):
-            names = {m[0].strip().lower().strip("-_") for m in FRAME.finditer(LAYOUT.sub("", value.strip("\"'")))}
+            value = LAYOUT.sub("", value.strip("\"'"))
+            names = {m[0].strip().lower().strip("-_") for m in FRAME.finditer(value)}
             if names - ({"header"} if in_article else set()):
-                return True
+                found = max(found, FIXED_NAME if OTHERS.search(value) else NAME)
         if key in ("hidden", "aria-hidden") and value.strip("\"'").lower() in ("", "true", "hidden"):
-            return True
+            return FRAME_ELEMENT
         if key == "style" and HIDDEN.search(value):
-            return True
-    return False
+            return FRAME_ELEMENT
+    return found
 
 
 def blocks(page: str) -> list[Block]:
@@ -89,16 +103,18 @@ def blocks(page: str) -> list[Block]:
     text: list[str] = []
     tags: list[str] = []
     open_: list[str] = []  # elements that are open, outermost first
-    skip: list[str] = []  # open elements from the outermost skipped one on
+    frame: list[int] = []  # of each open element, what it and those around it tell
     state = [0, 0]  # open <article> or <main>; open <a>
     linked = [0, 0]  # characters of the current block, and those of them in links
 
     def border() -> None:
         joined = " ".join("".join(text).split())
         if joined:
-            holder = next((t for t in reversed(open_) if t not in INLINE), "body")
+            holder = next((t for t in reversed(open_) if t not in INLINE and t not in ARTICLE), "body")
             link = "link" if 2 * linked[1] > linked[0] else "text"
-            out.append(Block(joined, f"{holder} {link}", len(joined.split(" ")), bool(skip), state[0] > 0, tuple(tags)))
+            level = frame[-1] if frame else NOTHING
+            out.append(Block(joined, f"{holder} {link}", len(joined.split(" ")), level == FRAME_ELEMENT, state[0] > 0, tuple(tags),
+                             level in (NAME, FIXED_NAME)))
             tags.clear()
         text.clear()
         linked[:] = [0, 0]
@@ -125,15 +141,15 @@ def blocks(page: str) -> list[Block]:
             continue
         if name not in INLINE:
             border()
-            tags.append(("/" if closing else "") + name)
+            if name not in ARTICLE:
+                tags.append(("/" if closing else "") + name)
         if name in VOID or attributes.endswith("/") and not closing and name not in INLINE | ARTICLE and name in ("path", "rect", "circle", "use"):
             continue
         if closing:
             if name in open_:
                 while open_:
                     last = open_.pop()
-                    if skip:
-                        skip.pop()
+                    frame.pop()
                     state[0] -= last in ARTICLE
                     state[1] -= last == "a"
                     if last == name:
@@ -141,36 +157,37 @@ def blocks(page: str) -> list[Block]:
             continue
         if name in SIBLINGS and open_ and open_[-1] == name:
             open_.pop()
-            if skip:
-                skip.pop()
+            frame.pop()
         open_.append(name)
         state[0] += name in ARTICLE
         state[1] += name == "a"
-        if skip or _is_frame(name, attributes, state[0] > 0):
-            if not skip and name in INLINE:
-                border()
-            skip.append(name)
+        around, own = frame[-1] if frame else NOTHING, _frame(name, attributes, state[0] > 0)
+        if name in ARTICLE and around == NAME:
+            around = NOTHING
+        if own > around and name in INLINE:
+            border()
+        frame.append(max(around, own))
     border()
     return out
 
 
 class Weights(NamedTuple):
-    """Log ratios: of words by the kind of their block, and of tags; ``marked`` for pages that mark an article."""
+    """Log ratios: of words by the kind of their block, and of tags; ``marked`` where a mark covers all of the text."""
 
     words: dict[str, float]
     tags: dict[str, float]
     word: float = 1.0
     tag: float = -0.5
-    marked: float = LIMIT
+    marked: float = MARK
 
 
 def count_kinds(found: list[Block]) -> Iterator[tuple[str, int, int]]:
     """(name, weight inside the article, outside) of a page that marks its article; no rows of other pages."""
-    if not any(b.marked for b in found):
+    if not any(b.marked and not b.skipped and not b.named for b in found):
         return
     for b in found:
-        inside = b.marked and not b.skipped
-        if not b.skipped:
+        inside = b.marked and not b.skipped and not b.named
+        if not b.skipped and not b.named:
             yield f"w {b.kind}", b.words * inside, b.words * (not inside)
         for tag in b.tags:
             yield f"t {tag}", int(inside), int(not inside)
@@ -195,28 +212,39 @@ def learn_weights(pages: DataFrame, html_column: str = "html", max_pages: int =
     return Weights(words, {n[2:]: min(0.0, v) for n, v in ratio.items() if n.startswith("t ")})
 
 
-def main_text(page: str, weights: Weights) -> str:
-    """Text of the best stretch of blocks, without those that never belong to an article."""
-    found = blocks(page)
-    has_mark = any(b.marked and not b.skipped for b in found)
+def _best_stretch(found: list[Block], weights: Weights, named: bool) -> tuple[float, str]:
+    """Score and text of the best stretch; blocks named as frames are left out unless ``named``."""
+    left_out = [b.skipped or b.named and not named for b in found]
+    scores = [b.words * weights.words.get(b.kind, weights.word if b.kind.endswith("text") else -weights.word) for b in found]
+    told = [(score if score > 0 else NAMED * b.words, b.marked) for b, score, out in zip(found, scores, left_out, strict=True) if not out]
+    total, covered = sum(v for v, _ in told), sum(v for v, marked in told if marked)
+    # a mark on less than half of the text, like one on teasers, tells nothing
+    mark = weights.marked * max(0.0, 2 * covered / total - 1) if total else 0.0
     best, best_span, run, begin = 0.0, (0, 0), 0.0, 0
-    for i, b in enumerate(found):
+    for i, (b, score, out) in enumerate(zip(found, scores, left_out, strict=True)):
         before = sum(weights.tags.get(t, weights.tag) for t in b.tags)
-        if b.skipped:
+        if out:
             # left out in any case; a stretch goes on behind it if more of the article follows
             value = 0.0 if b.marked else BOILERPLATE
-        elif has_mark:
-            value = b.words * (weights.marked if b.marked else -weights.marked)
         else:
-            value = b.words * weights.words.get(b.kind, weights.word if b.kind.endswith("text") else -weights.word)
-        if has_mark and b.marked:
-            before = 0.0
+            value = score + b.words * (mark if b.marked else -mark)
         if run <= 0:
             run, begin, before = 0.0, i, 0.0
         run += before + value
         if run > best:
             best, best_span = run, (begin, i + 1)
-    return " ".join(b.text for b in found[slice(*best_span)] if not b.skipped)
+    return best, " ".join(b.text for b, out in zip(found[slice(*best_span)], left_out[slice(*best_span)], strict=True) if not out)
+
+
+def main_text(page: str, weights: Weights) -> str:
+    """Text of the best stretch of blocks, without those that never belong to an article."""
+    found = blocks(page)
+    best, text = _best_stretch(found, weights, False)
+    if any(b.named and not b.skipped for b in found):
+        every, with_named = _best_stretch(found, weights, True)
+        if NAMED * every > best:
+            return with_named
+    return text
 
 
 def page_texts(pages: DataFrame, weights: Weights | None = None, html_column: str = "html") -> DataFrame:

@@ -51,3 +51,20 @@ def test_no_pages(spark):
 def test_many_quotes_and_brackets_stay_linear():
     page = "<article><p>" + "<a b='" * 3000 + "</p>" + "<" * 20000 + "</article>"
     assert isinstance(text(page), str)
+
+
+BODY = "<p>" + "plain words of the body text " * 8 + "</p>"
+WANT = ("plain words of the body text " * 8).strip()
+
+
+@pytest.mark.parametrize("page", [
+    f"<div>{BODY}</div><ul>" + "<li><article><a href=x>teaser of another page</a></article></li>" * 4 + "</ul>",
+    f"<article>{BODY}</article><div><article class=comment><p>{'a reader says so ' * 9}</p></article></div>",
+])
+def test_the_mark_alone_does_not_decide(page):
+    assert text(page) == WANT
+
+
+def test_learned_weights_are_looked_up_on_marked_pages():
+    page = f"<article>{BODY}<table><td>low low low low low low</td></table></article>"
+    assert text(page, page_text.Weights({"td text": -4.0}, {})) == WANT
