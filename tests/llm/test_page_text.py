@@ -68,3 +68,11 @@ def test_the_mark_alone_does_not_decide(page):
 def test_learned_weights_are_looked_up_on_marked_pages():
     page = f"<article>{BODY}<table><td>low low low low low low</td></table></article>"
     assert text(page, page_text.Weights({"td text": -4.0}, {})) == WANT
+
+
+@pytest.mark.parametrize("page", [
+    f"<div class='layout right-sidebar'><article>{BODY}</article></div>", f"<div class='page sidebar-left'><main>{BODY}</main></div>",
+    f"<div class='elementor-widget-container'>{BODY}</div>", f"<body><div class='ad'>buy<article>{BODY}</article></body>",
+])
+def test_text_outweighs_the_name_of_a_wrapper(page):
+    assert text(page) == WANT
