@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cliploom.llm import codes, contamination, dialogues, lines, packing, page_text, retrieval, simhash, token_counts, toxicity
+from cliploom.llm import byte_pairs, codes, contamination, dialogues, lines, packing, page_text, retrieval, simhash, token_counts, toxicity
 from cliploom.llm.common import read
 from cliploom.session import durable_dir
 
@@ -161,3 +161,10 @@ def op7_chat_rotation(spark: SparkSession, folder: str) -> DataFrame:
     found = dialogues.rotate(read(spark, folder, "conversations").select("conv_id", "turn", "role", "text"))
     spans = F.transform("mask", lambda m: F.concat_ws(":", m["start"], m["end"]))
     return found.select("conv_id", "speaker", "part", "n_turns", "text", F.array_join(spans, ",").alias("mask"))
+
+
+@query("op11_byte_pairs")
+def op11_byte_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    coded = byte_pairs.encode(read(spark, folder, "documents").select("doc_id", "text"))
+    return byte_pairs.decode(coded).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

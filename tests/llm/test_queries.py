@@ -22,8 +22,8 @@ def test_query_covers_its_table(spark, name):
     assert found.exceptAll(every).count() == 0 and every.exceptAll(found).count() == 0
 
 
-def test_ten_operators():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+def test_operators():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 12))
 
 
 def test_pipeline_stages(spark):
