@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cliploom.session import durable_dir
@@ -70,3 +70,22 @@ def bounded_sample(rows: DataFrame, hashed: Column, most: int) -> DataFrame:
     """
     n = rows.count()
     return rows if n <= most else rows.where(share_of(hashed, 0.95 * most / n))
+
+
+ID_BITS = 33  # of a monotonically increasing id for the place in its partition
+
+
+def ranks(rows: DataFrame, order: Sequence[str | Column], name: str) -> DataFrame:
+    """``rows`` with ``rank``, their place from 0 on in ``order``, whatever the ties.
+
+    Rows are sorted by ranges and written; a range's rows are numbered by themselves, and the sizes of the ranges
+    before it, one row for each task, are added.
+    """
+    placed = shared_table(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(
+        "__place", F.monotonically_increasing_id()), name)
+    part = F.shiftright("__place", ID_BITS)
+    sizes = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    sizes = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    rank = F.col("__before") + F.col("__place").bitwiseAND(F.lit((1 << ID_BITS) - 1))
+    return placed.withColumn("__part", part).join(F.broadcast(sizes), "__part").withColumn("rank", rank).drop(
+        "__part", "__place", "__before")

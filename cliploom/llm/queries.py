@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cliploom.llm import byte_pairs, codes, contamination, dialogues, lines, packing, page_text, retrieval, simhash, token_counts, toxicity
+from cliploom.llm import byte_pairs, codes, contamination, dialogues, hard_negatives, lines, packing, page_text, resampling, retrieval, simhash, token_counts, toxicity
 from cliploom.llm.common import read
 from cliploom.session import durable_dir
 
@@ -168,3 +168,73 @@ def op11_byte_pairs(spark: SparkSession, folder: str) -> DataFrame:
     coded = byte_pairs.encode(read(spark, folder, "documents").select("doc_id", "text"))
     return byte_pairs.decode(coded).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op12_importance_resampling", r"""
+WITH steps AS (
+  SELECT list(list_reduce(list_concat([i], range(0, 8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)
+              ORDER BY i) AS tab FROM range(0, 256) r(i)),
+worded AS (
+  SELECT side, id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM (SELECT 0 AS side, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark)),
+grams AS (
+  SELECT side, id, unnest(list_concat(words, list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]))) AS gram
+  FROM worded WHERE len(words) > 0),
+distinct_grams AS (SELECT DISTINCT gram FROM grams),
+hexed AS (SELECT gram, hex(encode(gram)) AS h FROM distinct_grams),
+summed AS (
+  SELECT gram, xor(4294967295, list_reduce(list_concat([4294967295::BIGINT],
+    list_transform(range(0, len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
+    lambda c, b: xor(c >> 8, tab[xor(c & 255, b) + 1]))) % 10000 AS bucket
+  FROM hexed, steps),
+placed AS (SELECT g.side, g.id, s.bucket FROM grams g JOIN summed s USING (gram)),
+counts AS (
+  SELECT b AS bucket, count(*) FILTER (WHERE side = 0) AS s, count(*) FILTER (WHERE side = 1) AS t
+  FROM range(0, 10000) r(b) LEFT JOIN placed ON bucket = b GROUP BY b),
+gains AS (
+  SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE)
+                                 / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain FROM counts),
+weights AS (
+  SELECT id, count(*) AS n_features, floor(sum(gain) / count(*))::BIGINT AS weight
+  FROM placed JOIN gains USING (bucket) WHERE side = 0 GROUP BY id),
+scored AS (
+  SELECT w.id AS doc_id, len(w.words) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || w.id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM worded w LEFT JOIN weights x ON w.id = x.id WHERE w.side = 0),
+ready AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
+SELECT s.doc_id, s.n_features, s.weight, s.score, CASE WHEN place <= (25 * n) // 100 THEN place END AS rank
+FROM scored s LEFT JOIN ready r ON s.doc_id = r.doc_id
+""")
+def op12_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    drawn = resampling.resample(read(spark, folder, "documents").select("doc_id", "text"), read(spark, folder, "benchmark").select("text"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op13_hard_negatives", """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+         CAST(list_dot_product(CAST(a.v AS DOUBLE[]), CAST(b.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+near AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT n.anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY n.anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM near n JOIN scored s ON n.anchor_id = s.anchor_id AND NOT s.same
+  AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY rank <= 5
+""")
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = read(spark, folder, "embeddings").select(
+        F.col("vec_id").alias("frame_id"), label.alias("clip_id"), F.col("embedding").alias("bands"))
+    return hard_negatives.hard_negatives(vectors).select(
+        "anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
