@@ -8,9 +8,10 @@ in a document only if all its shingles do, so one necessary shingle, the rarest
 is enough to join on.  Rarity is counted over the whole corpus.  Positional and length bounds then
 place the window in the document, and its words are compared one by one.
 
-Documents are read once.  A filter of fixed size, whatever the benchmark, marks words that may belong
-to a benchmark shingle; each longest stretch of such words (a run) is kept with its words.  Every
-occurrence of a window lies in one run, so nothing after this step needs the texts.
+Documents are read once.  A filter of at most 32 MiB, sized by the number of benchmark shingles, marks words
+that may belong to one; each longest stretch of such words (a run) is kept with its words.  Every
+occurrence of a window lies in one run, so nothing after this step needs the texts.  A run is known by a
+128-bit hash of its words, so its length is paid for once, whatever it is.
 """
 
 from __future__ import annotations
@@ -29,8 +30,10 @@ from cliploom.llm.common import as_bytes, join_null_safe, mix, shared_table, tex
 WORD_TABLE = bytes(
     b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 SHINGLE = 5
-FILTER_BITS = 24  # 2 MiB, for any number of benchmark items
+FILTER_BITS = (16, 28)  # least and greatest size of the filter, as powers of two
+SPARE = 16  # bits of the filter for each shingle, up to the greatest size; beyond it runs only get longer
 CHUNK_WORDS = 200_000
+RUN_ROWS = 4_096  # shingles of a run in one record batch
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -77,24 +80,29 @@ def item_windows(items: DataFrame, id_column: str, text_column: str, window: int
         F.collect_set("item_id").alias("items"))
 
 
-def shingle_filter(windows: DataFrame) -> np.ndarray:
-    """Bits of all window shingles, OR-ed by Spark; at most 2^18 words reach the driver."""
-    slot = F.shiftrightunsigned("s", 64 - FILTER_BITS)
-    words = (
-        windows.select(F.explode("shingles").alias("s"))
-        .groupBy(F.shiftrightunsigned(slot, 6).alias("at"))
-        .agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(s, {64 - FILTER_BITS}) & 63 as int))")).alias("bits")))
-    bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    for row in words.toLocalIterator():
-        bits[row["at"]] = np.uint64(row["bits"] & 0xFFFFFFFFFFFFFFFF)
-    return bits
+def filter_bits(shingles: int) -> int:
+    """Size of the filter, as a power of two, for so many different shingles."""
+    return min(FILTER_BITS[1], max(FILTER_BITS[0], (SPARE * shingles).bit_length()))
 
 
-def document_runs(docs: DataFrame, windows: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """Every document with its word count and its runs (``start``, ``k``, ``words``)."""
+def shingle_filter(windows: DataFrame, bits: int | None = None) -> np.ndarray:
+    """Bits of all window shingles, OR-ed by Spark to 64 at a time; of ``2 ** bits``, or as many as their number asks for."""
+    every = windows.select(F.explode("shingles").alias("s"))
+    if bits is None:
+        bits = filter_bits(every.distinct().count())
+    slot = F.shiftrightunsigned("s", 64 - bits)
+    words = every.groupBy(F.shiftrightunsigned(slot, 6).alias("at")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(s, {64 - bits}) & 63 as int))")).alias("bits")).toArrow()
+    table = np.zeros(1 << (bits - 6), np.uint64)
+    table[words.column("at").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return table
+
+
+def document_runs(docs: DataFrame, windows: DataFrame, id_column: str, text_column: str, bits: int | None = None) -> DataFrame:
+    """Every document with its word count and its runs (``start``, ``k``, the hash ``h1, h2`` and the ``words``)."""
     shape = {r["k"]: r["least"] for r in windows.groupBy("k").agg(F.min("n").alias("least")).collect()}  # SHINGLE rows at most
-    bits = docs.sparkSession.sparkContext.broadcast(shingle_filter(windows))
-    run = pa.struct([("start", pa.int32()), ("k", pa.int32()), ("words", pa.string())])
+    filter_ = docs.sparkSession.sparkContext.broadcast(shingle_filter(windows, bits))
+    run = pa.struct([("start", pa.int32()), ("k", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("words", pa.string())])
 
     def search(texts: list[list[bytes]]) -> list[list[dict]]:
         found: list[list[dict]] = [[] for _ in texts]
@@ -103,12 +111,13 @@ def document_runs(docs: DataFrame, windows: DataFrame, id_column: str, text_colu
         lengths = np.array([len(w) for w in texts])
         owner = np.repeat(np.arange(len(texts)), lengths)
         first = np.cumsum(lengths) - lengths
-        table = bits.value
+        table = filter_.value
+        size = 6 + (len(table) - 1).bit_length()
         for k, least in shape.items():
             s = shingles(h, k)
             if not len(s):
                 continue
-            slot = s >> np.uint64(64 - FILTER_BITS)
+            slot = s >> np.uint64(64 - size)
             hit = (table[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
             hit &= owner[: len(s)] == owner[k - 1 :]
             at = np.flatnonzero(hit)
@@ -120,7 +129,9 @@ def document_runs(docs: DataFrame, windows: DataFrame, id_column: str, text_colu
                 begin, end = int(at[lo]), int(at[hi - 1]) + k
                 if end - begin >= least:
                     d = int(owner[begin])
-                    found[d].append({"start": begin - int(first[d]), "k": k, "words": b" ".join(flat[begin:end]).decode()})
+                    words = b" ".join(flat[begin:end])
+                    h1, h2 = np.frombuffer(xxhash.xxh3_128_digest(words), "<i8").tolist()
+                    found[d].append({"start": begin - int(first[d]), "k": k, "h1": h1, "h2": h2, "words": words.decode()})
         return found
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,30 +153,34 @@ def document_runs(docs: DataFrame, windows: DataFrame, id_column: str, text_colu
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_key(text_column).alias("text_key"),
                        F.col(text_column).alias("text"))
     return rows.mapInArrow(
-        scan, "doc_id long, text_key long, n_words long, runs array<struct<start: int, k: int, words: string>>")
+        scan, "doc_id long, text_key long, n_words long, runs array<struct<start: int, k: int, h1: long, h2: long, words: string>>")
 
 
 def contaminated_words(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text",
-                       item_column: str = "item_id", item_text: str = "text", window: int = 10) -> DataFrame:
+                       item_column: str = "item_id", item_text: str = "text", window: int = 10,
+                       bits: int | None = None) -> DataFrame:
     """Where windows of benchmark items occur in documents.
 
     A window is ``window`` consecutive words of an item, or the whole item if it has fewer.  Returns
     a row for every row of ``docs``: ``doc_id, text_key, n_words``, ``hits`` (start, length: places of
     windows, in words from 0; overlapping ones stay apart) and ``items`` (ids as strings, sorted).
 
+    ``bits`` sets the size of the filter by hand, as a power of two of at least 6; too small a one makes runs longer.
+
     Null or empty text has no words, hits or items; so has a text shorter than every window.  Items
     of null id are left out, items of null or empty text have no window.  Repeated rows each get
     their row.  A null document id is kept.  Other columns are not read.
     """
     windows = shared_table(item_windows(items, item_column, item_text, window), "windows")
-    scanned = shared_table(document_runs(docs, windows, id_column, text_column), "runs")
+    scanned = shared_table(document_runs(docs, windows, id_column, text_column, bits), "runs")
     placed = scanned.select("doc_id", "text_key", F.explode("runs").alias("run")).select("doc_id", "text_key", "run.*")
 
-    # each different run once, however many documents hold it
-    runs = placed.groupBy("words", "k").agg(F.count("*").alias("copies"))
+    # each different run once, however many documents hold it; only this step reads their words
+    run = ["h1", "h2", "k"]
+    runs = placed.groupBy(*run).agg(F.count("*").alias("copies"), F.first("words").alias("words"))
     known = runs.mapInArrow(
         lambda batches: _run_shingles(batches, window),
-        "words string, k int, copies long, s long, pos int, context string, before int")
+        "h1 long, h2 long, k int, copies long, s long, pos int, context string, before int")
     rarity = known.groupBy("k", "s").agg(F.sum("copies").alias("held_by"))
 
     # the necessary shingle of each window: its rarest one; a window with an absent shingle occurs nowhere
@@ -180,13 +195,13 @@ def contaminated_words(docs: DataFrame, items: DataFrame, id_column: str = "doc_
     start = F.col("pos") - F.col("offset")
     inside = candidates.where((start >= 0) & (F.col("before") >= F.col("offset")))
     same = F.array_join(F.slice(F.split("context", " "), F.col("before") - F.col("offset") + 1, F.col("n")), " ") == F.col("window")
-    verified = inside.where(same).select("words", "k", start.alias("start"), "n", "window")
+    verified = inside.where(same).select(*run, start.alias("start"), "n", "window")
     named = verified.join(windows.select(F.col("words").alias("window"), "items"), "window")
-    by_run = named.groupBy("words", "k").agg(
+    by_run = named.groupBy(*run).agg(
         F.collect_set(F.struct("start", F.col("n").alias("length"))).alias("places"),
         F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
 
-    hits = placed.join(by_run, ["words", "k"]).select(
+    hits = placed.drop("words").join(by_run, run).select(
         "doc_id", "text_key", "items",
         F.transform("places", lambda p: F.struct((p["start"] + F.col("start")).alias("start"), p["length"].alias("length"))).alias("hits"))
     by_doc = hits.groupBy("doc_id", "text_key").agg(
@@ -201,16 +216,18 @@ def contaminated_words(docs: DataFrame, items: DataFrame, id_column: str = "doc_
 def _run_shingles(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """Each shingle of a run with the words around it that a window through it can reach."""
     for batch in batches:
-        for text, k, copies in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            words = text.encode().split(b" ")
-            s = shingles(hashes(words), k).view(np.int64)
-            low = [max(0, i - window + k) for i in range(len(s))]
-            yield pa.RecordBatch.from_arrays([
-                pa.array([text] * len(s), pa.string()), pa.array([k] * len(s), pa.int32()),
-                pa.array([copies] * len(s), pa.int64()), pa.array(s), pa.array(range(len(s)), pa.int32()),
-                pa.array([b" ".join(words[a : i + window]).decode() for i, a in enumerate(low)], pa.string()),
-                pa.array([i - a for i, a in enumerate(low)], pa.int32())],
-                names=["words", "k", "copies", "s", "pos", "context", "before"])
+        for row in batch.to_pylist():
+            words = row["words"].encode().split(b" ")
+            s = shingles(hashes(words), row["k"]).view(np.int64)
+            for begin in range(0, len(s), RUN_ROWS):
+                at = range(begin, min(begin + RUN_ROWS, len(s)))
+                low = [max(0, i - window + row["k"]) for i in at]
+                yield pa.RecordBatch.from_arrays([
+                    *[pa.array([row[c]] * len(at), t) for c, t in (("h1", pa.int64()), ("h2", pa.int64()), ("k", pa.int32()), ("copies", pa.int64()))],
+                    pa.array(s[begin : begin + len(at)]), pa.array(at, pa.int32()),
+                    pa.array([b" ".join(words[a : i + window]).decode() for i, a in zip(at, low, strict=True)], pa.string()),
+                    pa.array([i - a for i, a in zip(at, low, strict=True)], pa.int32())],
+                    names=["h1", "h2", "k", "copies", "s", "pos", "context", "before"])
 
 
 def hit_words(hits: Column) -> Column:

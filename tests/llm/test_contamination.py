@@ -47,3 +47,25 @@ def test_long_text_and_repeated_passage(spark):
     passage = " ".join(f"w{i}" for i in range(12))
     text = ("x " * 5000 + passage + " ") * 4
     assert found(spark, [(1, text)], [(7, passage)]) == [(1, 4 * 5012, 48, ("7",))]
+
+
+def test_long_run(spark):
+    """A document that quotes an item of 30,000 words is one run."""
+    item = " ".join(f"w{i}" for i in range(30_000))
+    docs = [(1, "before " + item + " after"), (2, item), (3, " ".join(item.split()[100:109])), (4, " ".join(item.split()[100:110]))]
+    assert found(spark, docs, [(7, item)]) == [(1, 30_002, 30_000, ("7",)), (2, 30_000, 30_000, ("7",)), (3, 9, 0, ()), (4, 10, 10, ("7",))]
+
+
+def test_saturated_filter(spark):
+    """A filter of 64 bits lets nearly every word through: runs are whole texts, and the result is the same."""
+    rng = random.Random(2)
+    items = [(i, " ".join(f"v{rng.randrange(60)}" for _ in range(rng.choice([4, 12])))) for i in range(40)]
+    docs = [(i, " ".join(f"v{rng.randrange(60)}" for _ in range(3000)) + " " + items[i][1]) for i in range(6)]
+    d, b = (spark.createDataFrame(rows, f"{name} long, text string") for rows, name in ((docs, "doc_id"), (items, "item_id")))
+    out = contamination.contaminated_words(d, b, bits=6).withColumn("n_hit", contamination.hit_words(F.col("hits")))
+    got = sorted(((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"])) for r in out.collect()), key=repr)
+    assert got == sorted(brute.contamination(docs, items), key=repr)
+
+
+def test_filter_follows_the_number_of_shingles():
+    assert contamination.filter_bits(0) == 16 and contamination.filter_bits(10**6) == 24 and contamination.filter_bits(10**10) == 28

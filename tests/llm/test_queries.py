@@ -1,6 +1,7 @@
 import importlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from cliploom.llm.queries import ORACLES, QUERIES
 from tests import oracle
@@ -55,6 +56,21 @@ def test_pipeline_stages(spark):
     assert stage["toxicity"](spark, df, folder).count() == len(docs)
 
 
+def test_pipeline_stages_keep_columns_of_the_operators_names(spark):
+    stage = dict(importlib.import_module("corpus_pipeline").STAGES)
+    line = "a line of some length that many documents have in common"
+    rows = [(i, f"text {i}\n{line}", 7.5, 99, -1, "mark", 60) for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, score double, n_lines int, n_dropped int, text_key string, n_chars long")
+    cut = stage["line dedup"](spark, df, FOLDER)
+    assert cut.columns == df.columns and cut.select(df.columns[2:-1]).distinct().collect() == [(7.5, 99, -1, "mark")]
+    assert cut.agg(F.count_distinct("n_chars")).first()[0] == 2
+    scored = stage["toxicity"](spark, df, FOLDER)
+    assert scored.columns == df.columns and scored.select(df.columns[2:]).distinct().collect() == [(7.5, 99, -1, "mark", 60)]
+    for name in ("near-duplicate removal", "decontamination"):
+        kept = stage[name](spark, df, FOLDER)
+        assert kept.columns == df.columns and kept.select(df.columns[2:]).distinct().count() <= 1
+
+
 def test_pipeline_runs(spark):
     pipeline = importlib.import_module("corpus_pipeline")
     out = pipeline.run(spark, FOLDER)
