@@ -6,7 +6,7 @@ from importlib import import_module
 
 from cliploom import registry
 
-_MODULES = ("scalars", "selection", "pairing", "bursts", "telemetry", "container", "audio", "frames", "streams")
+_MODULES = ("scalars", "selection", "pairing", "bursts", "telemetry", "container", "audio", "recordings", "frames", "streams")
 
 
 def _load() -> None:

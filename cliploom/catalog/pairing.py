@@ -36,22 +36,30 @@ def _(spark, sf):
     return pairing.stray_captures(images, results.select("ts_ns"), wanted=8)
 
 
-@query("j2_pair_shots", """
+SHOTS_SQL = """
 WITH log AS (SELECT user_id % 20 AS session_id, event_id AS arrival, CASE event_type WHEN 'purchase' THEN 'arm' WHEN 'click' THEN 'image' ELSE 'result' END AS kind,
                event_id // 60 AS ts_ns, 2 + event_id % 5 AS wanted FROM events),
-shots AS (SELECT *, sum(CASE WHEN kind = 'arm' THEN 1 ELSE 0 END) OVER w AS shot, max(CASE WHEN kind = 'arm' THEN arrival END) OVER w AS armed
+shots AS (SELECT *, CAST(sum(CASE WHEN kind = 'arm' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS shot, max(CASE WHEN kind = 'arm' THEN arrival END) OVER w AS armed
           FROM log WINDOW w AS (PARTITION BY session_id ORDER BY arrival)),
-img AS (SELECT s.*, row_number() OVER (PARTITION BY s.session_id, s.shot ORDER BY s.arrival) AS rn, a.wanted AS lim
-        FROM shots s JOIN log a ON a.session_id = s.session_id AND a.arrival = s.armed WHERE s.kind = 'image')
-SELECT i.session_id, CAST(i.shot AS BIGINT) AS shot, i.ts_ns, i.arrival AS image_arrival, r.arrival AS result_arrival
-FROM img i JOIN shots r ON r.kind = 'result' AND r.session_id = i.session_id AND r.shot = i.shot AND r.ts_ns = i.ts_ns WHERE rn <= lim""")
-def _(spark, sf):
+ranked AS (SELECT s.*, row_number() OVER (PARTITION BY s.session_id, s.shot ORDER BY s.arrival) AS rn, a.wanted AS lim
+        FROM shots s JOIN log a ON a.session_id = s.session_id AND a.arrival = s.armed WHERE s.kind = 'image'),
+img AS (SELECT * FROM ranked WHERE rn <= lim), res AS (SELECT * FROM shots WHERE kind = 'result' AND shot > 0)"""
+
+
+def shot_log(events):
+    """Armings, images and results of an events table or stream."""
     i, kind = F.col("event_id"), F.col("event_type")
-    log = table(spark, sf, "events").select(
+    return events.select(
         (F.col("user_id") % 20).alias("session_id"), i.alias("arrival"),
         F.when(kind == "purchase", "arm").when(kind == "click", "image").otherwise("result").alias("kind"),
         F.floor(i / 60).alias("ts_ns"), (2 + i % 5).alias("wanted"))
-    return pairing.pair_shots(log)
+
+
+@query("j2_pair_shots", SHOTS_SQL + """
+SELECT i.session_id, i.shot, i.ts_ns, i.arrival AS image_arrival, r.arrival AS result_arrival
+FROM img i JOIN res r ON r.session_id = i.session_id AND r.shot = i.shot AND r.ts_ns = i.ts_ns""")
+def _(spark, sf):
+    return pairing.pair_shots(shot_log(table(spark, sf, "events")))
 
 
 @query("j3_enrich_frames", """

@@ -60,7 +60,7 @@ def _(spark, sf):
 SELECT clip_id, count(*) AS n_rows, CAST(sum(size) AS BIGINT) AS total_size, true AS in_place FROM packets GROUP BY clip_id""")
 def _(spark, sf):
     folder = f"{durable_dir(spark)}/packets-{uuid.uuid4().hex}"
-    written = manifest.write_with_manifest(views.packets(spark, sf), folder, files_per_key=2)
+    written = manifest.write_with_manifest(views.packets(spark, sf), folder)
     sizes = spark.read.parquet(folder).groupBy("clip_id").agg(F.sum("size").alias("total_size"))
     return (
         written.groupBy("clip_id").agg(

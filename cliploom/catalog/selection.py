@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cliploom.catalog.common import query, rounded, rounded_sql, views, with_views
-from cliploom.operators import segments, selection
+from cliploom.operators import selection
 
 
 def ranked(order: str, value: str, keys: str = "device", where: str = "TRUE") -> str:
@@ -87,7 +87,7 @@ def _(spark, sf):
 SELECT clip_id, arrival, ts_ns, CAST(row_number() OVER (PARTITION BY clip_id ORDER BY ts_ns, arrival) - 1 AS BIGINT) AS pos FROM packets""")
 def _(spark, sf):
     p = views.packets(spark, sf).select("clip_id", "arrival", "ts_ns")
-    return segments.position(p, ["clip_id"], ["ts_ns", "arrival"], "pos", bits=30).orderBy("clip_id", "pos")
+    return selection.time_order(p)
 
 
 @query("a18_capture_maxima", """

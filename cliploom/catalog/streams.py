@@ -7,21 +7,21 @@ from pyspark.sql import functions as F
 from cliploom.catalog.bursts import RUNS_SQL, burst_frames_of
 from cliploom.catalog.common import query, table, views, with_views
 from cliploom.catalog.container import CLUSTERS_SQL
-from cliploom.catalog.pairing import INTERLEAVE_SQL
+from cliploom.catalog.pairing import INTERLEAVE_SQL, SHOTS_SQL, shot_log
 from cliploom.catalog.telemetry import TELEMETRY_WINDOWS_SQL, rounded_windows
 from cliploom.operators import scalars
-from cliploom.streaming import ingest, stateful
+from cliploom.streaming import ingest, stateful, waiting
 
 
 _STAGED: dict[tuple, str] = {}
 
 
 def stream_of(spark, sf, name, by, seal=None):
-    """A table as a stream of several files in order, one file a micro-batch; staged once per session."""
+    """A table as a stream of several parts in order, one part a micro-batch; staged once per session."""
     key = (spark.sparkContext.applicationId, spark.sparkContext.startTime, sf, name)
     if key not in _STAGED:
         _STAGED[key] = ingest.staged(table(spark, sf, name), by, seal=seal)
-    return ingest.read_stream(spark, _STAGED[key], "*.parquet", files_per_trigger=1)
+    return ingest.read_stream(spark, _STAGED[key], "*.parquet", files_per_trigger=ingest.FILES)
 
 
 def end_of_clips(spark, sf):
@@ -89,6 +89,18 @@ def _(spark, sf):
     return strays.drop("l_suppkey")
 
 
+@query("r3_flush_at_arming", SHOTS_SQL + """,
+named AS (SELECT coalesce(i.session_id, r.session_id) AS session_id, coalesce(i.shot, r.shot) AS shot, coalesce(i.ts_ns, r.ts_ns) AS ts_ns,
+  i.arrival AS image_arrival, r.arrival AS result_arrival
+  FROM img i FULL JOIN res r ON r.session_id = i.session_id AND r.shot = i.shot AND r.ts_ns = i.ts_ns),
+newest AS (SELECT session_id, max(shot) AS newest FROM shots GROUP BY session_id)
+SELECT n.session_id, n.shot, ts_ns, image_arrival, result_arrival FROM named n JOIN newest x ON x.session_id = n.session_id
+WHERE shot < newest OR image_arrival IS NOT NULL AND result_arrival IS NOT NULL""")
+def _(spark, sf):
+    with ingest.large_state(spark):
+        return ingest.drain(waiting.pair_shots(shot_log(events(spark, sf))))
+
+
 def with_config(packets):
     return packets.withColumn("is_config", F.col("is_key") & (F.col("arrival") % 3 == 0))
 
@@ -108,14 +120,15 @@ def _(spark, sf):
 @query("r4_drop_before_open", with_views("packets", more=OPEN_SQL) + """
 SELECT clip_id, arrival, greatest(ts_ns - first_value(ts_ns) OVER (PARTITION BY clip_id ORDER BY arrival), 0) AS rel_ns FROM kept""")
 def _(spark, sf):
-    kept = scalars.drop_before_open(with_config(views.packets(spark, sf)))
+    kept = ingest.drain(stateful.drop_before_open(with_config(views.packets_of(events(spark, sf)))))
     return scalars.relative_time(kept).select("clip_id", "arrival", "rel_ns")
 
 
 @query("r5_interleave_stream", with_views("packets", more=INTERLEAVE_SQL) + "SELECT * FROM inter")
 def _(spark, sf):
     packets = views.packets_of(sealed_events(spark, sf), (F.col("event_type") == "end").alias("is_end"))
-    return ingest.drain(stateful.interleave(packets))
+    with ingest.large_state(spark):
+        return ingest.drain(waiting.interleave(packets))
 
 
 @query("r6_count_windows", with_views("telemetry", more="""
@@ -175,4 +188,5 @@ h AS (SELECT clip_id, arg_min(n0, arrival) AS h0, arg_min(n1, arrival) AS h1, ar
 SELECT f.clip_id, f.arrival, coalesce(n.n0, h0) AS n0, coalesce(n.n1, h1) AS n1, coalesce(n.n2, h2) AS n2
 FROM f ASOF LEFT JOIN n ON f.clip_id = n.clip_id AND f.arrival >= n.arrival JOIN h ON f.clip_id = h.clip_id""")
 def _(spark, sf):
-    return ingest.drain(stateful.hold_for_neutral(views.neutral_of(events(spark, sf))))
+    with ingest.large_state(spark):
+        return ingest.drain(waiting.hold_for_neutral(views.neutral_of(events(spark, sf))))

@@ -18,17 +18,36 @@ from pyspark.sql.types import ArrayType, DoubleType, StructType
 VALUES = ArrayType(DoubleType())
 STEP = StructType().add("a", DoubleType()).add("b", VALUES)
 CHUNK_BITS = 8
+BLOCK_CELLS = 1 << 21  # values of the lists that go step by step together
 LEVELS = 2  # with the chunks themselves: one step per 2**24 rows is left for each key's last list
 
 
-def _groups(steps: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(a, b) of each list of steps: n factors, n rows of summands."""
+def _blocks(steps: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(sizes, a, b) of some lists of steps at a time: factors (lists, steps) and summands (lists, steps, values).
+
+    Shorter lists are filled up with steps that change nothing, so that all lists of a block go step by step together.
+    """
     values = steps.flatten()
     a, b = values.field("a").to_numpy(zero_copy_only=False), values.field("b")
-    flat, at = b.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(b.value_lengths().to_numpy())])
-    ends = np.cumsum(steps.value_lengths().to_numpy())
-    for lo, hi in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True):
-        yield a[lo:hi], flat[at[lo] : at[hi]].reshape(hi - lo, -1)
+    flat = b.flatten().to_numpy(zero_copy_only=False)
+    sizes = steps.value_lengths().to_numpy().astype(np.int64)
+    width = len(flat) // max(1, len(a))
+    first = np.cumsum(sizes) - sizes
+    at = 0
+    while at < len(sizes):
+        stop, longest = at, 0
+        while stop < len(sizes) and (stop == at or (stop + 1 - at) * max(longest, sizes[stop]) * max(1, width) <= BLOCK_CELLS):
+            longest = max(longest, int(sizes[stop]))
+            stop += 1
+        own = sizes[at:stop]
+        row = np.repeat(np.arange(len(own)), own)
+        place = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+        factors, summands = np.ones((len(own), longest)), np.zeros((len(own), longest, width))
+        span = slice(int(first[at]), int(first[at] + own.sum()))
+        factors[row, place] = a[span]
+        summands[row, place] = flat[span.start * width : span.stop * width].reshape(-1, width)
+        yield own, factors, summands
+        at = stop
 
 
 def _lists(rows: list[np.ndarray]) -> pa.Array:
@@ -41,29 +60,37 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
 def _fold(steps: pa.Array) -> pa.Array:
     """All steps of a list as one."""
     factors, sums = [], []
-    for a, b in _groups(steps):
-        m = np.zeros(b.shape[1])
-        for p, q in zip(a, b, strict=True):
-            m = p * m + q
-        factors.append(float(np.prod(a)))
-        sums.append(m)
+    for _, a, b in _blocks(steps):
+        m = np.zeros((len(a), b.shape[2]))
+        for j in range(a.shape[1]):
+            m = a[:, j, None] * m + b[:, j]
+        factors += np.prod(a, axis=1).tolist()
+        sums += list(m)
     return pa.StructArray.from_arrays([pa.array(factors, pa.float64()), _lists(sums)], names=["a", "b"])
 
 
 @F.arrow_udf(ArrayType(VALUES))
 def _walk(m0: pa.Array, steps: pa.Array) -> pa.Array:
     """The value going into each step of a list, and behind them the one after the last."""
-    out = []
-    for start, (a, b) in zip(m0.to_pylist(), _groups(steps), strict=True):
-        m = np.array(start, float)
-        rows = [m]
-        for p, q in zip(a, b, strict=True):
-            m = p * m + q
-            rows.append(m)
-        out.append(_lists(rows))
-    ends = np.concatenate([[0], np.cumsum([len(x) for x in out])])
-    values = pa.concat_arrays(out) if out else _lists([])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+    parts, counts, done = [], [], 0
+    for sizes, a, b in _blocks(steps):
+        n, longest, width = b.shape
+        starts = m0.slice(done, n)
+        m = np.empty((n, longest + 1, width))
+        m[:, 0] = starts.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+        for j in range(longest):
+            m[:, j + 1] = a[:, j, None] * m[:, j] + b[:, j]
+        parts.append(_rows(m[np.arange(longest + 1)[None, :] <= sizes[:, None]]))
+        counts.append(sizes + 1)
+        done += n
+    ends = np.concatenate([[0], np.cumsum(np.concatenate(counts))]) if counts else np.zeros(1, int)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays(parts) if parts else _lists([]))
+
+
+def _rows(m: np.ndarray) -> pa.Array:
+    """The rows of a matrix as lists."""
+    ends = np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(m).ravel(), pa.float64()))
 
 
 def _listed(steps: DataFrame, by: list[str], index: str, payload: Column | None = None) -> DataFrame:

@@ -304,6 +304,49 @@ def sinc_taps(distance: np.ndarray, cutoff: float, half: float) -> np.ndarray:
     return np.where(np.abs(distance) < half, cutoff * np.sinc(cutoff * distance) * shape, 0.0)
 
 
+class Polyphase:
+    """A windowed-sinc resampler whose taps are computed once for each phase.
+
+    Output i lies at input position ``i*down/up``; its fraction repeats after ``up`` outputs.  The outputs of one phase
+    are ``down`` input samples apart, so each phase is one matrix product over a strided view.
+    """
+
+    def __init__(self, rate: int, target: int, zero_crossings: int = 64, passband: float = 0.95):
+        g = math.gcd(rate, target)
+        self.up, self.down = target // g, rate // g
+        self.cutoff = min(1.0, target / rate) * passband
+        self.half = zero_crossings / self.cutoff
+        self.reach = math.ceil(self.half) if rate != target else 0
+        self.known: dict[int, np.ndarray] = {}
+
+    def taps(self, phase: int) -> np.ndarray:
+        if phase not in self.known:
+            steps = np.arange(-self.reach, self.reach + 2)
+            taps = sinc_taps(steps - (phase * self.down % self.up) / self.up, self.cutoff, self.half)
+            self.known[phase] = taps / taps.sum()
+        return self.known[phase]
+
+    def resample(self, at: np.ndarray, values: np.ndarray, begin: int, end: int) -> np.ndarray:
+        """Outputs from ``begin`` to before ``end``, of input samples ``values`` at places ``at``; others are zero."""
+        if end <= begin:
+            return np.zeros(0)
+        whole = lambda i: i * self.down // self.up
+        base = whole(begin) - self.reach
+        line = np.zeros(whole(end - 1) + self.reach + 2 - base)
+        place = at - base
+        inside = (place >= 0) & (place < len(line))
+        line[place[inside]] = values[inside]
+        if not self.reach:  # one rate
+            return line[: end - begin]
+        views = np.lib.stride_tricks.sliding_window_view(line, 2 * self.reach + 2)
+        out = np.empty(end - begin)
+        for first in range(begin, min(begin + self.up, end)):
+            picked = views[whole(first) - self.reach - base :: self.down]
+            n = len(range(first, end, self.up))
+            out[first - begin :: self.up] = picked[:n] @ self.taps(first % self.up)
+        return out
+
+
 def resample_band_limited(
     samples: DataFrame, rate: int, target: int = MODEL_RATE, zero_crossings: int = 64, passband: float = 0.95,
     outputs_per_chunk: int = OUTPUTS_PER_CHUNK,
@@ -311,13 +354,10 @@ def resample_band_limited(
     """Band-limited resampling by a windowed-sinc polyphase filter.
 
     Output i lies at input position ``i*rate/target``; there are ``ceil(len*target/rate)`` outputs.
-    An input sample goes to the output chunk(s) its taps reach, and a chunk is one matrix product.
+    An input sample goes to the output chunk(s) its taps reach, and a chunk is a matrix product for each phase.
     """
-    g = math.gcd(rate, target)
-    up, down = target // g, rate // g
-    cutoff = min(1.0, target / rate) * passband
-    half = zero_crossings / cutoff
-    reach = math.ceil(half)
+    bank = Polyphase(rate, target, zero_crossings, passband)
+    up, down, reach = bank.up, bank.down, bank.reach
     ends = clip_lengths(samples).select(*KEYS, F.col("length"))
     last = lambda j: F.floor(j * up / down)
     rows = segments.attach(samples.select(*KEYS, "n", "v"), ends, KEYS, F.col("n"))
@@ -330,16 +370,7 @@ def resample_band_limited(
     def convolve(pdf: pd.DataFrame) -> pd.DataFrame:
         chunk, end = int(pdf["chunk"].iloc[0]), int(pdf["__total"].iloc[0])
         i = np.arange(chunk * outputs_per_chunk, min((chunk + 1) * outputs_per_chunk, end), dtype=np.int64)
-        whole, frac = i * down // up, (i * down % up) / up
-        base = int(whole[0]) - reach
-        line = np.zeros(int(whole[-1]) + reach + 2 - base)
-        at = pdf["n"].to_numpy() - base
-        inside = (at >= 0) & (at < len(line))
-        line[at[inside]] = pdf["v"].to_numpy()[inside]
-        steps = np.arange(-reach, reach + 2)
-        taps = sinc_taps(steps[None, :] - frac[:, None], cutoff, half)
-        picked = line[(whole - base)[:, None] + steps[None, :]]
-        out = (taps * picked).sum(axis=1) / taps.sum(axis=1)
+        out = bank.resample(pdf["n"].to_numpy(), pdf["v"].to_numpy(), int(i[0]), int(i[-1]) + 1)
         return pd.DataFrame({"clip_id": pdf["clip_id"].iloc[0], "ch": pdf["ch"].iloc[0], "n": i, "v": out})
 
     return placed.groupBy(*KEYS, "chunk").applyInPandas(convolve, "clip_id long, ch int, n long, v double")

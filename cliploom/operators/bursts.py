@@ -171,50 +171,81 @@ def upper_median(values: DataFrame, keys: list[str]) -> DataFrame:
     return placed.filter(F.col("upto") > F.floor(F.col("n") / 2)).groupBy(*keys).agg(F.min("v").alias("median"))
 
 
+@F.arrow_udf(ArrayType(LongType()))
+def _packed(lines: pa.Array) -> pa.Array:
+    """Bits of each line as words of 64, the first bit lowest; the last word is filled up with zeros."""
+    widths = lines.value_lengths().to_numpy().astype(np.int64)
+    words = -(-widths // 64)
+    place = np.repeat(64 * (np.cumsum(words) - words) - (np.cumsum(widths) - widths), widths) + np.arange(widths.sum())
+    flat = np.zeros(64 * int(words.sum()), bool)
+    flat[place] = lines.flatten().to_numpy(zero_copy_only=False)
+    ends = np.concatenate([[0], np.cumsum(words)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.packbits(flat, bitorder="little").view(np.int64)))
+
+
 def bitmap_rows(values: DataFrame, key: str) -> DataFrame:
-    """One row per image line with its above-median bits in x order (a line is as long as the image is wide)."""
+    """One row per image line: its above-median bits in x order as 64-bit ``words``, and its ``width``."""
     medians = upper_median(values.select(key, "v"), [key])
     marked = segments.attach(values, medians, [key], F.struct("y", "x"))
     lines = marked.groupBy(key, "y").agg(
         F.sort_array(F.collect_list(F.struct("x", (F.col("v") > F.col("median")).alias("b")))).alias("line"))
-    return lines.select(key, "y", F.transform("line", lambda c: c["b"]).alias("bits"))
+    return lines.select(key, "y", _packed(F.transform("line", lambda c: c["b"])).alias("words"), F.size("line").alias("width"))
+
+
+def _rows_of_words(lines: pa.Array, least: int) -> np.ndarray:
+    """Lines of words as rows of one length, ``least`` words at least."""
+    sizes = lines.value_lengths().to_numpy()
+    out = np.zeros((len(sizes), max([least, *sizes])), np.uint64)
+    out[np.repeat(np.arange(len(sizes)), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = (
+        lines.flatten().to_numpy().view(np.uint64))
+    return out
+
+
+def _below(bits: np.ndarray) -> np.ndarray:
+    """Words whose lowest ``bits`` bits are set: none below 0, all from 64 on."""
+    inside = np.clip(bits, 0, 63).astype(np.uint64)
+    return np.where(bits >= 64, np.uint64(2**64 - 1), (np.uint64(1) << inside) - np.uint64(1))
 
 
 @F.arrow_udf(ArrayType(LongType()))
-def _mismatches(ref: pa.Array, mov: pa.Array, shifts: pa.Array) -> pa.Array:
-    """Differing places of each line against the other moved by each of its shifts."""
-    out = []
-    for r, m, dxs in zip(_bits(ref), _bits(mov), shifts.to_pylist(), strict=True):
-        counts = []
-        for dx in dxs:
-            left, size = max(0, -dx), max(0, len(r) - abs(dx))
-            a, b = r[left : left + size], m[left + dx : left + dx + size]
-            size = min(len(a), len(b))
-            counts.append(int(np.count_nonzero(a[:size] != b[:size])))
-        out.append(counts)
-    return pa.array(out, pa.list_(pa.int64()))
-
-
-def _bits(lines: pa.Array) -> list[np.ndarray]:
-    flat = lines.flatten().to_numpy(zero_copy_only=False)
-    ends = np.cumsum(lines.value_lengths().to_numpy())
-    return [flat[a:b] for a, b in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True)]
+def _mismatches(ref: pa.Array, mov: pa.Array, ref_width: pa.Array, mov_width: pa.Array, shifts: pa.Array) -> pa.Array:
+    """Differing places of each line against the other moved by each of its shifts: all lines and shifts at once."""
+    counts = shifts.value_lengths().to_numpy()
+    row, dx = np.repeat(np.arange(len(counts)), counts), shifts.flatten().to_numpy().astype(np.int64)
+    a = _rows_of_words(ref, 0)
+    b = _rows_of_words(mov, a.shape[1])
+    a = np.pad(a, ((0, 0), (0, b.shape[1] - a.shape[1])))
+    n = b.shape[1]
+    # bit i of a moved line is bit i + dx of the line
+    source = np.arange(n)[None, :] + (dx >> 6)[:, None]
+    word = lambda at: np.where((at >= 0) & (at < n), b[row[:, None], np.clip(at, 0, max(n - 1, 0))], np.uint64(0))
+    low = (dx & 63).astype(np.uint64)[:, None]
+    moved = word(source) >> low
+    moved |= np.where(low > 0, word(source + 1) << ((np.uint64(64) - low) & np.uint64(63)), np.uint64(0))
+    start = np.maximum(0, -dx)
+    end = np.maximum(start, np.minimum(ref_width.to_numpy()[row], mov_width.to_numpy()[row] - dx))
+    first = 64 * np.arange(n)[None, :]
+    mask = _below(end[:, None] - first) & ~_below(start[:, None] - first)
+    errors = np.bitwise_count((a[row] ^ moved) & mask).sum(axis=1, dtype=np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(errors))
 
 
 def bitmap_error(ref: DataFrame, mov: DataFrame, candidates: DataFrame, key: str = "pair_id") -> DataFrame:
     """Mismatch in millionths (fraction dropped) per candidate shift; no overlap gives the largest long.
 
-    ``ref``/``mov``: key, y, bits; ``candidates``: key, dx, dy.  Lines meet on (key, y + dy), one row per
-    line and vertical shift; the horizontal shifts are compared inside the row.
+    ``ref``/``mov``: key, y, words, width; ``candidates``: key, dx, dy.  Lines meet on (key, y + dy), one row per
+    line and vertical shift; the horizontal shifts are compared inside the row, 64 places at a time.
     """
     per_dy = candidates.groupBy(key, "dy").agg(F.collect_set("dx").alias("dxs"))
-    want = ref.select(key, F.col("y").alias("ry"), F.col("bits").alias("ref_bits")).join(per_dy, key)
+    want = ref.select(key, F.col("y").alias("ry"), F.col("words").alias("ref"), F.col("width").alias("ref_width")).join(per_dy, key)
     want = want.withColumn("y", F.col("ry") + F.col("dy"))
-    met = want.join(mov.select(key, "y", F.col("bits").alias("mov_bits")), [key, "y"])
-    compared = met.select(key, "dy", "dxs", F.size("ref_bits").alias("width"), _mismatches("ref_bits", "mov_bits", "dxs").alias("errs"))
-    scored = compared.select(key, "dy", "width", F.explode(F.arrays_zip("dxs", "errs")).alias("m")).select(
-        key, F.col("m.dxs").alias("dx"), "dy", F.col("m.errs").alias("err"),
-        F.greatest(F.lit(0), F.col("width") - F.abs("m.dxs")).cast("long").alias("cnt"))
+    met = want.join(mov.select(key, "y", F.col("words").alias("mov"), F.col("width").alias("mov_width")), [key, "y"])
+    errors = _mismatches("ref", "mov", "ref_width", "mov_width", "dxs").alias("errs")
+    compared = met.select(key, "dy", "ref_width", "mov_width", F.explode(F.arrays_zip("dxs", errors)).alias("m"))
+    dx = F.col("m.dxs")
+    both = F.least(F.col("ref_width"), F.col("mov_width") - dx) - F.greatest(F.lit(0), -dx)
+    scored = compared.select(
+        key, dx.alias("dx"), "dy", F.col("m.errs").alias("err"), F.greatest(F.lit(0), both).cast("long").alias("cnt"))
     total = scored.groupBy(key, "dx", "dy").agg(F.sum("err").alias("err"), F.sum("cnt").alias("cnt"))
     full = candidates.join(total, [key, "dx", "dy"], "left")
     ratio = F.when(F.col("cnt") > 0, (F.col("err") / F.col("cnt") * 1e6).cast("long"))
@@ -261,6 +292,6 @@ def align_frames(pixels: DataFrame, pairs: DataFrame, w: int, h: int) -> DataFra
     for level in reversed(pyramid(pixels, "frame_id", w, h)):
         lines = bitmap_rows(level, "frame_id")
         side = lambda name, lines=lines: lines.join(
-            pairs.select("pair_id", F.col(name).alias("frame_id")), "frame_id").select("pair_id", "y", "bits")
+            pairs.select("pair_id", F.col(name).alias("frame_id")), "frame_id").select("pair_id", "y", "words", "width")
         levels.append((side("ref_id"), side("mov_id")))
     return _search(levels, pairs, "pair_id")

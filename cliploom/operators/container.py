@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,7 +24,7 @@ CHUNK_BITS = 14  # packets to a chunk
 FAN_BITS = 6  # chunk functions composed at a time
 LEVELS = 2  # of the tree: one function per 2**26 packets is left for a clip's last walk
 SCAN = 256  # packets looked at in one go for the next opening
-START_CODE = re.compile(b"\x00?\x00\x00\x01")
+SEARCH_BYTES = 4 << 20  # of packets that are searched for start codes together
 
 
 def full_blocks(samples: DataFrame, size: int = sound.BLOCK_FRAMES) -> DataFrame:
@@ -224,27 +224,49 @@ def clip_durations(packets: DataFrame) -> DataFrame:
 # --- NAL units ------------------------------------------------------------------------------
 
 
+def unit_places(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(packet, first byte, byte behind the last) of every unit in packets that lie behind each other and end at ``ends``."""
+    zero = raw == 0
+    at = np.flatnonzero(zero[:-2] & zero[1:-1] & (raw[2:] == 1)) if len(raw) > 2 else np.zeros(0, np.int64)
+    packet = np.searchsorted(ends, at, side="right")
+    begins = np.concatenate([[0], ends[:-1]])
+    whole = at + 2 < ends[packet] if len(at) else np.zeros(0, bool)  # a code lies in one packet
+    at, packet = at[whole], packet[whole]
+    wide = (at > begins[packet]) & zero[at - 1]  # a zero before it belongs to the code
+    first = at + 3
+    last = ends[packet]
+    follows = np.flatnonzero(packet[1:] == packet[:-1])
+    last[follows] = (at - wide)[follows + 1]
+    full = last > first
+    return packet[full], first[full], last[full]
+
+
 def split_nals(packets: DataFrame, key: str = "packet_id") -> DataFrame:
     """``(key, payload)`` to one row per unit: key, ord, size, first_byte.
 
     Units lie between three- or four-byte start codes; bytes before the first code and empty units are left out.
+    Packets are searched together, some megabytes at a time; a null payload has no units.
     """
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, ords, sizes, firsts = [], [], [], []
-            for ident, raw in zip(batch[key], batch["payload"]):
-                codes = [m.span() for m in START_CODE.finditer(raw)]
-                ends = [c[0] for c in codes[1:]] + [len(raw)]
-                units = [(s, e) for (_, s), e in zip(codes, ends) if e > s]
-                ids += [ident] * len(units)
-                ords += range(len(units))
-                sizes += [e - s for s, e in units]
-                firsts += [raw[s] for s, _ in units]
-            yield pd.DataFrame({key: ids, "ord": ords, "size": sizes, "first_byte": firsts})
+            payloads, begin = batch.column(1), 0
+            while begin < batch.num_rows:
+                part, size = [], 0
+                while begin + len(part) < batch.num_rows and size < SEARCH_BYTES:
+                    part.append(payloads[begin + len(part)].as_py() or b"")
+                    size += len(part[-1])
+                raw = np.frombuffer(b"".join(part), np.uint8)
+                packet, first, last = unit_places(raw, np.cumsum([len(p) for p in part]))
+                opens = np.flatnonzero(np.concatenate([[True], packet[1:] != packet[:-1]])) if len(packet) else packet
+                order = np.arange(len(packet)) - np.repeat(opens, np.diff(np.append(opens, len(packet))))
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).slice(begin, len(part)).take(pa.array(packet)), pa.array(order, pa.int64()), pa.array(last - first),
+                    pa.array(raw[first].astype(np.int32))], names=[key, "ord", "size", "first_byte"])
+                begin += len(part)
 
     kind = packets.schema[key].dataType.simpleString()
-    return packets.select(key, "payload").mapInPandas(split, f"{key} {kind}, ord long, size long, first_byte int")
+    return packets.select(key, "payload").mapInArrow(split, f"{key} {kind}, ord long, size long, first_byte int")
 
 
 def classify_nals(nals: DataFrame) -> DataFrame:

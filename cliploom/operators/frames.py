@@ -114,44 +114,83 @@ def noise_sigma(v: np.ndarray) -> np.ndarray:
     return NOISE_SLOPE * np.sqrt(np.maximum(v, 0)) + NOISE_FLOOR
 
 
+def tiles(pixels: DataFrame, key: str, halo: int, w: int, h: int) -> DataFrame:
+    """``key, ty, tx, plane``: every tile of an image with its halo as one binary of doubles, edges mirrored.
+
+    Pixels are shuffled once, to their tiles; what follows joins tiles, never pixels.
+    """
+
+    bits = TILE_BITS
+
+    def run(pdf, y0, x0, y1, x1):
+        plane = _plane(pdf, "v", y0, x0, y1, x1, halo, w, h)
+        return pd.DataFrame({key: pdf[key].iloc[:1], "ty": y0 >> bits, "tx": x0 >> bits, "plane": [plane.tobytes()]})
+
+    rows = pixels.select(F.col(key).cast("long").alias(key), "y", "x", F.col("v").cast("double").alias("v"))
+    return by_tile(rows, [key], halo, w, h, run, f"{key} long, ty int, tx int, plane binary")
+
+
+def _corners(pdf: pd.DataFrame, bits: int, w: int, h: int) -> tuple[int, int, int, int]:
+    y0, x0 = int(pdf["ty"].iloc[0]) << bits, int(pdf["tx"].iloc[0]) << bits
+    return y0, x0, min(y0 + (1 << bits), h), min(x0 + (1 << bits), w)
+
+
+def _spread_sums(a: np.ndarray, count: int, step: int, axis: int) -> np.ndarray:
+    """Sums of ``count`` values ``step`` apart from every place on, by one running sum for each of the ``step`` grids."""
+    moved = np.moveaxis(a, axis, 0)
+    n = len(moved)
+    rows = -(-n // step)
+    grid = np.zeros((rows + 1, step, *moved.shape[1:]))
+    grid[1:].reshape(rows * step, *moved.shape[1:])[:n] = moved
+    sums = grid.cumsum(axis=0)
+    out = (sums[count:] - sums[:-count]).reshape(-1, *moved.shape[1:])[: n - (count - 1) * step]
+    return np.moveaxis(out, 0, axis)
+
+
 def non_local_means(
-    pixels: DataFrame, history: DataFrame, w: int, h: int, strength: float = NLM_STRENGTH, key: str = "frame_id"
+    pixels: DataFrame, history: DataFrame, w: int, h: int, strength: float = NLM_STRENGTH, key: str = "frame_id",
+    patch_radius: int = PATCH_RADIUS,
 ) -> DataFrame:
     """Same-colour non-local means (Buades, Coll and Morel 2005) over a frame and its past frames.
 
     A 5x5 search of 3x3 patches, both in same-colour steps of two pixels; weights
-    ``exp(-max(d2 - 2*sigma^2, 0) / (strength*sigma)^2)`` with ``d2`` the mean squared patch difference.
+    ``exp(-max(d2 - 2*sigma^2, 0) / (strength*sigma)^2)`` with ``d2`` the mean squared patch difference.  The
+    squared differences are made once for each place of the search, and patches are sums of running sums over
+    the same-colour grids, so the time does not grow with the patch.
     ``pixels``: key, y, x, v (normalised); ``history``: key, past0, past1.
     """
-    step, halo = 2, 2 * (SEARCH_RADIUS + PATCH_RADIUS)
+    bits, step, reach = TILE_BITS, 2, 2 * patch_radius
+    halo = 2 * (SEARCH_RADIUS + patch_radius)
     sources = history.select(
-        F.col(key).alias("__target"),
-        F.explode(F.array_distinct(F.array(key, "past0", "past1"))).alias(key))
-    rows = pixels.join(sources, key).withColumnRenamed(key, "__source").withColumnRenamed("__target", key)
+        F.col(key).cast("long").alias("target"), F.explode(F.array_distinct(F.array(*[F.col(c).cast("long") for c in (key, "past0", "past1")]))).alias(key))
+    rows = tiles(pixels, key, halo, w, h).join(sources, key)
 
-    def run(pdf, y0, x0, y1, x1):
-        n_y, n_x, target = y1 - y0, x1 - x0, pdf[key].iloc[0]
-        planes = {s: _plane(part, "v", y0, x0, y1, x1, halo, w, h) for s, part in pdf.groupby("__source")}
-        here = planes[target]
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        y0, x0, y1, x1 = _corners(pdf, bits, w, h)
+        n_y, n_x, target = y1 - y0, x1 - x0, pdf["target"].iloc[0]
+        planes = {s: np.frombuffer(p).reshape(n_y + 2 * halo, n_x + 2 * halo) for s, p in zip(pdf[key], pdf["plane"])}
+        if target not in planes:
+            return pd.DataFrame({key: [], "y": [], "x": [], "v": []})
 
-        def cut(a, dy, dx):
-            return a[halo + dy:halo + dy + n_y, halo + dx:halo + dx + n_x]
+        def cut(a, dy, dx, more=0):
+            return a[halo + dy - more:halo + dy + n_y + more, halo + dx - more:halo + dx + n_x + more]
 
-        sigma = noise_sigma(cut(here, 0, 0))
+        here = cut(planes[target], 0, 0, reach)
+        sigma = noise_sigma(cut(planes[target], 0, 0))
         num, den = np.zeros((n_y, n_x)), np.zeros((n_y, n_x))
         search = [step * i for i in range(-SEARCH_RADIUS, SEARCH_RADIUS + 1)]
-        patch = [step * i for i in range(-PATCH_RADIUS, PATCH_RADIUS + 1)]
+        count = 2 * patch_radius + 1
         for plane in planes.values():
             for oy in search:
                 for ox in search:
-                    d2 = sum((cut(here, qy, qx) - cut(plane, qy + oy, qx + ox)) ** 2 for qy in patch for qx in patch)
-                    d2 = d2 / len(patch) ** 2
+                    square = (here - cut(plane, oy, ox, reach)) ** 2
+                    d2 = _spread_sums(_spread_sums(square, count, step, 0), count, step, 1) / count**2
                     weight = np.exp(-np.maximum(d2 - 2 * sigma**2, 0) / (strength * sigma) ** 2)
                     num += weight * cut(plane, oy, ox)
                     den += weight
-        return _grid(pdf, [key], y0, x0, y1, x1, v=num / den)
+        return _grid(pdf.assign(**{key: target}), [key], y0, x0, y1, x1, v=num / den)
 
-    return by_tile(rows, [key], halo, w, h, run, f"{key} long, y int, x int, v double")
+    return rows.groupBy("target", "ty", "tx").applyInPandas(run, f"{key} long, y int, x int, v double")
 
 
 def temporal_blend(
@@ -166,21 +205,23 @@ def temporal_blend(
 
     ``pixels``: frame_id, y, x, v (normalised); ``frames``: clip_id, frame_id, idx (dense), past0, trust.
     """
-    halo = 2
-    now = pixels.join(frames.select("frame_id", "clip_id", "idx", "trust"), "frame_id").withColumn("kind", F.lit(0))
-    before = pixels.withColumnRenamed("frame_id", "past0").join(
-        frames.filter("past0 <> frame_id").select("frame_id", "past0", "clip_id", "idx", "trust"), "past0"
-    ).drop("past0").withColumn("kind", F.lit(1))
-    keys = ["clip_id", "frame_id"]
+    bits, halo = TILE_BITS, 2
+    packed = tiles(pixels, "frame_id", halo, w, h)
+    meta = frames.select("clip_id", F.col("frame_id").cast("long").alias("frame_id"), "idx", F.col("past0").cast("long").alias("past0"), "trust")
+    now = packed.join(meta, "frame_id").withColumn("kind", F.lit(0))
+    before = packed.withColumnRenamed("frame_id", "past0").join(meta.filter("past0 <> frame_id"), "past0").withColumn("kind", F.lit(1))
 
-    def run(pdf, y0, x0, y1, x1):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        y0, x0, y1, x1 = _corners(pdf, bits, w, h)
         n_y, n_x = y1 - y0, x1 - x0
-        cur = _plane(pdf[pdf["kind"] == 0], "v", y0, x0, y1, x1, halo, w, h)
+        planes = {k: np.frombuffer(p).reshape(n_y + 2 * halo, n_x + 2 * halo) for k, p in zip(pdf["kind"], pdf["plane"])}
+        if 0 not in planes:
+            return pd.DataFrame({c: [] for c in ("clip_id", "frame_id", "idx", "y", "x", "a", "b")})
+        cur = planes[0]
         value = cur[halo:halo + n_y, halo:halo + n_x]
-        past = pdf[pdf["kind"] == 1]
         keep = np.zeros((n_y, n_x))
-        if len(past):
-            change = np.abs(cur - _plane(past, "v", y0, x0, y1, x1, halo, w, h))
+        if 1 in planes:
+            change = np.abs(cur - planes[1])
             peak = np.max([change[halo + dy:halo + dy + n_y, halo + dx:halo + dx + n_x]
                            for dy in (-2, 0, 2) for dx in (-2, 0, 2)], axis=0)
             sigma = noise_sigma(value)
@@ -188,8 +229,8 @@ def temporal_blend(
             keep = retention * float(pdf["trust"].iloc[0]) * (1 - u * u * (3 - 2 * u))
         return _grid(pdf, ["clip_id", "frame_id", "idx"], y0, x0, y1, x1, a=keep, b=(1 - keep) * value)
 
-    steps = by_tile(now.unionByName(before), keys, halo, w, h, run,
-                    "clip_id long, frame_id long, idx long, y int, x int, a double, b double")
+    steps = now.unionByName(before).groupBy("clip_id", "frame_id", "ty", "tx").applyInPandas(
+        run, "clip_id long, frame_id long, idx long, y int, x int, a double, b double")
     blended = affine.affine_scan(steps, ["clip_id", "y", "x"], "idx", F.col("a"), F.array("b"),
                                  F.array(F.lit(0.0)), carry=["frame_id"])
     return blended.select("clip_id", "frame_id", "y", "x", F.col("m")[0].alias("v"))

@@ -102,25 +102,29 @@ def interleave_tracks(packets: DataFrame, **kw) -> DataFrame:
         **kw,
     ).na.fill(0, ["v_before", "a_before"])
 
-    # The two running maxima meet on one value axis, reduced to distinct values per arrival segment.
-    # An audio value asks for the first video value that reaches it; a video value asks how many
-    # audio packets it has reached.
+    # The two running maxima are staircases that meet on one value axis, a row for each of their steps.
+    # An audio step asks for the first video step that reaches it; a video step asks how many
+    # audio packets it has reached.  A step may be as long as the clip, so rows find theirs by stretch of arrival.
     marked = rows.select(
         "*",
         F.when(audio, 0).otherwise(1).alias("kind"),
         F.when(audio, F.col("a_max")).otherwise(F.col("v_max")).alias("value"),
         F.shiftright("arrival", segments.SEGMENT_BITS).alias("part"),
     )
-    axis_key = ["clip_id", "value", "kind", "part"]
-    axis = marked.groupBy(*axis_key).agg(
+    step = ["clip_id", "value", "kind"]
+    parts = marked.groupBy(*step, "part").agg(
         F.min(F.when(video, F.col("arrival"))).alias("at"),
         F.min(F.when(video, F.col("v_before"))).alias("rank"),  # grows with arrival, so it belongs to the same packet
         F.sum(audio.cast("long")).alias("released"),
-    ).withColumn("hit", F.when(F.col("at").isNotNull(), F.struct(F.col("at").alias("arrival"), F.col("rank").alias("v_before"))))
+    )
+    stairs = parts.groupBy(*step).agg(F.min("at").alias("at"), F.min("rank").alias("rank"), F.sum("released").alias("released")).withColumn(
+        "hit", F.when(F.col("at").isNotNull(), F.struct(F.col("at").alias("arrival"), F.col("rank").alias("v_before"))))
     met = segments.scan(
-        axis, keys, ["value", "kind", "part"],
+        stairs, keys, ["value", "kind"],
         {"__hit": Scan("next", F.col("hit")), "__released": Scan("sum", F.col("released"))}, bits=VALUE_BITS,
-    ).select(*axis_key, "__hit", "__released")
+    ).select(*step, "__hit", "__released")
+    met = parts.select(*step, "part").join(met, step)
+    axis_key = [*step, "part"]
     totals = packets.groupBy("clip_id").agg(F.sum(video.cast("long")).alias("__videos"))
     joined = segments.attach(marked.join(met, axis_key), totals, keys, F.col("arrival"))
 

@@ -19,9 +19,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-SEGMENT_BITS = 12
-# Two levels leave one row per 2**24 order values for the final per-clip window, whatever the input.
-LEVELS = 2
+SEGMENT_BITS = 16
+# One level leaves one small row per 2**16 order values for the final per-clip window, whatever the input.
+LEVELS = 1
 
 
 @dataclass(frozen=True)

@@ -11,7 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cliploom.operators import segments
+
 DEFAULT_FPS = 30
+TIME_BITS = 30  # about a second of nanoseconds
 ASPECT_TOLERANCE = 0.02
 INT = 2**32  # a signed 32-bit part, moved up to start at 0
 WIDE = "decimal(38,0)"
@@ -103,6 +106,14 @@ def back_camera(cameras: DataFrame) -> DataFrame:
     return back.join(first, ["device", "ord"]).select("device", "camera_id")
 
 
+def time_order(packets: DataFrame, bits: int = TIME_BITS) -> DataFrame:
+    """``packets`` with ``pos``: their place from 0 on in their clip's order of ``ts_ns``, equal stamps by ``arrival``.
+
+    Segments are stretches of about a second, so no task sorts a clip; a consumer sorts by ``pos`` where it must.
+    """
+    return segments.position(packets, ["clip_id"], ["ts_ns", "arrival"], "pos", bits=bits)
+
+
 def capture_maxima(formats: DataFrame, rate: int = 48000, depth: int = 32, channels: int = 2) -> DataFrame:
     """Highest rate, depth and channel count, each on its own; defaults where none is advertised."""
     return formats.groupBy("device").agg(

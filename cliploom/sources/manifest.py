@@ -6,17 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cliploom.operators import segments
+from cliploom.sources import recordings
 
 
-def write_with_manifest(df: DataFrame, folder: str, key: str = "clip_id", files_per_key: int = 16) -> DataFrame:
-    """Write partitioned by ``key`` (a hot key over several files) and list what was written.
+def write_with_manifest(df: DataFrame, folder: str, key: str = "clip_id") -> DataFrame:
+    """Write partitioned by ``key`` and list what was written: key, path, rows.
 
-    The manifest is read back from the files, so a row appears only for data that is really there.
+    The list comes from the tasks' commit messages (``recordings.write_listed``), so a row appears only for files of
+    tasks that succeeded, and nothing is read back.
     """
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(files_per_key))
-    df.repartition(F.col(key), salt).write.mode("overwrite").partitionBy(key).parquet(folder)
-    back = df.sparkSession.read.parquet(folder)
-    return back.groupBy(key, F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("rows"))
+    listed = recordings.write_listed(df, folder, key)
+    kind = df.schema[key].dataType
+    return listed.select(F.when(F.col("key") != "", F.col("key")).cast(kind).alias(key), "path", "rows")
 
 
 def session_manifest(log: DataFrame) -> DataFrame:

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,22 +21,53 @@ def read_stream(spark: SparkSession, folder: str, pattern: str, files_per_trigge
     )
 
 
-def staged(rows: DataFrame, by: str, parts: int = 4, seal: DataFrame | None = None) -> str:
+FILES = 4  # of a micro-batch of staged rows
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+LARGE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def staged(rows: DataFrame, by: str, parts: int = 4, seal: DataFrame | None = None, files: int = FILES) -> str:
     """A folder with ``rows`` as files in the order of the integer ``by``, and behind them the rows of ``seal``.
 
-    Files come one after the other, as a recorder writes them, so a stream that takes a file per batch
-    never goes back.
+    Parts of ``files`` files come one after the other, as a recorder writes them, so a stream that takes ``files``
+    per batch never goes back.  Rows go to their part where they are read; a part is then written by several
+    tasks, and filled up with empty files.  Rows without a ``by`` are in the first part.
     """
-    folder = f"{durable_dir(rows.sparkSession)}/staged-{uuid.uuid4().hex}"
+    spark = rows.sparkSession
+    root = f"{durable_dir(spark)}/staged-{uuid.uuid4().hex}"
+    folder = f"{root}/files"
     low, high = rows.agg(F.min(by), F.max(by)).first()
     size = ((high or 0) - (low or 0)) // parts + 1
-    for i in range(parts):
-        rows.filter(F.floor((F.col(by) - (low or 0)) / size) == i).coalesce(1).write.mode("append").parquet(folder)
-    if seal is not None:
-        rows.limit(0).unionByName(seal, allowMissingColumns=True).coalesce(1).write.mode("append").parquet(folder)
+    part = F.coalesce(F.floor((F.col(by) - (low or 0)) / size), F.lit(0))
+    rows.withColumn("__part", part).write.partitionBy("__part").parquet(f"{root}/parts")
+    empty = rows.limit(0).coalesce(1)
+    sealing = [] if seal is None else [rows.limit(0).unionByName(seal, allowMissingColumns=True)]
+    for i in range(parts + len(sealing)):
+        own = sealing[0] if i == parts else spark.read.schema(rows.schema).parquet(f"{root}/parts/__part={i}").repartition(files) if _there(
+            spark, f"{root}/parts/__part={i}") else empty
+        own.write.mode("append").parquet(folder)
+        for _ in range((i + 1) * files - len(spark.read.schema(rows.schema).parquet(folder).inputFiles())):
+            empty.write.mode("append").parquet(folder)
     return folder
 
 
+def _there(spark: SparkSession, folder: str) -> bool:
+    """Whether a folder is there, on whatever file system it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+@contextmanager
+def large_state(spark: SparkSession) -> Iterator[None]:
+    """Streams that are started inside keep their state in RocksDB, which the processors of ``waiting`` need."""
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, LARGE)
+    try:
+        yield
+    finally:
+        spark.conf.set(PROVIDER, before)
+
+
 def drain(stream: DataFrame) -> DataFrame:
     """Process everything available, finish, and return what was written."""
     spark = stream.sparkSession

@@ -41,44 +41,17 @@ def fold_by_key(stream: DataFrame, key: str, start: tuple, fold: Fold, out_schem
         run, f"{key} long, {out_schema}", f"newest_arrival long, {state_schema}", "append", GroupStateTimeout.NoTimeout)
 
 
-def interleave(packets: DataFrame) -> DataFrame:
-    """Audio gated by video as packets arrive; audio later than every video so far stays in state.
-
-    A row with ``is_end`` closes its clip (the column may be absent): audio still waiting is written
-    behind everything else, without a gate.
-    """
+def drop_before_open(packets: DataFrame) -> DataFrame:
+    """Packets from each clip's first ``is_config`` row on: clip_id, arrival, ts_ns; the container is not open before it."""
 
     def fold(state, rows):
-        newest, pending_ts, pending_at, written = state
-        ends = rows["is_end"].to_numpy(bool) if "is_end" in rows else np.zeros(len(rows), bool)
-        audio, at, ts = rows["is_audio"].to_numpy(bool), rows["arrival"].to_numpy(), rows["ts_ns"].to_numpy()
-        video, audio = ~audio & ~ends, audio & ~ends
-        a_at = np.concatenate([np.array(pending_at, np.int64), at[audio]])
-        a_ts = np.concatenate([np.array(pending_ts, np.int64), ts[audio]])
-        v_at = at[video]
-        reached = np.maximum.accumulate(np.concatenate([[newest], ts[video]]))
-        # a packet waits for those before it, so its own time is the largest so far
-        due = np.maximum.accumulate(a_ts)
-        gate = np.maximum(np.searchsorted(reached[1:], due), np.searchsorted(v_at, a_at))
-        ready = gate < len(v_at)
-        slot = np.concatenate([2 * gate[ready], 2 * np.arange(len(v_at)) + 1])
-        order = np.argsort(slot, kind="stable")
-        arrival = np.concatenate([a_at[ready], v_at])[order]
-        is_audio = np.concatenate([np.ones(int(ready.sum()), bool), np.zeros(len(v_at), bool)])[order]
-        gates = pd.array(v_at[slot[order] // 2] if len(order) else [], dtype="Int64")
-        gates[~is_audio] = pd.NA
-        left_at, left_ts = a_at[~ready], a_ts[~ready]
-        if ends.any():
-            arrival, is_audio = np.concatenate([arrival, left_at]), np.concatenate([is_audio, np.ones(len(left_at), bool)])
-            gates = pd.array([*gates, *[pd.NA] * len(left_at)], dtype="Int64")
-            left_at, left_ts = left_at[:0], left_ts[:0]
-        frame = pd.DataFrame({
-            "arrival": arrival, "is_audio": is_audio, "gate": gates, "out_pos": written + np.arange(len(arrival))})
-        return (int(reached[-1]), left_ts.tolist(), left_at.tolist(), written + len(arrival)), frame
+        (is_open,) = state
+        if not is_open:
+            config = np.flatnonzero(rows["is_config"].to_numpy(bool))
+            rows = rows.iloc[config[0]:] if len(config) else rows.iloc[:0]
+        return (bool(is_open or len(rows)),), rows[["arrival", "ts_ns"]].reset_index(drop=True)
 
-    return fold_by_key(
-        packets, "clip_id", (NEVER, [], [], 0), fold, "arrival long, is_audio boolean, gate long, out_pos long",
-        "newest long, pending_ts array<long>, pending_at array<long>, written long")
+    return fold_by_key(packets, "clip_id", (False,), fold, "arrival long, ts_ns long", "is_open boolean")
 
 
 def cluster(packets: DataFrame, span_ns: int = CLUSTER_SPAN_NS, needs_open: bool = False) -> DataFrame:
@@ -204,31 +177,3 @@ def telemetry_windows(frames: DataFrame, size: int) -> DataFrame:
         "window long, frames long, fps double, gpu_mean_ns double, wait_mean_ns double, copy_mean_ns double, "
         "gpu_max_ns long, wait_max_ns long, copy_max_ns long, gap_max_ns long, drops long",
         "done long, previous long, previous_done long, " + ", ".join(f"{c} long" for c in open_names))
-
-
-def hold_for_neutral(events: DataFrame) -> DataFrame:
-    """Frames with the newest neutral; frames wait in state until the clip's first neutral."""
-    names = ["n0", "n1", "n2"]
-
-    def fold(state, rows):
-        ready, n0, n1, n2, waiting = state
-        at = rows["arrival"].to_numpy()
-        neutral, frame = rows["is_neutral"].to_numpy(bool), rows["is_frame"].to_numpy(bool)
-        known = np.vstack([[(n0, n1, n2)], rows[names].to_numpy(float)[neutral]])
-        seen = np.cumsum(neutral)[frame]  # neutrals of this batch up to each frame; 0 is the one from before
-        frames = at[frame]
-        if not ready:
-            early = seen == 0
-            waiting = [*waiting, *frames[early].tolist()]
-            frames, seen = frames[~early], seen[~early]
-            if neutral.any():
-                frames = np.concatenate([np.array(waiting, np.int64), frames])
-                seen = np.concatenate([np.ones(len(waiting), int), seen])
-                waiting, ready = [], True
-        out = pd.DataFrame(known[seen], columns=names)
-        out.insert(0, "arrival", frames)
-        return (ready, *map(float, known[-1]), list(waiting)), out
-
-    return fold_by_key(events, "clip_id", (False, 0.0, 0.0, 0.0, []), fold,
-                       "arrival long, n0 double, n1 double, n2 double",
-                       "ready boolean, n0 double, n1 double, n2 double, waiting array<long>")

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,3 +131,50 @@ def test_temporal_blend_is_identity_at_the_shipped_cap(spark):
     got = frames.temporal_blend(image_df(spark, planes, "frame_id"), meta, 10, 10).collect()
     assert len(got) == 400
     assert all(r.v == pytest.approx(planes[r.frame_id][r.y, r.x], abs=1e-15) for r in got)
+
+
+@pytest.mark.parametrize("width", [1, 5, 63, 64, 65, 130, 200])
+def test_packed_lines_equal_single_bits(width):
+    """Lines of any width, moved by any shift, against a comparison place by place."""
+    rng = np.random.default_rng(width)
+    ref = [rng.random(width) < 0.5 for _ in range(6)] + [rng.random(70) < 0.5, np.zeros(0, bool)]
+    mov = [rng.random(width) < 0.5 for _ in range(6)] + [rng.random(3) < 0.5, rng.random(9) < 0.5]
+    shifts = [sorted({0, 1, -1, 2, -3, width // 2, -width, 63, 64, -65, width + 4}) for _ in ref]
+    shifts[3] = [7]
+    pack = lambda lines: bursts._packed.func(pa.array([x.tolist() for x in lines], pa.list_(pa.bool_())))
+    size = lambda lines: pa.array([len(x) for x in lines], pa.int32())
+    got = bursts._mismatches.func(pack(ref), pack(mov), size(ref), size(mov), pa.array(shifts, pa.list_(pa.int32()))).to_pylist()
+    want = [[sum(bool(r[x] != m[x + dx]) for x in range(len(r)) if 0 <= x + dx < len(m)) for dx in dxs] for r, m, dxs in zip(ref, mov, shifts)]
+    assert got == want
+
+
+@pytest.mark.parametrize("radius", [1, 2, 3])
+def test_patch_sums_equal_single_patches(spark, monkeypatch, radius):
+    """Running sums over the same-colour grids against every patch by itself, over tiles of any size."""
+    rng = np.random.default_rng(radius)
+    for shape, count, step in (((9, 14), 3, 2), ((20, 7), 2, 3), ((6, 6), 1, 2)):
+        a = rng.random(shape)
+        for axis in (0, 1):
+            n = shape[axis] - (count - 1) * step
+            want = sum(np.take(a, range(k * step, k * step + n), axis) for k in range(count))
+            assert np.allclose(frames._spread_sums(a, count, step, axis), want, atol=1e-13)
+    planes = {i: 0.5 + 0.05 * rng.standard_normal((21, 18)) for i in range(2)}
+    history = spark.createDataFrame([(0, 0, 0), (1, 0, 0)], "frame_id long, past0 long, past1 long")
+    out = []
+    for bits in (3, 4, 8):
+        monkeypatch.setattr(frames, "TILE_BITS", bits)
+        got = frames.non_local_means(image_df(spark, planes, "frame_id"), history, 18, 21, patch_radius=radius)
+        out.append({(r.frame_id, r.y, r.x): r.v for r in got.collect()})
+    assert len(out[0]) == 2 * 21 * 18
+    for other in out[1:]:
+        assert max(abs(out[0][k] - v) for k, v in other.items()) < 1e-12
+
+
+def test_no_pixel_join_with_the_history(spark):
+    """Joins are of tiles: below them pixels are already packed."""
+    pixels = image_df(spark, {0: np.zeros((8, 8))}, "frame_id")
+    history = spark.createDataFrame([(0, 0, 0)], "frame_id long, past0 long, past1 long")
+    plan = frames.non_local_means(pixels, history, 8, 8)._jdf.queryExecution().optimizedPlan().toString()
+    join = plan.index("Join")
+    assert "plane" in plan[:join] or plan.index("FlatMapGroupsInPandas", join) > join
+    assert plan.count("FlatMapGroupsInPandas") == 2

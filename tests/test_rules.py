@@ -1,3 +1,6 @@
+import re
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from cliploom.functions import pixel, rates, tags
@@ -17,6 +20,18 @@ def test_nal_edges(spark):
     assert [r.name for r in named] == ["VPS", "SPS", "PPS"]
 
 
+def test_units_of_many_packets_equal_a_search_packet_by_packet():
+    rng = np.random.default_rng(5)
+    packets = [bytes(rng.choice([0, 0, 0, 1, 2], rng.integers(0, 40)).astype(np.uint8)) for _ in range(3000)]
+    want = []
+    for n, raw in enumerate(packets):
+        codes = [m.span() for m in re.finditer(b"\x00?\x00\x00\x01", raw)]
+        want += [(n, raw[a:b]) for (_, a), b in zip(codes, [c[0] for c in codes[1:]] + [len(raw)]) if b > a]
+    joined = b"".join(packets)
+    packet, first, last = container.unit_places(np.frombuffer(joined, np.uint8), np.cumsum([len(p) for p in packets]))
+    assert [(int(n), joined[a:b]) for n, a, b in zip(packet, first, last)] == want
+
+
 def test_resolution_ties(spark):
     df = spark.createDataFrame(
         [("d", 0, 0, 10, 40, False), ("d", 1, 0, 40, 10, False), ("d", 2, 0, 99, 99, True), ("d", 3, 0, 20, 20, False)],

@@ -104,6 +104,26 @@ def test_interleave_replay(spark):
     assert sorted((r.clip_id, r.arrival, r.gate, r.out_pos) for r in got.collect()) == sorted(want, key=lambda r: r[:2])
 
 
+def test_interleave_with_a_clock_that_stands_still(spark, monkeypatch):
+    """One stamp of the far future holds a running maximum for the rest of the clip; that stretch is one row of the axis."""
+    monkeypatch.setattr(segments, "SEGMENT_BITS", 3)
+    rng = random.Random(9)
+    rows = []
+    for c in range(4):
+        for a in range(200):
+            ts = 10**15 if a == 20 and c < 3 or c == 2 and a == 50 else a * 40 + rng.randint(-200, 200)
+            rows.append((c, a, (a == 50 if c == 2 else a == 20) if ts == 10**15 and c else rng.random() < 0.5, ts))
+    df = spark.createDataFrame(rows, "clip_id long, arrival long, is_audio boolean, ts_ns long")
+    asked = []
+    scan = segments.scan
+    monkeypatch.setattr(segments, "scan", lambda d, keys, order, *a, **kw: (asked.append(d) if order[0] == "value" else None, scan(d, keys, order, *a, **kw))[1])
+    got = pairing.interleave_tracks(df).collect()
+    want = [(c, *r) for c in range(4) for r in interleave([r[1:] for r in rows if r[0] == c])]
+    assert sorted((r.clip_id, r.arrival, r.gate, r.out_pos) for r in got) == sorted(want, key=lambda r: r[:2])
+    axis = asked[0].groupBy("clip_id", "value", "kind").count().where("count > 1")
+    assert len(asked) == 1 and axis.count() == 0 and asked[0].where(F.col("value") == 10**15).count() <= 6
+
+
 @pytest.mark.parametrize("levels", [0, 1, 2])
 @pytest.mark.parametrize("keys", [0.0, 0.05])
 def test_clusters_replay(spark, levels, keys):
