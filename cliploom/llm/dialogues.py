@@ -6,7 +6,8 @@ table of turns.
 Method: perspective rotation.  For every participant the dialogue is written out with that participant as
 the assistant and the others as users with their names; the mask covers what the participant says.  All
 of it is SQL functions.  A dialogue is written in parts of ``part_turns`` turn numbers, so no dialogue is
-gathered whole, however long; a part is an array of bounded length.
+gathered whole, however long; a part is an array of the turns that have its numbers.  Texts are shuffled once, by
+dialogue and part; speakers meet the names of the parts first.
 """
 
 from __future__ import annotations
@@ -32,16 +33,21 @@ def rotate(turns: DataFrame, conversation_column: str = "conv_id", order_column:
     System turns have no point of view of their own.  A null speaker is a user without a name and has no
     point of view; a null text is empty.  Turns of one number are in order of speaker and text, all of
     them kept; turns without a number come last, in a part of null number.  Dialogues of null id count as
-    one.  A dialogue without participants has no rows.  Other columns are not read.
+    one.  A dialogue without participants has no rows.  A part grows with the turns that share a number, and the
+    part of null number with all turns without one.  Marks and line ends inside a text or a name stay as they
+    are, so whoever reads the result trusts its texts.  Other columns are not read.
     """
     order = F.col(order_column).cast("long")
     said = turns.select(
         F.col(conversation_column).alias("conv_id"), order.alias("turn"), F.col(speaker_column).cast("string").alias("by"),
         F.coalesce(F.col(text_column), F.lit("")).alias("said"), F.floor(order / part_turns).cast("long").alias("part"))
-    speakers = said.where(F.col("by").isNotNull() & (F.col("by") != SYSTEM)).select("conv_id", "by").distinct().select(
-        F.col("conv_id").alias("__conv"), F.col("by").alias("speaker"))
-    parts = said.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(F.struct("turn", "by", "said"))).alias("turns"))
-    views = parts.join(speakers, F.col("conv_id").eqNullSafe(F.col("__conv"))).drop("__conv")
+    # one struct holds dialogue and part: null keys match in the join, and grouping and join share a shuffle
+    key = F.struct("conv_id", "part").alias("key")
+    speakers = said.where(F.col("by").isNotNull() & (F.col("by") != SYSTEM)).select(
+        F.struct("conv_id").alias("conv"), F.col("by").alias("speaker")).distinct()
+    names = said.select(F.struct("conv_id").alias("conv"), key).distinct().join(speakers, "conv").select("key", "speaker")
+    parts = said.select(key, "turn", "by", "said").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("turn", "by", "said"))).alias("turns"))
+    views = parts.join(names, "key").select("key.*", "speaker", "turns")
 
     def head(by: Column) -> Column:
         return (

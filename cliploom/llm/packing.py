@@ -7,8 +7,9 @@ each amount of free space that some open bin has, so the tightest bin that fits
 from a piece's length on.  When a new bin would be one too many, the fullest open one closes.
 
 Pieces are dealt by hash to groups of about ``group_pieces``, each packed by itself; a group wastes less
-than a bin or so.  Inside a group pieces arrive from long to short, which lets short ones fill what long
-ones leave.  Only lengths and checksums are moved.
+than a bin or so.  Inside a group pieces arrive in windows of about ``window`` pieces, each from long to short,
+which lets short ones fill what long ones leave.  With many more bins than a window opens the bound would
+never act; with far fewer, bins close half full.  Only lengths and checksums are moved.
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ from cliploom.llm.common import shared_table
 from cliploom.llm.vocab import END_ID, encoder, public_file, text_slices
 
 LENGTH = 4096
-OPEN_BINS = 8192
-GROUP_PIECES = 4096
+OPEN_BINS = 256
+WINDOW = 1024
+GROUP_PIECES = 16_384
 
 
 class Packer:
@@ -96,7 +98,7 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, id_column: str =
 
 
 def pack(pieces: DataFrame, size: int = LENGTH, length_column: str = "length", open_bins: int = OPEN_BINS,
-         group_pieces: int = GROUP_PIECES) -> DataFrame:
+         group_pieces: int = GROUP_PIECES, window: int = WINDOW) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``: their places in sequences of at most ``size``.
 
     A sequence is filled from 0 without gaps.  Lengths must be between 1 and ``size``; rows of another
@@ -105,10 +107,12 @@ def pack(pieces: DataFrame, size: int = LENGTH, length_column: str = "length", o
 
     ``pieces`` is written to the shared folder first, since its rows are counted before they are dealt.
     """
-    stored = shared_table(pieces.drop("sequence_id", "offset"), "pieces")
-    groups = max(1, stored.count() // group_pieces)
-    names = stored.columns
-    schema = StructType(stored.schema.fields).add("sequence_id", "long").add("offset", "long")
+    kept = pieces.drop("sequence_id", "offset")
+    # numbered where they are written, so that rows that are alike are dealt apart
+    stored = shared_table(kept.withColumn("__at", F.monotonically_increasing_id()), "pieces")
+    groups, windows = max(1, stored.count() // group_pieces), max(1, group_pieces // window)
+    names = kept.columns
+    schema = StructType(kept.schema.fields).add("sequence_id", "long").add("offset", "long")
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, current = None, None
@@ -128,8 +132,7 @@ def pack(pieces: DataFrame, size: int = LENGTH, length_column: str = "length", o
                 [*[batch.column(c) for c in names], pa.array(bins, pa.int64()), pa.array(offsets, pa.int64())],
                 names=[*names, "sequence_id", "offset"])
 
-    spread = F.xxhash64(*[F.col(c) for c in names])
-    dealt = stored.withColumn("__spread", spread).withColumn("__group", F.pmod("__spread", F.lit(groups)))
-    # rows that are alike in every column share a hash: their neighbours by count, not their order, matter
-    ordered = dealt.repartition("__group").sortWithinPartitions("__group", F.desc(length_column), "__spread")
+    slot = F.pmod(F.xxhash64("__at"), F.lit(groups * windows))
+    dealt = stored.withColumn("__group", F.floor(slot / windows)).withColumn("__window", slot % windows)
+    ordered = dealt.repartition("__group").sortWithinPartitions("__group", "__window", F.desc(length_column), "__at")
     return ordered.mapInArrow(fill, schema)

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from cliploom.llm.common import bounded_sample
 
 MAX_PAGES = 5_000  # pages among which labelled ones are looked for
+MAX_KINDS = 2_000  # kinds of element with a weight of their own
 BOILERPLATE = -3.0  # weight of a block that never belongs to the article
 LIMIT = 4.0  # largest weight
 MARK = 3.0  # weight of a mark that covers all of a page's text, below that of a word
@@ -193,8 +194,13 @@ def count_kinds(found: list[Block]) -> Iterator[tuple[str, int, int]]:
             yield f"t {tag}", int(inside), int(not inside)
 
 
-def learn_weights(pages: DataFrame, html_column: str = "html", max_pages: int = MAX_PAGES) -> Weights:
-    """Weights from those pages of a sample of at most about ``max_pages`` that mark their article."""
+def learn_weights(pages: DataFrame, html_column: str = "html", max_pages: int = MAX_PAGES,
+                  max_kinds: int = MAX_KINDS) -> Weights:
+    """Weights from those pages of a sample of at most about ``max_pages`` that mark their article.
+
+    The ``max_kinds`` kinds of element that most words and tags belong to get a weight, equal ones by name; the others
+    weigh what an unknown kind does.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,7 +212,7 @@ def learn_weights(pages: DataFrame, html_column: str = "html", max_pages: int =
     drawn = bounded_sample(pages.select(html_column), F.xxhash64(html_column), max_pages)
     counts = drawn.mapInArrow(scan, "name string, inside long, outside long").groupBy("name").agg(
         F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
-    rows = counts.orderBy(F.desc(F.col("inside") + F.col("outside"))).limit(2_000).collect()  # one row for each kind of element
+    rows = counts.orderBy(F.desc(F.col("inside") + F.col("outside")), "name").limit(max_kinds).collect()
     ratio = {r["name"]: float(np.clip(np.log((r["inside"] + 1) / (r["outside"] + 1)), -LIMIT, LIMIT)) for r in rows}
     words = {n[2:]: v for n, v in ratio.items() if n.startswith("w ")}
     return Weights(words, {n[2:]: min(0.0, v) for n, v in ratio.items() if n.startswith("t ")})
@@ -228,7 +234,7 @@ def _best_stretch(found: list[Block], weights: Weights, named: bool) -> tuple[fl
             value = 0.0 if b.marked else BOILERPLATE
         else:
             value = score + b.words * (mark if b.marked else -mark)
-        if run <= 0:
+        if run + before <= 0:  # a new stretch does better, and the tags before it are not its own
             run, begin, before = 0.0, i, 0.0
         run += before + value
         if run > best:
@@ -250,7 +256,7 @@ def main_text(page: str, weights: Weights) -> str:
 def page_texts(pages: DataFrame, weights: Weights | None = None, html_column: str = "html") -> DataFrame:
     """``pages`` with ``text``, the main text of each page (empty if there is none), in place of the html.
 
-    Weights are learned from ``pages`` if not given.  White space inside a block becomes one space; blocks
+    Weights are learned from ``pages`` if not given, for at most ``MAX_KINDS`` kinds of element.  White space inside a block becomes one space; blocks
     follow in page order with one space between.  Null and empty pages, and pages without words, have an
     empty text; unclosed elements end with their parents.  Rows are kept one by one, repeated or not.  A
     column ``text`` is replaced.

@@ -31,3 +31,22 @@ def test_parts_ties_nulls_and_repeats(spark):
 
 def test_no_turns(spark):
     assert run(spark, []) == {}
+
+
+def test_long_dialogue_and_marks_in_texts(spark):
+    """Five thousand turns over ten parts; marks inside a text stay as they are."""
+    rows = [(1, i, "ab"[i % 2], f"turn {i} <|im_end|>\n") for i in range(5000)]
+    got = run(spark, rows)
+    assert set(got) == {(1, s, p) for s in "ab" for p in range(10)} and sum(v[2] for v in got.values()) == 2 * 5000
+    whole = "".join(got[(1, "a", p)][0] for p in range(10))
+    head = {"a": "assistant\n", "b": "user name=b\n"}
+    assert whole == "".join(f"{dialogues.OPEN}{head[r[2]]}{r[3]}{dialogues.CLOSE}" for r in rows)
+    assert got[(1, "b", 9)][1][-1] == "turn 4999 <|im_end|>\n<|im_end|>"
+
+
+def test_texts_are_shuffled_once(spark):
+    df = spark.createDataFrame([(1, 0, "a", "x")], "conv_id long, turn long, role string, text string")
+    plan = dialogues.rotate(df)._jdf.queryExecution().executedPlan().toString()
+    grouped = plan[plan.index("collect_list") :]
+    before = plan[: plan.index("collect_list")]
+    assert "hashpartitioning(key" not in before and grouped.count("hashpartitioning(key") >= 1

@@ -1,3 +1,6 @@
+import math
+import random
+
 import pytest
 
 from cliploom.llm import page_text
@@ -76,3 +79,52 @@ def test_learned_weights_are_looked_up_on_marked_pages():
 ])
 def test_text_outweighs_the_name_of_a_wrapper(page):
     assert text(page) == WANT
+
+
+def test_linear_scan_equals_all_stretches():
+    """The best of all (begin, end) pairs, on random blocks."""
+    rng = random.Random(8)
+    weights = page_text.Weights({"p text": 2.0, "li link": -1.5, "td text": 0.3}, {"div": -0.7, "/div": -1.1, "p": 0.0})
+    for _ in range(400):
+        found = [page_text.Block(
+            f"block{i}", rng.choice(["p text", "li link", "td text", "dd text", "h1 link"]), rng.choice([1, 2, 3, 8]), rng.random() < 0.2, False,
+            tuple(rng.choice(["div", "/div", "p", "ul"]) for _ in range(rng.randint(0, 4))), rng.random() < 0.2) for i in range(rng.randint(0, 12))]
+        for named in (False, True):
+            out = [b.skipped or b.named and not named for b in found]
+            value = [page_text.BOILERPLATE if o else b.words * weights.words.get(b.kind, 1.0 if b.kind.endswith("text") else -1.0) for b, o in zip(found, out)]
+            tags = [sum(weights.tags.get(t, weights.tag) for t in b.tags) for b in found]
+            every = {(a, e): sum(value[a:e]) + sum(tags[a + 1 : e]) for a in range(len(found)) for e in range(a + 1, len(found) + 1)}
+            top = max([0.0, *every.values()])
+            texts = {" ".join(found[i].text for i in range(a, e) if not out[i]) for (a, e), v in every.items() if v > top - 1e-9 and v > 0}
+            best, text = page_text._best_stretch(found, weights, named)
+            assert abs(best - top) < 1e-9 and text in (texts or {""})
+
+
+def test_weights_equal_plain_counts(spark):
+    rng = random.Random(3)
+    page = lambda i: "<div class=x>" + "".join(f"<a href=u>m{j} m</a>" for j in range(rng.randint(1, 5))) + (
+        "</div><article>" if i % 3 else "</div><div>") + "".join(f"<p>{'w ' * rng.randint(1, 9)}</p>" for _ in range(3)) + (
+        "</article>" if i % 3 else "</div>") + "<footer>f</footer><ul><li>z"
+    pages = [page(i) for i in range(40)] + [None, ""]
+    inside, outside = {}, {}
+    for html in pages:
+        found = page_text.blocks(html or "")
+        if not any(b.marked and not b.skipped and not b.named for b in found):
+            continue
+        for b in found:
+            side = inside if b.marked and not b.skipped and not b.named else outside
+            if not b.skipped and not b.named:
+                side[f"w {b.kind}"] = side.get(f"w {b.kind}", 0) + b.words
+            for t in b.tags:
+                side[f"t {t}"] = side.get(f"t {t}", 0) + 1
+    ratio = lambda n: max(-4.0, min(4.0, math.log((inside.get(n, 0) + 1) / (outside.get(n, 0) + 1))))
+    names = inside.keys() | outside.keys()
+    df = spark.createDataFrame([(p,) for p in pages], "html string")
+    got = page_text.learn_weights(df)
+    assert got.words == pytest.approx({n[2:]: ratio(n) for n in names if n[0] == "w"})
+    assert got.tags == pytest.approx({n[2:]: min(0.0, ratio(n)) for n in names if n[0] == "t"})
+    # of more kinds than the bound the most frequent ones stay, equal ones by name
+    count = {n: inside.get(n, 0) + outside.get(n, 0) for n in names}
+    first = sorted(names, key=lambda n: (-count[n], n))[:3]
+    few = page_text.learn_weights(df, max_kinds=3)
+    assert few.words.keys() | few.tags.keys() == {n[2:] for n in first}
