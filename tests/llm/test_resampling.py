@@ -60,7 +60,7 @@ def corpus(seed, n=300):
                    (None, "no id " * 15), (504, "long\n" * 9000), (505, "word " * 30_000)]
 
 
-@pytest.mark.parametrize(("longest", "buckets", "hot"), [(2, 10_000, 4096), (1, 50, 3), (3, 97, 1), (4, 70_000, 10**9)])
+@pytest.mark.parametrize(("longest", "buckets", "hot"), [(2, 10_000, 4096), (1, 50, 3), (4, 70_000, 10**9)])
 def test_same_as_plain_version(spark, monkeypatch, longest, buckets, hot):
     monkeypatch.setattr(resampling, "HOT", hot)
     docs, target = corpus(longest), ["alpha beta\nGamma zeta alpha", None, "", "naïve 中文 x1"]
