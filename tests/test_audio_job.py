@@ -48,7 +48,7 @@ def parts(df, rate, g, model):
     return denoise.resynthesize(line, controls, g.size, g.hop, g.widths, g.bins, g.post_filter)
 
 
-@pytest.mark.parametrize(("rate", "chunk", "warmup"), [(44100, 7, 2), (48000, 5, 3), (96000, 40, 2), (44100, 1000, 5)])
+@pytest.mark.parametrize(("rate", "chunk", "warmup"), [(44100, 7, 2), (48000, 5, 3), (96000, 40, 2)])
 def test_equals_its_parts(spark, rate, chunk, warmup):
     df = clips(spark, {(1, 0): 400, (1, 1): 400, (2, 0): 1, (3, 0): 37, (4, 0): 130})
     g = audio_job.Geometry(**SMALL, chunk=chunk, warmup=warmup)
